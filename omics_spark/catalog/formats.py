@@ -1 +1,96 @@
-"""Registered queries (formats)."""
+"""Registered queries: file formats as write -> read round trips of fixture
+tables (A1, A4-A9, A11, A12) and the pipe operators (U1, U2). Files go to
+a fresh folder under the session's checkpoint directory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.alignments import scratch_path
+from ..operators.pipe import pipe_groups, pipe_lines
+from ..sources import formats as FM
+from ..sources.fixtures import duck_with, view
+from . import register
+
+
+@register("fasta_roundtrip", duck_with("dna") + "select seq_id, seq from dna")
+def q_fasta(spark, sf):
+    path = scratch_path(spark, "fasta")
+    FM.write_fasta(view(spark, sf, "dna"), path)
+    return FM.read_fasta(spark, path).select(F.col("seq_id").cast("bigint").alias("seq_id"), "seq")
+
+
+@register("fastq_roundtrip", duck_with("planted_reads") + """
+select concat_ws('_', l_orderkey, l_linenumber, l_partkey) as read_id, seq, repeat('I', cast(length(seq) as int)) as qual
+from planted_reads""")
+def q_fastq(spark, sf):
+    p = view(spark, sf, "planted_reads")
+    reads = p.select(F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey").alias("read_id"), "seq",
+                     F.expr("repeat('I', length(seq))").alias("qual"))
+    path = scratch_path(spark, "fastq")
+    FM.write_fastq(reads, path)
+    return FM.read_fastq(spark, path).select("read_id", "seq", "qual")
+
+
+@register("sam_roundtrip", duck_with("reads") + "select contig, pos, flag, mapq, cigar from reads")
+def q_sam(spark, sf):
+    path = scratch_path(spark, "sam")
+    FM.write_sam(view(spark, sf, "reads"), path, contigs=[(f"chr{i}", 1_001_000) for i in range(1, 6)])
+    return FM.read_sam(spark, path).select("contig", "pos", "flag", "mapq", "cigar")
+
+
+@register("vcf_roundtrip", duck_with("variants") + "select contig, pos, ref, alt, qual, filter, dp from variants")
+def q_vcf(spark, sf):
+    path = scratch_path(spark, "vcf")
+    FM.write_vcf(view(spark, sf, "variants"), path, info_cols=["dp"])
+    v = FM.read_vcf(spark, path)
+    return v.select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), "qual", "filter",
+                    F.col("info")["DP"].cast("int").alias("dp"))
+
+
+@register("bed_roundtrip", duck_with("iv_a") + """
+select contig, start_pos, end_pos, concat_ws('_', l_orderkey, l_linenumber) as name, strand from iv_a""")
+def q_bed(spark, sf):
+    a = view(spark, sf, "iv_a").withColumn("name", F.concat_ws("_", "l_orderkey", "l_linenumber")) \
+        .withColumn("score", F.lit(0.0))
+    path = scratch_path(spark, "bed")
+    FM.write_bed(a, path)
+    return FM.read_bed(spark, path).select("contig", "start_pos", "end_pos", "name", "strand")
+
+
+@register("gff_roundtrip", duck_with("gene_models") + """
+select contig, start_pos, end_pos, strand, feature, cast(gene_id as varchar) as gene_id from gene_models""")
+def q_gff(spark, sf):
+    g = view(spark, sf, "gene_models").select(
+        "contig", F.lit("fixture").alias("source"), "feature", "start_pos", "end_pos",
+        F.lit(None).cast("double").alias("score"), "strand", F.lit(0).alias("phase"),
+        F.create_map(F.lit("ID"), F.col("gene_id").cast("string")).alias("attributes"))
+    path = scratch_path(spark, "gff")
+    FM.write_gff(g, path)
+    return FM.read_gff(spark, path).select("contig", "start_pos", "end_pos", "strand", "feature",
+                                           F.col("attributes")["ID"].alias("gene_id"))
+
+
+@register("lines_roundtrip", duck_with("iv_b") + """
+select contig || chr(9) || cast(start_pos as varchar) || chr(9) || cast(end_pos as varchar) as value from iv_b""")
+def q_lines(spark, sf):
+    b = view(spark, sf, "iv_b").select(F.concat_ws("\t", "contig", "start_pos", "end_pos").alias("value"))
+    path = scratch_path(spark, "lines")
+    FM.write_lines(b, path)
+    return FM.read_lines(spark, path)
+
+
+@register("pipe_lines", duck_with("iv_b") + "select contig, cast(end_pos - start_pos as bigint) as length from iv_b")
+def q_pipe_lines(spark, sf):
+    b = view(spark, sf, "iv_b").select(F.concat_ws("\t", "contig", "start_pos", "end_pos").alias("value"))
+    out = pipe_lines(b, ["awk", "-F\t", '{print $1 "\t" ($3 - $2)}'])
+    parts = F.split("value", "\t")
+    return out.select(parts[0].alias("contig"), parts[1].cast("bigint").alias("length"))
+
+
+@register("pipe_groups", duck_with("iv_b") + "select contig, count(*) as n_lines from iv_b group by contig")
+def q_pipe_groups(spark, sf):
+    b = view(spark, sf, "iv_b").select("contig", "start_pos",
+                                       F.concat_ws("\t", "contig", "start_pos", "end_pos").alias("value"))
+    out = pipe_groups(b, ["contig"], ["wc", "-l"], order=["start_pos"])
+    return out.select("contig", F.trim("value").cast("bigint").alias("n_lines"))
