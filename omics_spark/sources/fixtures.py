@@ -90,6 +90,19 @@ from (select l.*, d.seq_id, cast(l.l_quantity as bigint) * 3 as p, substring(d.s
 select concat('s', cast(seq_id as {S})) as contig, seq_id as gene_id, cast(30 as bigint) as start_pos, cast(210 as bigint) as end_pos,
   case when seq_id % 2 = 0 then '+' else '-' end as strand, 'CDS' as feature from {dna} where length(seq) >= 260""",
                     ("dna",)),
+    # our addition: SNVs at and around the planted site (in the CDS), one
+    # intergenic SNV and one 1-base deletion per sequence, refs from the genome
+    "effect_variants": ("""
+select concat('s', cast(seq_id as {S})) as contig, 131 + seq_id % 3 as pos,
+  substring(seq, cast(131 + seq_id % 3 as int), 1) as ref,
+  translate(substring(seq, cast(131 + seq_id % 3 as int), 1), 'ACGT', 'CGTA') as alt from {dna} where length(seq) >= 260
+union all
+select concat('s', cast(seq_id as {S})) as contig, cast(251 as bigint) as pos, substring(seq, 251, 1) as ref,
+  translate(substring(seq, 251, 1), 'ACGT', 'TACG') as alt from {dna} where length(seq) >= 260
+union all
+select concat('s', cast(seq_id as {S})) as contig, cast(100 as bigint) as pos, substring(seq, 100, 2) as ref,
+  substring(seq, 100, 1) as alt from {dna} where length(seq) >= 260""",
+                        ("dna",)),
     "split_pairs": ("""
 select o_orderkey, case when o_orderkey % 101 = 0 then concat('chr', cast((o_custkey + 2) % 5 + 1 as {S}), ',',
   cast((o_orderkey * 61) % 1000000 + 2001 as {S}), ',+,25S25M,60,0;') else null end as sa from {orders}""",
