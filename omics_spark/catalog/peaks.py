@@ -1 +1,79 @@
-"""Registered queries (peaks)."""
+"""Registered queries: ChIP-seq family (E2, E6, F8, F13 via P8, P8, P9, D6/F9 via P9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.stats import poisson_upper
+from ..operators.windows import bh_qvalues, local_background
+from ..plans.peaks import call_peaks, motif_enrichment
+from ..sources.fixtures import duck_with, view
+from . import register
+
+BH_SQL = duck_with("pvals") + """
+select id, p, grp, round(least(1.0, min(p * m / rk) over (partition by grp order by p desc, rk desc
+    rows between unbounded preceding and current row)), 6) as q
+from (select id, p, grp, row_number() over (partition by grp order by p) as rk,
+        count(*) over (partition by grp) as m from pvals) x"""
+
+
+@register("bh_qvalues", BH_SQL)
+def q_bh(spark, sf):
+    x = bh_qvalues(view(spark, sf, "pvals"), "p", ["grp"])
+    return x.select("id", "p", "grp", F.round("q", 6).alias("q"))
+
+
+@register("bh_qvalues_global", BH_SQL.replace("partition by grp order by p desc", "order by p desc")
+          .replace("partition by grp order by p)", "order by p)").replace("count(*) over (partition by grp)", "count(*) over ()"))
+def q_bh_global(spark, sf):
+    x = bh_qvalues(view(spark, sf, "pvals"), "p")
+    return x.select("id", "p", "grp", F.round("q", 6).alias("q"))
+
+
+def _control_bins(spark, sf):
+    c = view(spark, sf, "chip_tags").where("sample = 'control'")
+    return c.groupBy("contig", F.floor(F.col("start_pos") / 50).cast("bigint").alias("bin")) \
+            .agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("local_background", duck_with("chip_tags") + """,
+cb as (select contig, cast(floor(start_pos / 50) as bigint) as bin, count(*) as count
+       from chip_tags where sample = 'control' group by 1, 2),
+grid as (select contig, unnest(generate_series(0, max(bin))) as bin from cb group by contig),
+g as (select g.contig, g.bin, coalesce(c.count, 0) as count from grid g left join cb c on c.contig = g.contig and c.bin = g.bin)
+select contig, bin, count,
+  round(avg(count) over (partition by contig order by bin range between 10 preceding and 10 following), 6) as bg_10,
+  round(avg(count) over (partition by contig order by bin range between 100 preceding and 100 following), 6) as bg_100
+from g""")
+def q_local_background(spark, sf):
+    x = local_background(_control_bins(spark, sf), [10, 100])
+    return x.select("contig", "bin", "count", F.round("bg_10", 6).alias("bg_10"), F.round("bg_100", 6).alias("bg_100"))
+
+
+@register("poisson_upper", duck_with("chip_tags") + """,
+b as (select contig, cast(floor(start_pos / 1000) as bigint) as bin,
+        cast(sum(case when sample = 'treatment' then 1 else 0 end) as bigint) as n,
+        sum(case when sample = 'control' then 1 else 0 end) * 1.0 + 0.5 as lam
+      from chip_tags group by 1, 2)
+select contig, bin, cast(n as bigint) as n, lam,
+  round(greatest(0.0, 1.0 - coalesce((select sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) from range(0, cast(n as bigint)) t(k)), 0.0)), 6) as p
+from b""")
+def q_poisson(spark, sf):
+    t = view(spark, sf, "chip_tags")
+    b = t.groupBy("contig", F.floor(F.col("start_pos") / 1000).cast("bigint").alias("bin")).agg(
+        F.sum(F.when(F.col("sample") == "treatment", 1).otherwise(0)).cast("bigint").alias("n"),
+        (F.sum(F.when(F.col("sample") == "control", 1).otherwise(0)) * 1.0 + 0.5).alias("lam"))
+    pairs = b.select("n", "lam").distinct().withColumn("p", F.round(poisson_upper(F.col("n"), F.col("lam")), 6))
+    return b.join(pairs, ["n", "lam"]).select("contig", "bin", "n", "lam", "p")
+
+
+@register("call_peaks")
+def q_call_peaks(spark, sf):
+    t = view(spark, sf, "chip_tags")
+    return call_peaks(t.where("sample = 'treatment'"), t.where("sample = 'control'"), "hs", 0.05, 200)
+
+
+@register("motif_enrichment")
+def q_motif_enrichment(spark, sf):
+    m = view(spark, sf, "motif_seqs")
+    return motif_enrichment(m.where("grp = 'target'"), m.where("grp = 'background'"), k=8)
