@@ -1 +1,159 @@
-"""Registered queries (sv_cnv)."""
+"""Registered queries: structural variants (C7, H2, E5, P15) and copy
+number (E8, F12, E7, P16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.stats import copy_number
+from ..operators.alignments import bin_coverage, mate_join
+from ..operators.variants import evidence_union
+from ..operators.windows import change_points, cluster_positions, median_center
+from ..plans.sv import copy_number_profile, discordant_evidence, split_evidence, structural_variants
+from ..sources.fixtures import duck_with, view
+from . import register
+
+
+def _with_mates(spark, sf):
+    p = view(spark, sf, "pairs")
+    f = F.col("flag")
+    mate_flag = (F.lit(1 + 128) + F.when(f.bitwiseAND(32) != 0, 16).otherwise(0)
+                 + F.when(f.bitwiseAND(16) != 0, 32).otherwise(0)).cast("int")
+    r1 = p.select("qname", "contig", "pos", "flag")
+    r2 = p.select("qname", F.col("rnext").alias("contig"), F.col("pnext").alias("pos"), mate_flag.alias("flag"))
+    return r1.unionByName(r2)
+
+
+@register("mate_join", duck_with("pairs") + """
+select a.qname, a.contig as r1_contig, a.pos as r1_pos, a.flag as r1_flag,
+  a.rnext as r2_contig, a.pnext as r2_pos,
+  cast(129 + case when a.flag & 32 != 0 then 16 else 0 end + case when a.flag & 16 != 0 then 32 else 0 end as int) as r2_flag
+from pairs a""")
+def q_mate_join(spark, sf):
+    return mate_join(_with_mates(spark, sf))
+
+
+def _split_reads(spark, sf):
+    p = view(spark, sf, "pairs")
+    s = view(spark, sf, "split_pairs")
+    return p.join(s, "o_orderkey").select("qname", "contig", "pos", "flag", "sa")
+
+
+EVIDENCE_SQL = duck_with("pairs", "split_pairs") + """,
+disc as (select qname, case when rnext != contig then 'BND'
+    when (flag & 16 != 0) = (flag & 32 != 0) then 'INV'
+    when flag & 16 = 0 and pnext - pos > 1000 then 'DEL'
+    when flag & 16 != 0 and flag & 32 = 0 and pnext - pos > 1000 then 'DUP'
+    when flag & 16 = 0 and pnext - pos < 0 then 'DUP' end as sv_type,
+  contig, pos as pos1, rnext as contig2, pnext as pos2, 'discordant' as evidence from pairs
+  where flag & 1 != 0 and flag & 12 = 0 and flag & 2304 = 0 and (flag & 64 != 0 or flag & 128 = 0)),
+spl as (select p.qname, p.contig, p.pos, p.flag, string_split(regexp_replace(s.sa, ';.*$', ''), ',') as sa
+        from pairs p join split_pairs s on s.o_orderkey = p.o_orderkey where s.sa is not null and length(s.sa) > 0),
+split as (select qname, case when sa[1] != contig then 'BND'
+    when sa[3] != case when flag & 16 != 0 then '-' else '+' end then 'INV'
+    when cast(sa[2] as bigint) > pos + 50 then 'DEL' else 'DUP' end as sv_type,
+  contig, pos as pos1, sa[1] as contig2, cast(sa[2] as bigint) as pos2, 'split' as evidence from spl),
+ev as (select * from disc where sv_type is not null union all select * from split)"""
+
+CLUSTER_SQL = """
+{name} as (select {src}.*, c.cl as {out} from {src} join (
+    select {keys}, {pos}, max(case when isnew then {pos} end) over (partition by {keys} order by {pos}
+      rows between unbounded preceding and current row) as cl
+    from (select *, lag({pos}) over (partition by {keys} order by {pos}) is null
+                 or {pos} - lag({pos}) over (partition by {keys} order by {pos}) > 500 as isnew
+          from (select distinct {keys}, {pos} from {src}) d) e) c
+  using ({keys}, {pos}))"""
+
+
+def cluster_sql(name, src, keys, pos, out):
+    return (CLUSTER_SQL.replace("{name}", name).replace("{src}", src).replace("{keys}", keys)
+            .replace("{pos}", pos).replace("{out}", out))
+
+
+@register("evidence_union", EVIDENCE_SQL + " select * from ev")
+def q_evidence(spark, sf):
+    return evidence_union(discordant_evidence(view(spark, sf, "pairs")), split_evidence(_split_reads(spark, sf)))
+
+
+@register("cluster_positions", EVIDENCE_SQL + "," + cluster_sql("c1", "ev", "sv_type, contig", "pos1", "cluster") +
+          " select * from c1")
+def q_cluster(spark, sf):
+    ev = evidence_union(discordant_evidence(view(spark, sf, "pairs")), split_evidence(_split_reads(spark, sf)))
+    return cluster_positions(ev, "pos1", 500, ["sv_type", "contig"])
+
+
+@register("structural_variants", EVIDENCE_SQL + "," + cluster_sql("c1", "ev", "sv_type, contig", "pos1", "cl1") + "," +
+          cluster_sql("c2", "c1", "sv_type, contig2", "pos2", "cl2") + """
+select sv_type, contig, contig2, min(pos1) as start, max(pos2) as "end", count(*) as support,
+  cast(sum(case when evidence = 'discordant' then 1 else 0 end) as bigint) as n_discordant,
+  cast(sum(case when evidence = 'split' then 1 else 0 end) as bigint) as n_split
+from c2 group by sv_type, contig, cl1, contig2, cl2 having count(*) >= 2""")
+def q_sv(spark, sf):
+    return structural_variants(view(spark, sf, "pairs"), _split_reads(spark, sf))
+
+
+@register("structural_variants_all_support", EVIDENCE_SQL + "," + cluster_sql("c1", "ev", "sv_type, contig", "pos1", "cl1") + "," +
+          cluster_sql("c2", "c1", "sv_type, contig2", "pos2", "cl2") + """
+select sv_type, contig, contig2, min(pos1) as start, max(pos2) as "end", count(*) as support,
+  cast(sum(case when evidence = 'discordant' then 1 else 0 end) as bigint) as n_discordant,
+  cast(sum(case when evidence = 'split' then 1 else 0 end) as bigint) as n_split
+from c2 group by sv_type, contig, cl1, contig2, cl2""")
+def q_sv_all(spark, sf):
+    # every evidence cluster (min_support=1): the fixture's breakpoints are sparse
+    return structural_variants(view(spark, sf, "pairs"), _split_reads(spark, sf), min_support=1)
+
+
+def _sample_bins(spark, sf, sample):
+    r = view(spark, sf, "sample_reads").where(F.col("sample") == sample)
+    return bin_coverage(r, 50).select("contig", "start_pos", F.col("n_reads").alias(sample[0]))
+
+
+BINS_SQL = duck_with("sample_reads") + """,
+sb as (select sample, contig, unnest(generate_series((pos - 1) // 50, (pos - 1 + 49) // 50)) as b
+       from sample_reads where flag & 2308 = 0),
+cnt as (select contig, b * 50 as start_pos, cast(sum(case when sample = 'tumor' then 1 else 0 end) as bigint) as t,
+          cast(sum(case when sample = 'normal' then 1 else 0 end) as bigint) as n from sb group by contig, b)"""
+
+
+@register("median_center", BINS_SQL + """
+select contig, start_pos, t, round(t - (select quantile_cont(t, 0.5) from cnt where t > 0), 4) as t_centered
+from cnt where t > 0""")
+def q_median_center(spark, sf):
+    t = _sample_bins(spark, sf, "tumor").withColumn("_all", F.lit(0))
+    x = median_center(t, "t", ["_all"], "t_centered").drop("_all")
+    return x.select("contig", "start_pos", "t", F.round("t_centered", 4).alias("t_centered"))
+
+
+@register("copy_number", BINS_SQL + """
+select contig, start_pos, t, n, cast(round(2 * pow(2, log2((t + 1.0) / (n + 1.0)))) as int) as cn from cnt""")
+def q_copy_number(spark, sf):
+    t = _sample_bins(spark, sf, "tumor")
+    n = _sample_bins(spark, sf, "normal")
+    x = t.join(n, ["contig", "start_pos"], "full").fillna(0, ["t", "n"])
+    return x.select("contig", "start_pos", "t", "n",
+                    copy_number(F.log2((F.col("t") + 1.0) / (F.col("n") + 1.0))).alias("cn"))
+
+
+@register("change_points")
+def q_change_points(spark, sf):
+    t = _sample_bins(spark, sf, "tumor")
+    n = _sample_bins(spark, sf, "normal")
+    x = t.join(n, ["contig", "start_pos"], "full").fillna(0, ["t", "n"])
+    x = x.select("contig", F.floor(F.col("start_pos") / 50).cast("bigint").alias("bin"),
+                 F.log2((F.col("t") + 1.0) / (F.col("n") + 1.0)).alias("log2"))
+    return change_points(x, "log2", 3, 0.5)
+
+
+@register("copy_number_profile")
+def q_cnv(spark, sf):
+    sr = view(spark, sf, "sample_reads")
+    genome = view(spark, sf, "dna").select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("contig"), "seq")
+    return copy_number_profile(sr.where("sample = 'tumor'"), sr.where("sample = 'normal'"), None, 50, genome, w=3)
+
+
+@register("copy_number_profile_targets")
+def q_cnv_targets(spark, sf):
+    sr = view(spark, sf, "sample_reads")
+    targets = view(spark, sf, "gene_models").select("contig", "start_pos", "end_pos",
+                                                    F.col("gene_id").alias("region_id"))
+    return copy_number_profile(sr.where("sample = 'tumor'"), sr.where("sample = 'normal'"), targets, w=3)

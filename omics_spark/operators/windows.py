@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .blocks import BLK, after, before, block_carry, in_block
 
 _LIN = 1 << 20
@@ -140,7 +141,9 @@ def change_points(bins: DataFrame, value: str = "log2", w: int = 5, threshold: f
     g = prefix_sums(dense_bins(bins, bin_col, value, keys).withColumn(value, F.col(value).cast("double")),
                     bin_col, value, keys)
     mx = g.groupBy(*keys).agg(F.max(bin_col).alias("_mx"))
-    g = g.join(mx, keys)
+    # the bin grid is bounded by genome size / bin size and is read by
+    # several lookups below: checkpoint it once
+    g = cut_lineage(g.join(mx, keys))
     look = g.select(*keys, F.col(bin_col).alias("_lb"), F.col("_S").alias("_ls"))
 
     def at(df: DataFrame, offset: int, name: str) -> DataFrame:
@@ -155,7 +158,7 @@ def change_points(bins: DataFrame, value: str = "log2", w: int = 5, threshold: f
     ok = (F.col(bin_col) >= w) & (F.col(bin_col) + w - 1 <= F.col("_mx"))
     left = (F.col("_s_m1") - F.coalesce(F.col("_s_mw"), F.lit(0.0))) / w
     right = (F.col("_s_pw") - F.col("_s_m1")) / w
-    g = g.withColumn("t", F.when(ok, right - left))
+    g = cut_lineage(g.withColumn("t", F.when(ok, right - left)))
     # local maximum of |t| among +-w neighbours: compare with neighbour values by joins on a grid
     tv = g.select(*keys, F.col(bin_col).alias("_nb"), F.abs("t").alias("_nt"))
     nb = g.select(*keys, bin_col, F.explode(F.sequence(F.lit(-w), F.lit(w))).alias("_o"))
