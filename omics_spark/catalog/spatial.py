@@ -1 +1,124 @@
-"""Registered queries (spatial)."""
+"""Registered queries: 3-D structures and images (B9, C9, G3, A14, D7,
+P17, P18, P19, U3)."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..functions.validate import smiles_check
+from ..operators.pipe import batch_predict
+from ..operators.spatial import box_filter, label_stats, neighbours_3d
+from ..plans.structures import docking_manifest, label_regions, pocket_points, screen_poses, top_poses
+from ..sources.fixtures import duck_with, view
+from . import register
+
+
+@register("box_filter", duck_with("atoms") + """,
+c as (select mol_id, avg(x) as cx, avg(y) as cy, avg(z) as cz from atoms group by mol_id)
+select a.* from atoms a join c on c.mol_id = a.mol_id
+where abs(a.x - c.cx) <= 15 and abs(a.y - c.cy) <= 15 and abs(a.z - c.cz) <= 15""")
+def q_box(spark, sf):
+    a = view(spark, sf, "atoms")
+    c = a.groupBy("mol_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
+    return box_filter(a.join(c, "mol_id"), (F.col("cx"), F.col("cy"), F.col("cz")), 30.0).drop("cx", "cy", "cz")
+
+
+@register("neighbours_3d", duck_with("atoms") + """
+select a.mol_id, a.atom_id as a_atom_id, b.atom_id as b_atom_id,
+  round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 4) as dist
+from atoms a join atoms b on a.mol_id = b.mol_id and a.atom_id < b.atom_id
+where (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 64""")
+def q_neighbours(spark, sf):
+    a = view(spark, sf, "atoms").select("mol_id", "atom_id", "x", "y", "z")
+    p = neighbours_3d(a, a, 8.0, keys=["mol_id"])
+    return p.where(F.col("a_atom_id") < F.col("b_atom_id")).select(
+        F.col("a_mol_id").alias("mol_id"), "a_atom_id", "b_atom_id", F.round("dist", 4).alias("dist"))
+
+
+@register("top_poses", duck_with("atoms") + """
+select mol_id, atom_id, score, rank from (select mol_id, atom_id, round(x + y + z, 4) as score,
+  row_number() over (partition by mol_id order by round(x + y + z, 4), atom_id) as rank from atoms) t where rank <= 10""")
+def q_top_poses(spark, sf):
+    s = view(spark, sf, "atoms").select("mol_id", "atom_id", F.round(F.col("x") + F.col("y") + F.col("z"), 4).alias("score"))
+    return top_poses(s, ["mol_id"], "score", 10, ["atom_id"])
+
+
+@register("docking_manifest", duck_with("atoms", "smiles_like") + """
+select cast(p_partkey % 10 as varchar) || '_' || cast(p_partkey as varchar) as complex_name,
+  '/receptors/' || cast(r.mol_id as varchar) || '.pdb' as protein_path,
+  trim(smiles, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) as ligand_description, '' as protein_sequence
+from smiles_like s join (select distinct mol_id from atoms) r on r.mol_id = s.p_partkey % 10
+where length(trim(smiles, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) > 0
+  and regexp_full_match(trim(smiles, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)), '[A-Za-z0-9@+\\-\\[\\]\\(\\)\\\\/%=#$.,~!:]+')""")
+def q_manifest(spark, sf):
+    rec = view(spark, sf, "atoms").select(F.col("mol_id").alias("receptor_id")).distinct().select(
+        "receptor_id", F.concat(F.lit("/receptors/"), F.col("receptor_id").cast("string"), F.lit(".pdb")).alias("protein_path"),
+        F.lit("").alias("protein_sequence"))
+    norm, err = smiles_check(F.col("smiles"))
+    lig = view(spark, sf, "smiles_like").select((F.col("p_partkey") % 10).alias("receptor_id"),
+                                                F.col("p_partkey").alias("ligand_id"), norm.alias("smiles"),
+                                                err.alias("err")).where("err is null")
+    return docking_manifest(rec, lig, "receptor_id")
+
+
+SCREEN_SQL = duck_with("atoms") + """,
+rec as (select * from atoms where mol_id % 2 = 0),
+lig as (select mol_id as ligand, atom_id % 4 as pose_id, atom_id, element, x, y, z from atoms where mol_id % 2 = 1),
+cen as (select avg(x) as cx, avg(y) as cy, avg(z) as cz from rec),
+inbox as (select l.* from lig l, cen where abs(l.x - cx) <= 60 and abs(l.y - cy) <= 60 and abs(l.z - cz) <= 60),
+rbox as (select r.* from rec r, cen where abs(r.x - cx) <= 68 and abs(r.y - cy) <= 68 and abs(r.z - cz) <= 68),
+pr as (select l.ligand, l.pose_id,
+         sqrt((l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2)
+         - case l.element when 'C' then 1.9 when 'N' then 1.8 when 'O' then 1.7 when 'S' then 2.0 else 1.9 end
+         - case r.element when 'C' then 1.9 when 'N' then 1.8 when 'O' then 1.7 when 'S' then 2.0 else 1.9 end as d
+       from inbox l join rbox r on (l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2 <= 64),
+sc as (select ligand, pose_id, round(sum(-0.0356 * exp(-((d / 0.5) ^ 2)) + case when d < 0 then 0.84 * d * d else 0 end), 3) as score,
+         count(*) as contacts from pr group by ligand, pose_id)
+select ligand, pose_id, score, contacts, rank from (select *, row_number() over (partition by ligand order by score, pose_id) as rank from sc) t
+where rank <= 10"""
+
+
+@register("screen_poses", SCREEN_SQL)
+def q_screen(spark, sf):
+    a = view(spark, sf, "atoms")
+    rec = a.where(F.col("mol_id") % 2 == 0)
+    lig = a.where(F.col("mol_id") % 2 == 1).select(F.col("mol_id").alias("ligand"), (F.col("atom_id") % 4).alias("pose_id"),
+                                                   "atom_id", "element", "x", "y", "z")
+    c = rec.agg(F.avg("x"), F.avg("y"), F.avg("z")).first()     # one receptor centre (3 numbers)
+    return screen_poses(lig, rec, (c[0], c[1], c[2]), size=120.0, cutoff=8.0, num_poses=10)
+
+
+@register("pocket_points")
+def q_pockets(spark, sf):
+    return pocket_points(view(spark, sf, "atoms"), spacing=2.0, min_burial=3)
+
+
+@register("label_stats", duck_with("pixels") + """,
+l as (select *, cast(floor(value * 10) as bigint) as label from pixels where value > 0.15),
+per as (select image_id, label, count(*) as area, round(avg(x), 4) as cx, round(avg(y), 4) as cy, round(avg(0), 4) as cz,
+          round(avg(value), 4) as mean_value from l group by image_id, label)
+select p.*, c.cells from per p join (select image_id, count(*) as cells from per group by image_id) c on c.image_id = p.image_id""")
+def q_label_stats(spark, sf):
+    px = view(spark, sf, "pixels").where(F.col("value") > 0.15).withColumn(
+        "label", F.floor(F.col("value") * 10).cast("bigint"))
+    return label_stats(px)
+
+
+@register("label_regions")
+def q_label_regions(spark, sf):
+    return label_regions(view(spark, sf, "pixels"), threshold=0.15)
+
+
+def _make_brightness_model():
+    # a user-supplied model: logistic response to a pixel's value
+    def predict(values: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-8.0 * (values - 0.15)))
+    return predict
+
+
+@register("batch_predict")
+def q_batch_predict(spark, sf):
+    px = view(spark, sf, "pixels")
+    return batch_predict(px, _make_brightness_model, DoubleType(), ["value"], batch_size=1024)
