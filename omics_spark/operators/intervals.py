@@ -8,7 +8,8 @@ Range joins are rewritten as equi-joins on (contig, bin): each interval is
 exploded into the fixed-size bins it touches and the overlap predicate is
 checked inside the bin. A pair is kept only in the bin holding the start of
 the overlap, so it comes out once. The bin size follows the data (a high
-percentile of interval length) unless given. Spark then picks sort-merge or
+percentile of interval length) when asked (``bin_size="auto"``), else
+DEFAULT_BIN. Spark then picks sort-merge or
 shuffle-hash per bin key; AQE splits skewed bins.
 """
 
@@ -21,6 +22,17 @@ from .blocks import BLK, DEFAULT_WIDTH, after, before, block_carry, in_block, po
 
 COORDS = ("contig", "start_pos", "end_pos")
 MIN_BIN, MAX_BIN = 64, 1 << 22
+# Default bin: a few times a read / peak length, small against genes. An
+# interval of length L lands in L/4096 + 1 bins, so long features cost
+# rows linearly and no broadcast is needed. ``bin_size="auto"`` measures
+# the inputs instead (one extra pass over each side).
+DEFAULT_BIN = 4096
+
+
+def _bin_size(bin_size, *dfs: DataFrame) -> int:
+    if bin_size == "auto":
+        return auto_bin(*dfs)
+    return int(bin_size or DEFAULT_BIN)
 
 
 def auto_bin(*dfs: DataFrame, q: float = 0.95) -> int:
@@ -59,7 +71,7 @@ def _prefixed(df: DataFrame, prefix: str, taken: set[str]) -> DataFrame:
     return df.select(*out)
 
 
-def intersect_intervals(a: DataFrame, b: DataFrame, bin_size: int | None = None,
+def intersect_intervals(a: DataFrame, b: DataFrame, bin_size: int | str | None = None,
                         a_prefix: str = "a_", b_prefix: str = "b_") -> DataFrame:
     """One row per overlapping (a, b) pair.
 
@@ -67,7 +79,7 @@ def intersect_intervals(a: DataFrame, b: DataFrame, bin_size: int | None = None,
     as ``a_start_pos`` ... and all other columns of both sides (b's columns
     that clash with a's get ``b_``).
     """
-    size = bin_size or auto_bin(a, b)
+    size = _bin_size(bin_size, a, b)
     a2 = _prefixed(a, a_prefix, set())
     b2 = _prefixed(b, b_prefix, set(a.columns) - set(COORDS))
     as_, ae = a_prefix + "start_pos", a_prefix + "end_pos"
@@ -95,7 +107,7 @@ def _with_span(df: DataFrame, start: Column | None, end: Column | None) -> DataF
 
 def restrict_to_intervals(df: DataFrame, regions: DataFrame, how: str = "semi",
                           start: Column | None = None, end: Column | None = None,
-                          bin_size: int | None = None) -> DataFrame:
+                          bin_size: int | str | None = None) -> DataFrame:
     """Rows of ``df`` overlapping any region (``how='semi'``) or none
     (``how='anti'``), each row at most once. ``start``/``end`` give the row's
     0-based half-open span (default its start_pos/end_pos).
@@ -106,8 +118,8 @@ def restrict_to_intervals(df: DataFrame, regions: DataFrame, how: str = "semi",
     assert how in ("semi", "anti")
     x = _with_span(df, start, end)
     r = regions.select("contig", F.col("start_pos").alias("_rs"), F.col("end_pos").alias("_re"))
-    size = bin_size or auto_bin(r.select("contig", F.col("_rs").alias("start_pos"),
-                                         F.col("_re").alias("end_pos")))
+    size = _bin_size(bin_size, r.select("contig", F.col("_rs").alias("start_pos"),
+                                        F.col("_re").alias("end_pos")))
     rx = explode_bins(r, size, "_rs", "_re")
     one = bin_of(F.col("_s"), size) == bin_of(F.greatest(F.col("_e") - 1, F.col("_s")), size)
 

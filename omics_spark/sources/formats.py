@@ -93,21 +93,38 @@ def write_fasta(df: DataFrame, path: str, width: int = 60, id_col: str = "seq_id
 # ---------------------------------------------------------------- FASTQ
 
 
+def line_index(lines: DataFrame) -> DataFrame:
+    """Add ``file`` and ``i``: the 0-based line number inside its file,
+    computed JVM-side for any split layout.
+
+    Each file split (``_metadata.file_block_start``) is read by one task in
+    order, so ``monotonically_increasing_id`` minus the split's smallest id
+    is the line's rank in the split; per-split line counts (one row per
+    split) are prefix-summed along the file into offsets. No data reaches
+    the driver and split order across partitions does not matter."""
+    x = lines.select("value", F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("_b"),
+                     F.monotonically_increasing_id().alias("_mid"))
+    blocks = x.groupBy("file", "_b").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return x.join(blocks.select("file", "_b", "_m0", "_off"), ["file", "_b"]) \
+            .withColumn("i", F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_b", "_mid", "_m0", "_off")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """A5: 4-line records -> read_id, seq, qual (and the record's ordinal).
 
-    Lines get a global index (``zipWithIndex``: one counting pass, no data
-    to the driver); record = index div 4, field = index mod 4, then one
-    aggregation puts the four lines together. Quality lines may start with
-    '@', so the file is never split on '\\n@'."""
-    lines = spark.read.text(path)
-    idx = lines.rdd.zipWithIndex().map(lambda t: (t[1], t[0][0])).toDF("i bigint, value string")
+    Lines get a global index (:func:`line_index`); record = index div 4,
+    field = index mod 4, then one aggregation puts the four lines together.
+    Quality lines may start with '@', so the file is never split on '\\n@'."""
+    idx = line_index(spark.read.text(path))
     rec = F.floor(F.col("i") / 4).cast("bigint")
-    g = idx.groupBy(rec.alias("record")).agg(
+    g = idx.groupBy("file", rec.alias("record")).agg(
         F.max(F.when(F.col("i") % 4 == 0, F.col("value"))).alias("h"),
         F.max(F.when(F.col("i") % 4 == 1, F.col("value"))).alias("seq"),
         F.max(F.when(F.col("i") % 4 == 3, F.col("value"))).alias("qual"))
-    return g.select("record", F.regexp_extract("h", r"^@(\S*)", 1).alias("read_id"), "seq", "qual")
+    return g.select("file", "record", F.regexp_extract("h", r"^@(\S*)", 1).alias("read_id"), "seq", "qual")
 
 
 def write_fastq(df: DataFrame, path: str, id_col: str = "read_id") -> None:

@@ -96,3 +96,20 @@ def test_pipe_groups_whole_groups(spark):
                                "k string, o int, value string")
     out = {r.k: r.value for r in pipe_groups(df, ["k"], ["tail", "-n", "1"], order=["o"]).collect()}
     assert out == {"a": "4", "b": "9"}
+
+
+def test_read_fastq_across_many_splits(spark):
+    d = tempfile.mkdtemp(prefix="fq-")
+    recs = [(f"r{i}", "ACGT" * (i % 7 + 1), "@" + "I" * (4 * (i % 7 + 1) - 1)) for i in range(3000)]
+    with open(f"{d}/big.fq", "w") as fh:
+        for rid, s, q in recs:
+            fh.write(f"@{rid}\n{s}\n+\n{q}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = FM.read_fastq(spark, f"{d}/big.fq")
+        assert df.rdd.getNumPartitions() >= 1
+        got = {(r.read_id, r.seq, r.qual) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == set(recs)
