@@ -181,16 +181,12 @@ def write_sam(df: DataFrame, path: str, contigs: list[tuple[str, int]] | None =
 # ---------------------------------------------------------------- VCF
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """A7: '#' lines dropped; '.' QUAL -> null; INFO -> map (flag keys map
-    to null: test with ``map_contains_key``); samples -> array of
-    struct<sample, fields map>. Sample names come from the '#CHROM' line
-    (one line per file, read to the driver)."""
-    text = spark.read.text(path)
-    head = text.where(F.col("value").startswith("#CHROM")).limit(1).collect()
-    samples = head[0]["value"].split("\t")[9:] if head else []
+def parse_vcf_lines(lines: DataFrame, samples: list[str] | None = None) -> DataFrame:
+    """VCF body lines (``value``) -> typed records; '#' lines are dropped.
+    Works on batch and streaming DataFrames alike."""
+    samples = samples or []
     f = F.split(F.col("value"), "\t")
-    body = text.where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     fmt = F.split(f.getItem(8), ":")
     gts = F.array(*[F.struct(F.lit(s).alias("sample"),
                              F.map_from_arrays(fmt, F.split(f.getItem(9 + i), ":")).alias("fields"))
@@ -207,6 +203,17 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
         gts.alias("genotypes"))
 
 
+def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """A7: '#' lines dropped; '.' QUAL -> null; INFO -> map (flag keys map
+    to null: test with ``map_contains_key``); samples -> array of
+    struct<sample, fields map>. Sample names come from the '#CHROM' line
+    (one line per file, read to the driver)."""
+    text = spark.read.text(path)
+    head = text.where(F.col("value").startswith("#CHROM")).limit(1).collect()
+    samples = head[0]["value"].split("\t")[9:] if head else []
+    return parse_vcf_lines(text, samples)
+
+
 def write_vcf(df: DataFrame, path: str, info_cols: list[str] | None = None,
               contigs: list[tuple[str, int]] | None = None) -> None:
     """VCF 4.2 header then records ordered by (contig, pos). ``info_cols``
