@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .blocks import BLK, DEFAULT_WIDTH, after, before, block_carry, in_block, pos_blocks
 
 COORDS = ("contig", "start_pos", "end_pos")
@@ -148,8 +149,10 @@ def island_starts(df: DataFrame, gap: int = 0, width: int = DEFAULT_WIDTH) -> Da
     when it lies beyond every earlier end (+gap) of the contig.
     """
     keys = ["contig"]
-    s = df.groupBy("contig", "start_pos").agg(F.max("end_pos").alias("_e"),
-                                              F.count(F.lit(1)).alias("_n"))
+    # the collapsed table feeds the row pass and both carries: written once
+    # to the shared folder instead of re-scanned and re-shuffled per branch
+    s = cut_lineage(df.groupBy("contig", "start_pos").agg(F.max("end_pos").alias("_e"),
+                                                          F.count(F.lit(1)).alias("_n")))
     b = pos_blocks(s, "start_pos", width)
     c1 = block_carry(b, keys, {"bmax": F.max("_e")}, {"c_end": F.max("bmax").over(before(keys))})
     w = in_block(keys, ["start_pos"])
@@ -186,7 +189,7 @@ def complement_intervals(df: DataFrame, contig_lengths: DataFrame | None = None,
                          width: int = DEFAULT_WIDTH) -> DataFrame:
     """Uncovered gaps [prev_end, next_start) per contig, from 0. With
     ``contig_lengths`` (contig, length) also the tail gap and empty contigs."""
-    m = merge_intervals(df, width=width).select(*COORDS)
+    m = cut_lineage(merge_intervals(df, width=width).select(*COORDS))
     keys = ["contig"]
     b = pos_blocks(m, "start_pos", width)
     c = block_carry(b, keys, {"bmax": F.max("end_pos")},
@@ -230,7 +233,8 @@ def depth_segments(df: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     +1/-1 events are pre-aggregated per position (hot loci collapse
     map-side), then a running sum over position in two block passes.
     """
-    ev = (df.select("contig", F.col("start_pos").alias("pos"), F.lit(1).alias("d"))
+    ev = cut_lineage(
+        df.select("contig", F.col("start_pos").alias("pos"), F.lit(1).alias("d"))
           .unionByName(df.select("contig", F.col("end_pos").alias("pos"), F.lit(-1).alias("d")))
           .groupBy("contig", "pos").agg(F.sum("d").alias("d"))
           .where(F.col("d") != 0))
