@@ -94,11 +94,61 @@ def best_segment_np(q: str, s: str, match: int, mismatch: int) -> tuple[int, int
     return best, i, j, int(eq[i: j + 1].sum())
 
 
+def best_segments_batch(qs: list[str], ss: list[str], match: int, mismatch: int) -> np.ndarray:
+    """:func:`best_segment_np` for a whole batch at once: the strings are
+    laid end to end with a 0 sentinel before each, prefix sums are taken
+    per segment, and per-segment minima / maxima use offset tricks and
+    ``reduceat``. Returns an int64 array (rows, 4): score, start, end, ident."""
+    n = len(qs)
+    out = np.zeros((n, 4), dtype=np.int64)
+    out[:, 1:3] = -1
+    lens = np.array([min(len(a), len(b)) for a, b in zip(qs, ss)], dtype=np.int64)
+    if n == 0 or lens.sum() == 0:
+        return out
+    qb = np.frombuffer("".join(a[:k] for a, k in zip(qs, lens)).encode("latin-1", "replace"), dtype=np.uint8)
+    sb = np.frombuffer("".join(b[:k] for b, k in zip(ss, lens)).encode("latin-1", "replace"), dtype=np.uint8)
+    eq = (qb == sb)
+    seg_len = lens + 1                                  # sentinel + letters
+    seg = np.repeat(np.arange(n), seg_len)
+    starts = np.concatenate(([0], np.cumsum(seg_len)[:-1]))
+    pos = np.arange(seg.size)
+    letter = np.ones(seg.size, dtype=bool)
+    letter[starts] = False
+    x = np.zeros(seg.size, dtype=np.int64)
+    x[letter] = np.where(eq, match, mismatch)
+    c = np.cumsum(x)
+    p = c - np.repeat(c[starts], seg_len)               # per-segment prefix, 0 at the sentinel
+    big = int(np.abs(x).sum()) * 2 + 2
+    shifted = p - seg * big                              # earlier segments never win the min
+    runmin = np.minimum.accumulate(shifted) + seg * big
+    prev_min = np.empty_like(runmin)
+    prev_min[1:] = runmin[:-1]
+    prev_min[starts] = 0
+    cand = np.where(letter, p - prev_min, np.iinfo(np.int64).min)
+    best = np.maximum.reduceat(cand, starts)
+    has = (lens > 0) & (best > 0)
+    # first position reaching the best score
+    jb = np.minimum.reduceat(np.where(cand == np.repeat(best, seg_len), pos, seg.size), starts)
+    m = runmin[np.maximum(jb - 1, 0)]
+    # last position before jb where the prefix equals that minimum -> segment start (reset)
+    flag = (p == np.repeat(m, seg_len)) & (pos < np.repeat(jb, seg_len))
+    ib = np.maximum.reduceat(np.where(flag, pos, -1), starts)
+    hits = np.zeros(seg.size, dtype=np.int64)
+    hits[letter] = eq
+    hc = np.cumsum(hits)
+    ident = hc[np.clip(jb, 0, seg.size - 1)] - hc[np.clip(ib, 0, seg.size - 1)]
+    out[has, 0] = best[has]
+    out[has, 1] = (ib - starts)[has]                     # prefix index ib = letters before the start
+    out[has, 2] = (jb - starts - 1)[has]
+    out[has, 3] = ident[has]
+    return out
+
+
 def segment_udf(match: int, mismatch: int):
     @F.pandas_udf(SEGMENT_TYPE)
     def best_segment(qs: pd.Series, ss: pd.Series) -> pd.DataFrame:
-        rows = [best_segment_np(a or "", b or "", match, mismatch) for a, b in zip(qs, ss)]
-        return pd.DataFrame(rows, columns=["score", "start", "end", "ident"]).astype("int32")
+        res = best_segments_batch([a or "" for a in qs], [b or "" for b in ss], match, mismatch)
+        return pd.DataFrame(res, columns=["score", "start", "end", "ident"]).astype("int32")
     return best_segment
 
 

@@ -105,3 +105,16 @@ def test_connected_components_brute_force(spark):
             seen.add((y, x))
             stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
     assert ncomp == count
+
+
+def test_batched_segments_match_per_row():
+    from omics_spark.plans.homology import best_segments_batch
+    rnd = random.Random(21)
+    for _ in range(100):
+        qs, ss = [], []
+        for _ in range(rnd.randint(1, 15)):
+            n = rnd.randint(0, 30)
+            qs.append("".join(rnd.choice("ACG") for _ in range(n)))
+            ss.append("".join(rnd.choice("ACG") for _ in range(n + rnd.randint(0, 2))))
+        got = [tuple(int(v) for v in r) for r in best_segments_batch(qs, ss, 2, -3)]
+        assert got == [best_segment_np(a, b, 2, -3) for a, b in zip(qs, ss)]
