@@ -179,6 +179,62 @@ def diagonal_segments(seeds: DataFrame, qseqs: DataFrame, sseqs: DataFrame, k: i
                     F.length("q_s").alias("q_len"))
 
 
+PAIR_TYPE = ("struct<strand:string,diag:bigint,n_seeds:bigint,raw_score:int,window:int,q_start:int,"
+             "q_end:int,s_start:bigint,align_length:int,identities:int,q_len:int>")
+
+
+def pair_udf(k: int, match: int, mismatch: int, flank: int):
+    """Best ungapped segment over all seeded diagonals of one (query,
+    subject) pair; ties to the smaller strand then diagonal. All windows of
+    an Arrow batch go through one :func:`best_segments_batch` call."""
+    @F.pandas_udf(PAIR_TYPE)
+    def best_pair(diags: pd.Series, qp: pd.Series, qm: pd.Series, ss: pd.Series) -> pd.DataFrame:
+        owner, meta, qw, sw = [], [], [], []
+        for r, (dl, a, b, subj) in enumerate(zip(diags, qp, qm, ss)):
+            subj = subj or ""
+            for d in dl:
+                q = (a if d["strand"] == "+" else b) or ""
+                diag = int(d["diag"])
+                lo = max(int(d["qmin"]) - flank, -diag, 0)
+                hi = min(int(d["qmax"]) + k + flank, len(q), len(subj) - diag)
+                owner.append(r)
+                meta.append((d["strand"], diag, int(d["n_seeds"]), lo, max(hi - lo, 0), len(q)))
+                qw.append(q[lo:hi] if hi > lo else "")
+                sw.append(subj[lo + diag: hi + diag] if hi > lo else "")
+        res = best_segments_batch(qw, sw, match, mismatch)
+        best: dict[int, tuple] = {}
+        for r, m, (sc, st, en, idn) in zip(owner, meta, res):
+            key = (-int(sc), m[0], m[1])
+            if r not in best or key < best[r][0]:
+                best[r] = (key, m, int(sc), int(st), int(en), int(idn))
+        rows = []
+        for r in range(len(diags)):
+            if r not in best:
+                rows.append((None,) * 11)
+                continue
+            _, (strand, diag, n_seeds, lo, win, qlen), sc, st, en, idn = best[r]
+            rows.append((strand, diag, n_seeds, sc, win, lo + st, lo + en + 1, lo + diag + st,
+                         en - st + 1, idn, qlen))
+        return pd.DataFrame(rows, columns=["strand", "diag", "n_seeds", "raw_score", "window", "q_start",
+                                           "q_end", "s_start", "align_length", "identities", "q_len"])
+    return best_pair
+
+
+def pair_segments(seeds: DataFrame, queries: DataFrame, subjects: DataFrame, k: int,
+                  match: int = 1, mismatch: int = -1, flank: int = 50) -> DataFrame:
+    """Best segment per (q_id, s_id): seeds -> per-diagonal counts -> the
+    pair's diagonals collected (bounded by the two sequence lengths) ->
+    one join of the sequences per pair, not per diagonal. ``queries``
+    (q_id, q_plus, q_minus), ``subjects`` (s_id, s_s)."""
+    d = (seeds.withColumn("diag", F.col("s_pos") - F.col("q_pos"))
+         .groupBy("q_id", "s_id", "strand", "diag")
+         .agg(F.count(F.lit(1)).alias("n_seeds"), F.min("q_pos").alias("qmin"), F.max("q_pos").alias("qmax")))
+    g = d.groupBy("q_id", "s_id").agg(F.collect_list(F.struct("strand", "diag", "n_seeds", "qmin", "qmax")).alias("dl"))
+    g = g.join(queries, "q_id").join(subjects, "s_id")
+    r = g.select("q_id", "s_id", pair_udf(k, match, mismatch, flank)("dl", "q_plus", "q_minus", "s_s").alias("_b"))
+    return r.select("q_id", "s_id", "_b.*")
+
+
 def _best_per_pair(seg: DataFrame) -> DataFrame:
     """Best segment per (query, subject); total tie-break (strand, diag)."""
     rec = F.struct(*[F.col(c) for c in seg.columns])
@@ -211,14 +267,12 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
     if program in ("tblastn", "tblastx"):
         s_t = six_frames(s, "sid0", "s0").join(s.select("sid0", "title"), F.col("id") == F.col("sid0"))
         s = s_t.select(F.struct(F.col("id"), F.col("frame")).alias("sid0"), F.col("seq").alias("s0"), "title")
-    qseqs = q.select(F.col("qid0").alias("q_id"), F.lit("+").alias("strand"), F.col("s0").alias("q_s"))
-    if nucleotide:
-        qseqs = qseqs.unionByName(q.select(F.col("qid0").alias("q_id"), F.lit("-").alias("strand"),
-                                           revcomp(F.col("s0")).alias("q_s")))
+    qseqs = q.select(F.col("qid0").alias("q_id"), F.col("s0").alias("q_plus"),
+                     (revcomp(F.col("s0")) if nucleotide else F.lit(None).cast("string")).alias("q_minus"))
     seeds = kmer_join(q, s, k, max_freq, both_strands=nucleotide, q_id="qid0", s_id="sid0",
                       q_seq="s0", s_seq="s0")
-    seg = diagonal_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")), k)
-    best = _best_per_pair(seg.where(F.col("raw_score") >= min_raw))
+    best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")), k)
+    best = best.where(F.col("raw_score") >= min_raw)
     db_len = subjects.agg(F.sum(F.length(seq))).first()[0] or 1
     best = best.join(s.select(F.col("sid0").alias("s_id"), "title"), "s_id")
     hits = best.select(
