@@ -106,7 +106,22 @@ def q_label_stats(spark, sf):
     return label_stats(px)
 
 
-@register("label_regions")
+LABEL_REGIONS_SQL = duck_with("pixels") + """,
+fg as (select *, cast(image_id as bigint) * 4398046511104 + cast(y as bigint) * 16384 + cast(x as bigint) as id
+       from pixels where value > 0.15),
+edges as (select a.id as src, b.id as dst from fg a join fg b on a.image_id = b.image_id
+          and ((a.y = b.y and abs(a.x - b.x) = 1) or (a.x = b.x and abs(a.y - b.y) = 1))),
+cc as (with recursive walk(id, label) as (select id, id from fg
+         union select e.dst, w.label from walk w join edges e on e.src = w.id)
+       select id, min(label) as label from walk group by id),
+lab as (select fg.*, cc.label from fg join cc using (id)),
+per as (select image_id, label, count(*) as area, round(avg(x), 4) as cx, round(avg(y), 4) as cy, round(avg(0), 4) as cz,
+          round(avg(value), 4) as mean_value from lab group by image_id, label)
+select p.*, c.cells, round(2.0 * sqrt(p.area / pi()), 4) as diameter
+from per p join (select image_id, count(*) as cells from per group by image_id) c on c.image_id = p.image_id"""
+
+
+@register("label_regions", LABEL_REGIONS_SQL)
 def q_label_regions(spark, sf):
     return label_regions(view(spark, sf, "pixels"), threshold=0.15)
 
