@@ -313,7 +313,9 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int =
     seeds = kmer_join(r, g, k, max_freq, both_strands=True, q_id="rid", s_id="gid",
                       q_seq="rseq", s_seq="gseq")
     diag = (seeds.withColumn("diag", F.col("s_pos") - F.col("q_pos"))
-            .groupBy("q_id", "s_id", "strand", "diag").agg(F.count(F.lit(1)).alias("n_seeds")))
+            # one seed per read position on a diagonal (identical reads sharing an
+            # id are not counted twice)
+            .groupBy("q_id", "s_id", "strand", "diag").agg(F.countDistinct("q_pos").alias("n_seeds")))
     top2 = top_k(diag, ["q_id"], [F.col("n_seeds").desc(), F.col("s_id"), F.col("strand"), F.col("diag")],
                  2, salt_cols=["s_id", "strand", "diag"])
     best = top2.where("rank = 1").drop("rank")
