@@ -133,7 +133,9 @@ def _make_brightness_model():
     return predict
 
 
-@register("batch_predict")
+@register("batch_predict", duck_with("pixels") + """
+select image_id, y, x, value, round(1.0 / (1.0 + exp(-8.0 * (value - 0.15))), 6) as prediction from pixels""")
 def q_batch_predict(spark, sf):
     px = view(spark, sf, "pixels")
-    return batch_predict(px, _make_brightness_model, DoubleType(), ["value"], batch_size=1024)
+    out = batch_predict(px, _make_brightness_model, DoubleType(), ["value"], batch_size=1024)
+    return out.withColumn("prediction", F.round("prediction", 6))
