@@ -53,7 +53,7 @@ def q_local_background(spark, sf):
 @register("poisson_upper", duck_with("chip_tags") + """,
 b as (select contig, cast(floor(start_pos / 1000) as bigint) as bin,
         cast(sum(case when sample = 'treatment' then 1 else 0 end) as bigint) as n,
-        sum(case when sample = 'control' then 1 else 0 end) * 1.0 + 0.5 as lam
+        cast(sum(case when sample = 'control' then 1 else 0 end) as double) + 0.5 as lam
       from chip_tags group by 1, 2)
 select contig, bin, cast(n as bigint) as n, lam,
   round(greatest(0.0, 1.0 - coalesce((select sum(exp(-lam + k * ln(lam) - lgamma(k + 1))) from range(0, cast(n as bigint)) t(k)), 0.0)), 6) as p

@@ -38,7 +38,7 @@ def q_neighbours(spark, sf):
 
 
 @register("top_poses", duck_with("atoms") + """
-select mol_id, atom_id, score, rank from (select mol_id, atom_id, round(x + y + z, 4) as score,
+select mol_id, atom_id, score, cast(rank as int) as rank from (select mol_id, atom_id, round(x + y + z, 4) as score,
   row_number() over (partition by mol_id order by round(x + y + z, 4), atom_id) as rank from atoms) t where rank <= 10""")
 def q_top_poses(spark, sf):
     s = view(spark, sf, "atoms").select("mol_id", "atom_id", F.round(F.col("x") + F.col("y") + F.col("z"), 4).alias("score"))
@@ -76,7 +76,7 @@ pr as (select l.ligand, l.pose_id,
        from inbox l join rbox r on (l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2 <= 64),
 sc as (select ligand, pose_id, round(sum(-0.0356 * exp(-((d / 0.5) ^ 2)) + case when d < 0 then 0.84 * d * d else 0 end), 3) as score,
          count(*) as contacts from pr group by ligand, pose_id)
-select ligand, pose_id, score, contacts, rank from (select *, row_number() over (partition by ligand order by score, pose_id) as rank from sc) t
+select ligand, pose_id, score, contacts, cast(rank as int) as rank from (select *, row_number() over (partition by ligand order by score, pose_id) as rank from sc) t
 where rank <= 10"""
 
 
