@@ -17,7 +17,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     On a cluster, use the cluster's own session instead; nothing in the
     library depends on these settings beyond AQE being on.
     """
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -29,8 +29,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("OMICS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    log_dir = os.environ.get("OMICS_EVENT_LOG_DIR")
+    if log_dir:   # stage / task times without the web UI
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
