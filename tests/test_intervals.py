@@ -75,3 +75,12 @@ def test_complement_with_lengths(spark):
     lens = spark.createDataFrame([("c", 50), ("e", 7)], "contig string, length bigint")
     got = sorted(tuple(r) for r in IV.complement_intervals(df, lens).collect())
     assert got == [("c", 0, 10), ("c", 20, 30), ("c", 40, 50), ("e", 0, 7)]
+
+
+def test_restrict_keeps_identical_rows_spanning_bins(spark):
+    # two identical rows crossing several bins: both come out once each
+    df = spark.createDataFrame([("c", 10, 200, 1), ("c", 10, 200, 1), ("c", 500, 700, 2)], SCHEMA + ", rid int")
+    regions = _df(spark, [("c", 150, 160), ("c", 40, 60)])
+    semi = sorted(r.rid for r in IV.restrict_to_intervals(df, regions, "semi", bin_size=32).collect())
+    anti = sorted(r.rid for r in IV.restrict_to_intervals(df, regions, "anti", bin_size=32).collect())
+    assert semi == [1, 1] and anti == [2]
