@@ -42,6 +42,38 @@ def map_batches(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, text: str, fn: Callable, fields: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns computed from column ``text``, and their names.
+
+    ``fn(texts) -> one list per field``; ``fields`` are "name type". Names get
+    underscores until they clash with none of ``df``. Other columns pass
+    through Arrow unchanged.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    taken, names, types = {c.lower() for c in df.columns}, [], []
+    for field in _parse_datatype_string(", ".join(fields)):
+        name = field.name
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        names.append(name)
+        types.append(field.dataType)
+    schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in zip(names, types, strict=True))])
+    arrow = [to_arrow_type(t) for t in types]
+    at = df.columns.index(text)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            new = [pa.array(v, t) for v, t in zip(fn(batch.column(at).to_pylist()), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema), names
+
+
 def gapless_rank(df: DataFrame, keys: list[str], salt: Column, order: list, name: str,
                  salts: int) -> DataFrame:
     """Adds ``name``: a number from 0 without gaps within ``keys``.

@@ -315,10 +315,11 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")
     keep = (near_duplicates(docs, shingle, max_bits).groupBy("root").agg(best)
             .select(F.coalesce("best.doc_id", F.lit(-1)).alias("_id"), F.col("best.text_hash").alias("_text")))
-    tagged = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_text": text_hash()})
-    first = Window.partitionBy("_id", "_text").orderBy(*orderable(docs))
+    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), text_hash().alias("_text"),
+                         F.struct("*").alias("row"), F.xxhash64(*orderable(docs)).alias("_content"))
+    first = Window.partitionBy("_id", "_text").orderBy("_content")
     return (tagged.join(keep, ["_id", "_text"]).withColumn("_nth", F.row_number().over(first))
-            .where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .where("_nth = 1").select("row.*"))
 
 
 def hex_of(fp) -> F.Column:
