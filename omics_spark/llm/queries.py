@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, decontaminate, language_id, pivot_topk, quality, simhash_dedup, toxicity
+from . import bin_packing, decontaminate, html_extract, kd_sharding, language_id, license_scan, pivot_topk, quality, simhash_dedup, toxicity
 from .common import crc32_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,42 @@ def register(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@register
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(license_scan.TEMPLATES.items()))
+
+#: The exact answer: all windows, no MinHash.
+ORACLES["op1_license_scan"] = rf"""
+WITH t(license_id, text) AS (VALUES {_NOTICES}),
+words AS (
+  SELECT doc_id, CAST(NULL AS VARCHAR) AS license_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+  UNION ALL
+  SELECT NULL, license_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') FROM t),
+grams AS (
+  SELECT doc_id, license_id, text, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS gram
+  FROM (SELECT *, unnest(range(len(w) - 4)) AS pos FROM words WHERE len(w) >= 5)),
+tg AS (
+  SELECT license_id, gram, count(*) OVER (PARTITION BY license_id) AS n
+  FROM (SELECT DISTINCT license_id, gram FROM grams WHERE license_id IS NOT NULL)),
+hits AS (
+  SELECT d.doc_id, d.text, tg.license_id, tg.n, greatest(1, tg.n // 4) AS stride, d.pos, d.gram
+  FROM grams d JOIN tg USING (gram) WHERE d.license_id IS NULL),
+held AS (
+  SELECT doc_id, text, license_id, start, count(DISTINCT gram) / CAST(any_value(n) AS DOUBLE) AS share
+  FROM (SELECT *, unnest(range(greatest(0, pos - n + 1) // stride, pos // stride + 1)) * stride AS start,
+               n + stride - 1 AS width FROM hits)
+  WHERE start <= pos AND pos < start + width
+  GROUP BY ALL HAVING share >= 0.8)
+SELECT doc_id, license_id, max(share) AS containment, arg_min(start, (-share, start)) AS first_shingle, count(*) AS windows
+FROM (SELECT doc_id, text, license_id, start, share FROM held)
+GROUP BY doc_id, text, license_id
+"""
+
+
 @register
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_topk.scaled(table(spark, sf_dir, "embeddings"))
@@ -28,13 +64,13 @@ def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_pivot_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)]) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 100 = 0),
 r AS (
@@ -79,6 +115,16 @@ def op7_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack(table(spark, sf_dir, "documents"), bin_packing.tokenizer_path(), capacity=1024, end_id=2)
 
 
+@register
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+@register
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @register
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
