@@ -32,7 +32,9 @@ def _finite(x: Column) -> Column:
 def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v): components as floor(scale * x). Rows with a null id, a
     null vector or a null or non-finite component take no part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    # Beyond 2^53 a double is an integer already, and floor() would need a long.
+    v = F.transform(F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double")),
+                    lambda y: F.when(F.abs(y) < 2.0 ** 53, F.floor(y).cast("double")).otherwise(y))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", _finite)
     return vectors.where(good).select(F.col("vec_id").cast("long"), v.alias("v"))
 
@@ -106,8 +108,8 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = PIVO
     blocks, groups = max(1, -(-x_values // block_values)), max(1, -(-q_values // query_values))
     # A bounded sample, the same on every run: far-apart members are pivots.
     sample = [r.v for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(PIVOT_SAMPLE).collect()]
-    by_length = {n: choose_pivots(np.array([s for s in sample if len(s) == n], float).reshape(-1, n), n_pivots)
-                 for n in {len(s) for s in sample}}
+    by_length = {n: choose_pivots(np.array(same, float).reshape(len(same), n), n_pivots)
+                 for n in {len(s) for s in sample} for same in [[s for s in sample if len(s) == n]]}
 
     def matrices(pdf):
         """By length: ids ascending without repeats, and their vectors."""
@@ -116,7 +118,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = PIVO
             if i not in seen:
                 seen.add(i)
                 kept.setdefault(len(v), []).append((i, v))
-        return {n: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float).reshape(-1, n))
+        return {n: (np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float).reshape(len(rows), n))
                 for n, rows in kept.items()}
 
     def search(x_rows, q_rows):
