@@ -23,6 +23,8 @@ from .common import gapless_rank, salts_for, written
 BUCKETS = 4096
 #: Values of a dimension and hash bits in a position.
 VALUES, HASH_BITS = 1 << 30, 31
+#: A dimension is about as wide as the widest from this share of its width.
+WIDE = 0.75
 #: A median may leave this share of its node on the wrong side.
 TOLERANCE = 1e-5
 
@@ -60,41 +62,40 @@ def _by_node(nodes: list[Node], value) -> Column:
     return out
 
 
-def _medians(units: DataFrame, nodes: list[Node], position: list[Column], share: list[float]) -> list[int]:
-    """For each node the position below which nearest to ``share`` of its
-    weight lies. Histograms of all nodes narrow in on it together."""
-    low, high = [0] * len(nodes), [VALUES << HASH_BITS] * len(nodes)
-    below, cut, target = [0] * len(nodes), [None] * len(nodes), [None] * len(nodes)
-    while any(c is None for c in cut):
-        open_ = [i for i, c in enumerate(cut) if c is None]
+def _medians(units: DataFrame, tries: list[tuple[Column, Column, float]]) -> list[tuple[int, float]]:
+    """For each (inside, position, share) the position below which nearest to
+    ``share`` of the inside weight lies, and by how much weight it is off.
+    Histograms of all tries narrow in on the cuts together."""
+    low, high = [0] * len(tries), [VALUES << HASH_BITS] * len(tries)
+    below, target = [0] * len(tries), [None] * len(tries)
+    found: list[tuple[int, float] | None] = [None] * len(tries)
+    while open_ := [i for i, f in enumerate(found) if f is None]:
         step = {i: max(1, -(-(high[i] - low[i]) // BUCKETS)) for i in open_}
-        node, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+        at = []
         for i in open_:
-            here = nodes[i].inside & (position[i] >= low[i]) & (position[i] < high[i])
-            node = F.when(here, F.lit(i)).otherwise(node)
-            bucket = F.when(here, F.floor((position[i] - F.lit(low[i])) / F.lit(step[i]))).otherwise(bucket)
+            inside, position, _ = tries[i]
+            bucket = F.floor((position - F.lit(low[i])) / F.lit(step[i]))
+            at.append(F.when(inside & (position >= low[i]) & (position < high[i]), F.struct(F.lit(i).alias("i"), bucket.alias("bucket"))))
+        held = units.select("weight", F.explode(F.array_compact(F.array(*at))).alias("at"))
         sums: dict[int, dict[int, int]] = {i: {} for i in open_}
-        for r in units.select(node.alias("node"), bucket.alias("bucket"), "weight").where("node is not null").groupBy("node", "bucket").agg(F.sum("weight").alias("w")).collect():
-            sums[r["node"]][r["bucket"]] = r["w"]
+        for r in held.groupBy("at").agg(F.sum("weight").alias("w")).collect():
+            sums[r["at"]["i"]][r["at"]["bucket"]] = r["w"]
         for i in open_:
             if target[i] is None:
-                target[i] = share[i] * sum(sums[i].values())
-                total = sum(sums[i].values())
-                slack = total * TOLERANCE
-            at = below[i]
-            cut[i] = high[i]
+                target[i] = tries[i][2] * sum(sums[i].values())
+            so_far = below[i]
+            found[i] = high[i], abs(target[i] - so_far - sum(sums[i].values()))
             for b in sorted(sums[i]):
                 w = sums[i][b]
-                if at + w >= target[i]:
+                if so_far + w >= target[i]:
                     start, end = low[i] + b * step[i], min(high[i], low[i] + (b + 1) * step[i])
-                    slack = TOLERANCE * target[i]
-                    if step[i] == 1 or w <= slack:
-                        cut[i] = end if at + w - target[i] < target[i] - at else start
+                    if step[i] == 1 or w <= TOLERANCE * target[i]:
+                        found[i] = min((end, so_far + w - target[i]), (start, target[i] - so_far), key=lambda x: x[1])
                     else:
-                        low[i], high[i], below[i], cut[i] = start, end, at, None
+                        low[i], high[i], below[i], found[i] = start, end, so_far, None
                     break
-                at += w
-    return cut
+                so_far += w
+    return found
 
 
 def partition(units: DataFrame, dims: list[str], shards: int) -> Column:
@@ -115,11 +116,18 @@ def partition(units: DataFrame, dims: list[str], shards: int) -> Column:
         number = _by_node(wide, lambda i: i)
         got = (units.select(number.alias("node"), *[scaled[d].alias(d) for d in dims]).where("node is not null").groupBy("node")
                .agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).collect())
-        widest = {r["node"]: max(dims, key=lambda d: r[d]) for r in got}  # noqa: B023
-        position = [place[widest.get(i, dims[0])] for i in range(len(wide))]
+        widths = {r["node"]: r for r in got}
         middle = [(n.low + n.high) // 2 for n in wide]
-        share = [(m - n.low) / (n.high - n.low) for n, m in zip(wide, middle, strict=True)]
-        cuts = _medians(units, wide, position, share)
+        # Of dimensions about as wide as the widest, the one that splits most evenly.
+        # (An empty node has no widths; where it is cut does not matter.)
+        tries = [(i, d) for i in range(len(wide)) for d in (dims if i in widths else dims[:1])
+                 if i not in widths or widths[i][d] >= WIDE * max(widths[i][e] for e in dims)]
+        halves = _medians(units, [(wide[i].inside, place[d], (middle[i] - wide[i].low) / (wide[i].high - wide[i].low)) for i, d in tries])
+        best = {}
+        for (i, d), (c, off) in zip(tries, halves, strict=True):
+            if i not in best or off < best[i][2]:
+                best[i] = place[d], c, off
+        position, cuts = [best[i][0] for i in range(len(wide))], [best[i][1] for i in range(len(wide))]
         nodes = [n for n in nodes if n.high - n.low == 1]
         for n, m, p, c in zip(wide, middle, position, cuts, strict=True):
             nodes += [Node(n.low, m, n.inside & (p < F.lit(c))), Node(m, n.high, n.inside & (p >= F.lit(c)))]
@@ -130,9 +138,9 @@ def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) ->
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
     Law ``bytes``: shards hold near equal bytes. With ``target_bytes`` the
-    tree grows until leaves have that size. Equal texts stay in one shard; a
-    group of over an eighth of a shard's bytes (copies may be a third of all
-    rows) is cut into parts by id hash. A null text has size 1 and checksum
+    tree grows until leaves have that size. Equal texts stay in one shard, but a
+    group of over a 32nd of a shard's bytes (copies may be a third of
+    all rows) is cut into parts by id hash. A null text has size 1 and checksum
     0, like an empty one. Null ids, sources and languages are values like any
     other; repeated rows each get a slot. An empty table gives no rows.
     """
@@ -146,8 +154,8 @@ def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) ->
     total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     if target_bytes:
         shards = max(1, -(-(total or 0) // target_bytes))
-    limit = max(1, (total or 0) // (shards * 8))
-    # At most 8 groups a shard can be over the limit.
+    limit = max(1, (total or 0) // (shards * 32))
+    # At most 32 groups a shard can be over the limit.
     hot = (rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit)
            .select("text_hash", F.ceil(F.col("bytes") / limit).alias("parts")))
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))

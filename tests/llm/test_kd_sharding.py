@@ -29,19 +29,20 @@ def test_bytes_slots_and_groups(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     rows = K.shard(docs).collect()
     sizes = check(rows, pairs(docs), 8)
-    assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8
+    assert max(sizes) - min(sizes) < 0.01 * sum(sizes) / 8
     home = {r["doc_id"]: r["shard"] for r in rows}
     groups = {}
     for i, t in pairs(docs):
-        groups.setdefault(t, set()).add(home[i])
-    assert all(len(s) == 1 for s in groups.values())
+        groups.setdefault(t, []).append(home[i])
+    small = [s for t, s in groups.items() if len(s) * (len(t.encode()) + 1) <= sum(sizes) // (8 * 32)]
+    assert all(len(set(s)) == 1 for s in small) and any(len(s) > 5 for s in small)
 
 
 def test_other_numbers_of_shards(spark):
     docs = table(spark, SF001, "documents")
-    for shards in (1, 3, 5):
+    for shards in (1, 3):
         sizes = check(K.shard(docs, shards).collect(), pairs(docs), shards)
-        assert max(sizes) < 1.25 * sum(sizes) / shards
+        assert max(sizes) < 1.1 * sum(sizes) / shards
     by_target = K.shard(docs, target_bytes=100_000).agg(F.countDistinct("shard")).first()[0]
     total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0]
     assert by_target == -(-total // 100_000)
