@@ -24,6 +24,13 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def slices(batches: Iterator, rows: int = 1_000) -> Iterator:
+    """Arrow batches in pieces, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
     """``fn(columns: dict of lists) -> dict of lists`` over Arrow batches."""
 
@@ -32,7 +39,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(arrow_schema)
-        for batch in batches:
+        for batch in slices(batches):
             got = fn(batch.to_pydict())
             yield pa.RecordBatch.from_pydict({f.name: pa.array(got[f.name], f.type) for f in out}, schema=out)
 
@@ -67,7 +74,7 @@ def add_columns(df: DataFrame, text: str, fn: Callable, fields: list[str]) -> tu
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             new = [pa.array(v, t) for v, t in zip(fn(batch.column(at).to_pylist()), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 

@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 8 blocks of 8 bits with at most one difference each: 8 * 2 - 1 bits.
@@ -220,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
             import pyarrow as pa
 
             index, shingler = cloudpickle.loads(shared.value), _Shingler()
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not index.search(shingler(t), similarity) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

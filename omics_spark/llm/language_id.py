@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, slices
 
 ORDERS, BITS = 3, 15
 #: Labelled rows of one language used in training (expected; chosen by id hash).
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE, a
         import pyarrow as pa
 
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             cols = batch.to_pydict()
             by: dict[str, list] = {}
             for lang, text in zip(cols["lang"], cols["text"], strict=True):
@@ -156,7 +156,7 @@ def keep_identified(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             found = score_texts(batch.column(batch.schema.get_field_index("text")).to_pylist(), *shared.value)
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, written
+from .common import add_columns, slices, written
 
 BITS = 16
 #: Labelled rows of one label that training reads (expected; by id hash).
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, alpha:
 
         find, hashes = re.compile(TOKEN).findall, _Hashes()
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             cols = batch.to_pydict()
             for text, quality in zip(cols["text"], cols["quality"], strict=True):
                 g = _grams(text, hashes, find)

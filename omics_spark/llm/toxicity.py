@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, written
+from .common import add_columns, slices, written
 
 #: Labelled rows of one label that training reads (expected; by id hash).
 PER_LABEL = 6_000
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
         import pyarrow as pa
 
         find, seen = re.compile(r"[^\W\d_]+").findall, {}
-        for batch in batches:
+        for batch in slices(batches):
             cols = batch.to_pydict()
             for text, toxic in zip(cols["text"], cols["toxic"], strict=True):
                 own = set(find(text.lower()))
