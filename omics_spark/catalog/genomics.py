@@ -134,13 +134,20 @@ def q_depth(spark, sf):
     return IV.depth_segments(view(spark, sf, "iv_a"))
 
 
-@register("greedy_nonoverlap", duck_with("iv_a") + """
-, x as (select *, row_number() over (partition by contig, isl order by score desc, l_orderkey, l_linenumber, start_pos, end_pos, strand) as rn
-  from (select *, sum(case when prev_end is null or start_pos > prev_end then 1 else 0 end)
-      over (partition by contig order by start_pos, end_pos rows between unbounded preceding and current row) as isl
-    from (select *, (end_pos - start_pos) * 7 % 23 as score, max(end_pos) over (partition by contig order by start_pos, end_pos
-            rows between unbounded preceding and 1 preceding) as prev_end from iv_a) a) b)
-select contig, start_pos, end_pos, strand, l_orderkey, l_linenumber, score from x where rn = 1""")
+# The greedy choice in rounds: a hit without a better overlapping hit left is
+# taken, and its overlapping hits go.
+@register("greedy_nonoverlap", duck_with("iv_a").replace("with ", "with recursive ", 1) + """
+, h as (select *, (end_pos - start_pos) * 7 % 23 as score, row_number() over (order by (end_pos - start_pos) * 7 % 23 desc,
+    l_orderkey, l_linenumber, start_pos, end_pos, strand) as rk from iv_a),
+o as (select a.rk as better, b.rk as worse from h a join h b on a.contig = b.contig and a.rk < b.rk
+  and a.start_pos < b.end_pos and b.start_pos < a.end_pos),
+w as (
+  select 0 as round, rk, not exists (select 1 from o where o.worse = h.rk) as best from h
+  union all
+  (with gone as (select rk from w where best union select o.worse from o join w on w.rk = o.better where w.best),
+   rest as (select w.round, w.rk from w where w.rk not in (select rk from gone))
+   select r.round + 1, r.rk, not exists (select 1 from o join rest r2 on r2.rk = o.better where o.worse = r.rk) from rest r))
+select contig, start_pos, end_pos, strand, l_orderkey, l_linenumber, score from h where rk in (select rk from w where best)""")
 def q_greedy(spark, sf):
     hits = view(spark, sf, "iv_a").withColumn("score", (F.col("end_pos") - F.col("start_pos")) * 7 % 23)
     return IV.greedy_nonoverlap(hits, "score", ["l_orderkey", "l_linenumber", "start_pos", "end_pos", "strand"])

@@ -38,21 +38,38 @@ def to_dna(c: Column) -> Column:
     return F.translate(c, "Uu", "Tt")
 
 
+#: Letters of a tile: substring() walks from the start of its string, so long
+#: sequences are cut up first and every look-up stays within a tile.
+TILE = 512
+
+
+def tiles(c: Column, width: int = TILE, extra: int = 0) -> Column:
+    """array<string>: consecutive pieces of ``width`` letters, each with the
+    ``extra`` letters that follow it. One linear pass."""
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    if not extra:
+        return pieces
+    more = -(-extra // width)
+    both = F.transform(F.array(pieces), lambda p: F.transform(p, lambda x, i: F.concat(
+        x, F.substring(F.array_join(F.slice(p, i + 2, more), ""), 1, extra))))
+    return both[0]
+
+
 def kmers(c: Column, k: int) -> Column:
     """array<struct<pos:int (0-based), kmer:string>>; empty when shorter than k."""
-    n = F.length(c) - k + 1
-    arr = F.transform(F.sequence(F.lit(1), n),
-                      lambda i: F.struct((i - 1).alias("pos"), F.substring(c, i, k).alias("kmer")))
-    return F.when(n >= 1, arr).otherwise(
-        F.array().cast("array<struct<pos:int,kmer:string>>"))
+    def of_tile(t: Column, i: Column) -> Column:
+        n = F.length(t) - k + 1
+        found = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: F.struct(
+            (i * TILE + j - 1).alias("pos"), F.substring(t, j, k).alias("kmer")))
+        return F.when(n >= 1, found).otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
+
+    return F.flatten(F.transform(tiles(c, TILE, k - 1), of_tile)) if k > 1 else F.flatten(F.transform(tiles(c), of_tile))
 
 
 def codons(c: Column, frame: int | Column = 0) -> Column:
     """Codons of ``c`` starting at 0-based ``frame`` (incomplete tail dropped)."""
     frame = F.lit(frame) if isinstance(frame, int) else frame
-    n = F.floor((F.length(c) - frame) / 3).cast("int")
-    arr = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, frame + i * 3 + 1, 3))
-    return F.when(n >= 1, arr).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(c, frame + 1, F.length(c)), F.lit("(?s).{3}"), F.lit(0))
 
 
 def codon_map() -> Column:

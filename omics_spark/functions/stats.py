@@ -116,8 +116,14 @@ def hypergeom_upper(k: Column, draws: Column, successes: Column, total: Column)
             .otherwise(F.least(F.lit(1.0), F.exp(ls))))
 
 
+def match_mismatch_parameters(p: float) -> tuple[float, float]:
+    """(lambda, K) of ungapped +1 / -1 scores when a chance pair matches with
+    probability ``p`` < 1/2: lambda solves p e^l + (1-p) e^-l = 1."""
+    return math.log((1 - p) / p), (1 - 2 * p) ** 2 / (1 - p)
+
+
 def bit_score(raw: Column, lam: float = 0.267, k: float = 0.041) -> Column:
-    """Karlin-Altschul bit score (lambda, K as arguments; defaults BLOSUM62 ungapped)."""
+    """Karlin-Altschul bit score (lambda, K as arguments; defaults: gapped BLOSUM62)."""
     return (F.lit(lam) * raw - F.lit(math.log(k))) / F.lit(math.log(2.0))
 
 

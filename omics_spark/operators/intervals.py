@@ -114,7 +114,8 @@ def restrict_to_intervals(df: DataFrame, regions: DataFrame, how: str = "semi",
     0-based half-open span (default its start_pos/end_pos).
 
     Rows inside one bin (almost all) take a plain binned semi/anti join;
-    rows spanning several bins are exploded and de-duplicated by a row id.
+    of rows spanning several bins the distinct spans are exploded, tested
+    and joined back, so no row needs an id.
     """
     assert how in ("semi", "anti")
     x = _with_span(df, start, end)
@@ -131,10 +132,11 @@ def restrict_to_intervals(df: DataFrame, regions: DataFrame, how: str = "semi",
     single = x.where(one).withColumn("_bin", bin_of(F.col("_s"), size))
     out_single = single.join(rx, overlap(single), "left_semi" if how == "semi" else "left_anti")
 
-    multi = x.where(~one).withColumn("_uid", F.monotonically_increasing_id())
-    mx = explode_bins(multi, size, "_s", "_e")
-    hit = mx.join(rx, overlap(mx), "left_semi").select("_uid")
-    out_multi = multi.join(hit, "_uid", "left_semi" if how == "semi" else "left_anti")
+    multi = x.where(~one)
+    span = ["contig", "_s", "_e"]
+    mx = explode_bins(multi.select(*span).distinct(), size, "_s", "_e")
+    hit = mx.join(rx, overlap(mx), "left_semi").select(*span).distinct()
+    out_multi = multi.join(hit, span, "left_semi" if how == "semi" else "left_anti")
     cols = df.columns
     return out_single.select(*cols).unionByName(out_multi.select(*cols))
 
@@ -253,14 +255,39 @@ def depth_segments(df: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
             .where((F.col("depth") > 0) & F.col("end_pos").isNotNull()))
 
 
-def greedy_nonoverlap(hits: DataFrame, score: str = "score",
-                      tie: list[str] | None = None) -> DataFrame:
-    """Keep the best-scoring hit of each group of overlapping hits
-    (groups = gaps-and-islands of the hits). ``tie`` columns (ascending)
-    break score ties. ``min_by`` aggregates partially, so a hot island is
-    not gathered into one task."""
+def greedy_nonoverlap(hits: DataFrame, score: str = "score", tie: list[str] | None = None,
+                      bin_size: int | str | None = "auto", max_rounds: int = 10_000) -> DataFrame:
+    """Hits taken from the best score down, each if it overlaps none
+    taken before (book-ended hits do not overlap). ``tie`` columns
+    (ascending), then the coordinates, break score ties; of hits equal in all
+    of these one is kept.
+
+    A hit that is the best of every bin it touches has no better hit
+    overlapping it, so the greedy choice takes it. Each round takes all such
+    hits of all bins, drops what overlaps them and goes on with the rest; the
+    best hit left is always among them. The best of a bin is an aggregate, so
+    a hot locus is not gathered into one task, and no pairs of hits arise but
+    those with a hit taken. Each round writes what it took and what is left."""
     tie = tie or []
-    y = island_members(hits)
-    best = F.min_by(F.struct(*[F.col(c) for c in hits.columns]),
-                    F.struct((-F.col(score)).alias("s"), *[F.col(t) for t in tie]))
-    return y.groupBy("contig", "_island").agg(best.alias("_h")).select("_h.*")
+    names = hits.columns
+    order = F.struct((-F.col(score)).alias("s"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)],
+                     F.col("start_pos").alias("a"), F.col("end_pos").alias("b"))
+    left = cut_lineage(hits.withColumn("_k", order))
+    size = _bin_size(bin_size, left)
+    kept = None
+    for _ in range(max_rounds):
+        e = explode_bins(left, size, "start_pos", "end_pos")
+        top = e.groupBy("contig", "_bin").agg(F.min("_k").alias("_top"))
+        taken = cut_lineage(e.join(top, ["contig", "_bin"]).groupBy("contig", "_k")
+                            .agg(F.every(F.col("_k") == F.col("_top")).alias("_all"),
+                                 F.min(F.struct(*names)).alias("_h")).where("_all"))
+        kept = taken.select("_h.*") if kept is None else kept.unionByName(taken.select("_h.*"))
+        span = explode_bins(taken.select("contig", F.col("_h.start_pos").alias("_hs"), F.col("_h.end_pos").alias("_he"),
+                                         F.col("_k").alias("_hk")), size, "_hs", "_he")
+        gone = (e.join(span, ["contig", "_bin"])
+                .where(((F.col("start_pos") < F.col("_he")) & (F.col("_hs") < F.col("end_pos"))) | (F.col("_k") == F.col("_hk")))
+                .select("contig", "_k").distinct())
+        left = cut_lineage(left.join(gone, ["contig", "_k"], "left_anti"))
+        if left.isEmpty():
+            return kept
+    raise RuntimeError(f"hits did not settle in {max_rounds} rounds")

@@ -34,24 +34,24 @@ def frequent_kmers(subject_kmers: DataFrame, max_freq: int) -> DataFrame:
             .where(F.col("n") > max_freq).select("kmer"))
 
 
-def kmer_join(queries: DataFrame, subjects: DataFrame, k: int, max_freq: int = 100,
+def kmer_join(queries: DataFrame, subjects: DataFrame, k: int, max_freq: int | None = None,
               both_strands: bool = True, q_id: str = "seq_id", s_id: str = "seq_id",
               q_seq: str = "seq", s_seq: str = "seq") -> DataFrame:
     """C4: shared-k-mer seeds (q_id, s_id, strand, q_pos, s_pos).
 
-    Subject k-mers occurring more than ``max_freq`` times are masked on both
-    sides first (``left_anti``), which bounds the join fan-out per query
-    k-mer by ``max_freq``; the remaining equi-join on the k-mer string is
-    a plain shuffle join (AQE splits skewed k-mer partitions). On the '-'
-    strand, ``q_pos`` is on the reverse complement of the query.
+    All seeds are given: a plain equi-join on the k-mer (AQE splits skewed
+    k-mer partitions); a longer ``k`` is the way to fewer chance seeds. Only
+    on request, ``max_freq`` masks subject k-mers that occur more often. On
+    the '-' strand, ``q_pos`` is on the reverse complement of the query.
     """
     sk = explode_kmers(subjects, k, s_id, s_seq).select(F.col("id").alias("s_id"),
                                                         F.col("pos").alias("s_pos"), "kmer")
     qk = explode_kmers(queries, k, q_id, q_seq, both_strands).select(
         F.col("id").alias("q_id"), "strand", F.col("pos").alias("q_pos"), "kmer")
-    mask = frequent_kmers(sk, max_freq)
-    sk = sk.join(mask, "kmer", "left_anti")
-    qk = qk.join(mask, "kmer", "left_anti")
+    if max_freq is not None:
+        mask = frequent_kmers(sk, max_freq)
+        sk = sk.join(mask, "kmer", "left_anti")
+        qk = qk.join(mask, "kmer", "left_anti")
     return qk.join(sk, "kmer", "inner").select("q_id", "s_id", "strand", "q_pos", "s_pos")
 
 

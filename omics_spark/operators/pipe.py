@@ -10,7 +10,6 @@ user-supplied model in Arrow batches.
 
 from __future__ import annotations
 
-import shlex
 import subprocess
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,22 +22,56 @@ DEFAULT_TIMEOUT = 3600
 
 
 def pipe_lines(df: DataFrame, cmd: Sequence[str], col: str = "value",
-               header: Sequence[str] | None = None, env: dict | None = None) -> DataFrame:
+               header: Sequence[str] | None = None, env: dict | None = None,
+               timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """Lines of ``col`` -> command stdin per partition -> stdout lines
-    as rows (``value``). A non-zero exit fails the task (and the job after
-    retries)."""
-    head = list(header or [])
-    command = shlex.join(list(cmd))
-
-    def with_header(it: Iterator) -> Iterator[str]:
-        yield from head
-        for row in it:
-            v = row[0]
-            yield "" if v is None else str(v)
-
-    rdd = df.select(col).rdd.mapPartitions(with_header)
-    out = rdd.pipe(command, env=env or {}, checkCode=True)
-    return out.map(lambda s: (s,)).toDF("value string")
+    as rows (``value``). The command sees the worker's environment with
+    ``env`` on top, so tools are found by the worker's PATH. Input and output
+    are streamed in batches. A non-zero exit, or running beyond ``timeout``
+    seconds, fails the task (and the job after retries)."""
+    head, command, extra = list(header or []), list(cmd), dict(env or {})
+
+    def run(batches: Iterator) -> Iterator:
+        import os
+        import threading
+        from itertools import islice
+
+        import pyarrow as pa
+
+        child = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True,
+                                 env={**os.environ, **extra})
+        failed = []
+
+        def feed() -> None:
+            try:
+                with child.stdin as sink:
+                    sink.writelines(f"{line}\n" for line in head)
+                    for batch in batches:
+                        sink.writelines("\n" if v is None else f"{v}\n" for v in batch.column(0).to_pylist())
+            except BrokenPipeError:
+                pass   # the command may stop reading early, as head does
+            except BaseException as e:
+                failed.append(e)
+                child.kill()
+
+        feeder = threading.Thread(target=feed, daemon=True)
+        late = threading.Timer(timeout, child.kill)
+        feeder.start()
+        late.start()
+        try:
+            while lines := list(islice(child.stdout, 10_000)):
+                yield pa.RecordBatch.from_pydict({"value": [line.removesuffix("\n") for line in lines]})
+            code = child.wait()
+            feeder.join()
+            if failed:
+                raise failed[0]
+            if code:
+                raise subprocess.CalledProcessError(code, command)
+        finally:
+            late.cancel()
+            child.kill()
+
+    return df.select(F.col(col).cast("string")).mapInArrow(run, "value string")
 
 
 def pipe_groups(df: DataFrame, keys: list[str], cmd: Sequence[str], col: str = "value",

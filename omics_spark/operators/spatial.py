@@ -69,40 +69,52 @@ def label_stats(labelled: DataFrame, image: str = "image_id", label: str = "labe
     return per.join(cells, image)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200,
-                         jumps: int = 2) -> DataFrame:
-    """Components of an undirected graph given as ``nodes`` (id bigint) and
-    ``edges`` (src, dst both ways). Each round: every node takes the
-    smallest label among itself and its neighbours, then labels jump to
-    their label's label ``jumps`` times (pointer jumping), so long chains
-    collapse quickly. Edges and each round's labels are checkpointed into
-    the shared folder (lineage stays short, executor loss recomputes one
-    round at most); stops when no label changes, error if ``max_rounds``
-    is hit (never a partial answer). Returns (id, label)."""
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Components of an undirected graph given as ``nodes`` (id, of any
+    type with an order) and ``edges`` (src, dst both ways). Each round every
+    node takes the smallest label among itself and its neighbours (written),
+    then its label's label (pointer jumping, written with the flag that tells
+    whether anything changed), so long chains collapse quickly. All tables go
+    to the shared folder: lineage stays short and executor loss recomputes one
+    step at most. Error if ``max_rounds`` is hit (never a partial answer).
+    Returns (id, label)."""
     edges = cut_lineage(edges.select("src", "dst"))
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
+    labels = nodes.select("id", F.col("id").alias("label"))
     for _ in range(max_rounds):
-        nb = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(
+        nb = edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.min("label").alias("nl"))
-        cur = cut_lineage(labels.join(nb.withColumnRenamed("dst", "id"), "id", "left").select(
+        cur = cut_lineage(labels.join(nb, "id", "left").select(
             "id", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label")))
-        for _j in range(jumps):
-            # each jump reads the materialised labels of the step before
-            look = cur.select(F.col("id").alias("_i"), F.col("label").alias("_l2"))
-            cur = cut_lineage(cur.join(look, F.col("label") == F.col("_i"), "left")
-                              .select("id", "old", F.least("label", F.coalesce("_l2", "label")).alias("label")))
-        new = cut_lineage(cur.withColumn("_chg", F.col("label") != F.col("old")).drop("old"))
-        changed = new.where("_chg").limit(1).count()
-        labels = new.drop("_chg")
-        if changed == 0:
+        look = cur.select(F.col("id").alias("_i"), F.col("label").alias("_l2"))
+        new = F.least("label", F.coalesce("_l2", "label"))
+        step = cut_lineage(cur.join(look, F.col("label") == F.col("_i"), "left")
+                           .select("id", new.alias("label"), (new != F.col("old")).alias("_chg")))
+        labels = step.drop("_chg")
+        if step.where("_chg").isEmpty():
             return labels
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
-def grid_id(image: Column, z: Column, y: Column, x: Column) -> Column:
-    """Node id for a grid cell (each coordinate below 2^14, image below 2^21)."""
-    return (image.cast("bigint") * (1 << 42) + z.cast("bigint") * (1 << 28)
-            + y.cast("bigint") * (1 << 14) + x.cast("bigint"))
+def grid_id(cells: DataFrame, image: str = "image_id") -> Column:
+    """Node id for a grid cell: unique over ``cells`` (image, z, y, x).
+
+    Coordinates below 2^14 and images below 2^21 are packed into fixed bits;
+    otherwise the ranges that occur are measured (one aggregate) and packed
+    tightly. Ranges that need over 63 bits, or images that are no integers,
+    are an error, never a shared id."""
+    axes = [(image, 1 << 21), ("z", 1 << 14), ("y", 1 << 14), ("x", 1 << 14)]
+    r = cells.agg(*[f(F.col(c).cast("bigint")).alias(f"{k}_{i}") for i, (c, _) in enumerate(axes)
+                    for k, f in (("low", F.min), ("high", F.max))]).first()
+    low, width = [0] * 4, [w for _, w in axes]
+    if any(r[f"low_{i}"] is not None and not 0 <= r[f"low_{i}"] <= r[f"high_{i}"] < width[i] for i in range(4)):
+        low = [r[f"low_{i}"] for i in range(4)]
+        width = [r[f"high_{i}"] - low[i] + 1 for i in range(4)]
+    if width[0] * width[1] * width[2] * width[3] > 1 << 63:
+        raise ValueError(f"cells span {width} images and grid steps: too many for one 63-bit id")
+    out = F.lit(0).cast("bigint")
+    for (c, _), lo, w in zip(axes, low, width):
+        out = out * F.lit(w) + (F.col(c).cast("bigint") - F.lit(lo))
+    return out
 
 
 def grid_edges(cells: DataFrame, image: str = "image_id") -> DataFrame:

@@ -30,6 +30,7 @@ def bh_qvalues(df: DataFrame, p: str = "p", partition: list[str] | None = None,
                out: str = "q") -> DataFrame:
     """Benjamini-Hochberg q = min over ranks >= r of p*m/rank, capped
     at 1, per ``partition`` (tied p-values share the q of their last rank).
+    Rows with a null p stay, with a null q, and count as no test.
 
     Rows collapse to distinct (partition, p) with counts; cumulative counts
     (prefix sum) and the suffix minimum run in block passes, so neither a
@@ -37,20 +38,21 @@ def bh_qvalues(df: DataFrame, p: str = "p", partition: list[str] | None = None,
     keys = list(partition or [])
     if not keys:   # one global group: a constant key keeps every step a keyed join
         return bh_qvalues(df.withColumn("_all", F.lit(0)), p, ["_all"], out).drop("_all")
-    d = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
+    # the distinct p-values feed the counts, both carries and the join back
+    d = cut_lineage(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c")))
+    m = d.groupBy(*keys).agg(F.sum("_c").alias("_m"))
     d = d.withColumn(BLK, p_block(F.col(p)))
     c1 = block_carry(d, keys, {"n": F.sum("_c")}, {"c_n": F.sum("n").over(before(keys))})
     d = d.join(c1, keys + [BLK], "left")
     w = in_block(keys, [p]).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_r", F.coalesce(F.col("c_n"), F.lit(0)) + F.sum("_c").over(w))
-    m = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     d = d.join(m, keys, "inner")
     d = d.withColumn("_v", F.col(p) * F.col("_m") / F.col("_r"))
     c2 = block_carry(d, keys, {"vmin": F.min("_v")}, {"c_min": F.min("vmin").over(after(keys))})
     d = d.join(c2, keys + [BLK], "left")
     suffix = F.min("_v").over(in_block(keys, [p]).rowsBetween(0, Window.unboundedFollowing))
     d = d.withColumn(out, F.least(F.lit(1.0), F.least(suffix, F.coalesce(F.col("c_min"), F.lit(float("inf"))))))
-    return df.join(d.select(*keys, p, out), keys + [p], "inner")
+    return df.join(d.select(*keys, p, out), keys + [p], "left")
 
 
 def dense_bins(counts: DataFrame, bin_col: str = "bin", value: str = "count",

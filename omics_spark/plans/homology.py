@@ -16,16 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import chars, revcomp, translate_codons
-from ..functions.stats import bit_score, e_value, identity_pct
+from ..functions.seq import chars, revcomp, tiles, translate_codons
+from ..functions.stats import bit_score, e_value, identity_pct, match_mismatch_parameters
 from ..operators.kmers import kmer_join
 from ..operators.topk import top_k
 
 PROGRAMS = ("blastn", "blastp", "blastx", "tblastn", "tblastx")
-# Karlin-Altschul parameters used by default (ungapped,
-# +1/-1 nucleotide scoring and identity-like protein scoring).
-DNA_LAMBDA, DNA_K = 1.374, 0.711
-PROT_LAMBDA, PROT_K = 0.267, 0.041
+# Karlin-Altschul parameters of the scoring used here, +1 / -1 without gaps:
+# chance matches of 1/4 for nucleotides, about 0.06 for amino acids.
+DNA_LAMBDA, DNA_K = match_mismatch_parameters(0.25)
+PROT_LAMBDA, PROT_K = match_mismatch_parameters(0.06)
 TITLE_WIDTH = 80
 
 
@@ -144,41 +144,6 @@ def best_segments_batch(qs: list[str], ss: list[str], match: int, mismatch: int)
     return out
 
 
-def segment_udf(match: int, mismatch: int):
-    @F.pandas_udf(SEGMENT_TYPE)
-    def best_segment(qs: pd.Series, ss: pd.Series) -> pd.DataFrame:
-        res = best_segments_batch([a or "" for a in qs], [b or "" for b in ss], match, mismatch)
-        return pd.DataFrame(res, columns=["score", "start", "end", "ident"]).astype("int32")
-    return best_segment
-
-
-def diagonal_segments(seeds: DataFrame, qseqs: DataFrame, sseqs: DataFrame, k: int,
-                      match: int = 1, mismatch: int = -1, flank: int = 50) -> DataFrame:
-    """Per (q_id, s_id, strand, diag): seed count and the best ungapped
-    segment in a window around the seeds. ``qseqs`` (q_id, strand, q_s)
-    holds the query on each strand; ``sseqs`` (s_id, s_s) the subjects."""
-    d = (seeds.withColumn("diag", F.col("s_pos") - F.col("q_pos"))
-         .groupBy("q_id", "s_id", "strand", "diag")
-         .agg(F.count(F.lit(1)).alias("n_seeds"), F.min("q_pos").alias("qmin"),
-              F.max("q_pos").alias("qmax")))
-    d = d.join(qseqs, ["q_id", "strand"]).join(sseqs, "s_id")
-    lo = F.greatest(F.col("qmin") - flank, -F.col("diag"), F.lit(0))
-    hi = F.least(F.col("qmax") + k + flank, F.length("q_s"), F.length("s_s") - F.col("diag"))
-    d = d.withColumn("_lo", lo).withColumn("_hi", hi)
-    qsub = F.substring(F.col("q_s"), F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))
-    ssub = F.substring(F.col("s_s"), F.col("_lo") + F.col("diag") + 1, F.col("_hi") - F.col("_lo"))
-    d = d.withColumn("_seg", segment_udf(match, mismatch)(qsub, ssub))
-    return d.select("q_id", "s_id", "strand", "diag", "n_seeds",
-                    F.col("_seg.score").alias("raw_score"),
-                    (F.col("_hi") - F.col("_lo")).alias("window"),
-                    (F.col("_lo") + F.col("_seg.start")).alias("q_start"),
-                    (F.col("_lo") + F.col("_seg.end") + 1).alias("q_end"),
-                    (F.col("_lo") + F.col("diag") + F.col("_seg.start")).alias("s_start"),
-                    (F.col("_seg.end") - F.col("_seg.start") + 1).alias("align_length"),
-                    F.col("_seg.ident").alias("identities"),
-                    F.length("q_s").alias("q_len"))
-
-
 PAIR_TYPE = ("struct<strand:string,diag:bigint,n_seeds:bigint,raw_score:int,window:int,q_start:int,"
              "q_end:int,s_start:bigint,align_length:int,identities:int,q_len:int>")
 
@@ -235,17 +200,8 @@ def pair_segments(seeds: DataFrame, queries: DataFrame, subjects: DataFrame, k:
     return r.select("q_id", "s_id", "_b.*")
 
 
-def _best_per_pair(seg: DataFrame) -> DataFrame:
-    """Best segment per (query, subject); total tie-break (strand, diag)."""
-    rec = F.struct(*[F.col(c) for c in seg.columns])
-    return (seg.groupBy("q_id", "s_id")
-            .agg(F.min_by(rec, F.struct((-F.col("raw_score")).alias("a"), F.col("strand").alias("b"),
-                                        F.col("diag").alias("c"))).alias("_r"))
-            .select("_r.*"))
-
-
 def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "blastn",
-                      max_hits: int = 5, k: int | None = None, max_freq: int = 100,
+                      max_hits: int = 5, k: int | None = None, max_freq: int | None = None,
                       q_id: str = "seq_id", s_id: str = "seq_id", seq: str = "seq",
                       title: str | None = None, min_raw: int = 1) -> DataFrame:
     """Ungapped seed-and-extend search. ``program`` is one of blastn
@@ -273,16 +229,25 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
                       q_seq="s0", s_seq="s0")
     best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")), k)
     best = best.where(F.col("raw_score") >= min_raw)
+    # a translated sequence is one query or subject: its best frame counts
+    ident = {side: (F.col(f"{side}_id.id"), F.col(f"{side}_id.frame")) if program in programs else
+             (F.col(f"{side}_id"), F.lit(0)) for side, programs in (("q", ("blastx", "tblastx")), ("s", ("tblastn", "tblastx")))}
+    best = best.select(*best.columns, ident["q"][0].alias("query"), ident["q"][1].alias("q_frame"),
+                       ident["s"][0].alias("subject"), ident["s"][1].alias("s_frame"))
+    order = F.struct((-F.col("raw_score")).alias("a"), "q_frame", "s_frame", "strand", "diag")
+    best = best.groupBy("query", "subject").agg(F.min_by(F.struct("*"), order).alias("_b")).select("_b.*")
     db_len = subjects.agg(F.sum(F.length(seq))).first()[0] or 1
-    best = best.join(s.select(F.col("sid0").alias("s_id"), "title"), "s_id")
+    if program in ("tblastn", "tblastx"):
+        db_len = max(1, db_len // 3)   # in amino acids, as the alignment is
+    titles = s.select(F.col("sid0.id") if program in ("tblastn", "tblastx") else F.col("sid0"), "title").toDF("subject", "title")
+    best = best.join(titles.dropDuplicates(["subject"]), "subject")
     hits = best.select(
-        F.col("q_id").alias("query"), F.col("s_id").alias("subject"),
-        F.substring("title", 1, TITLE_WIDTH).alias("title"),
+        "query", "subject", F.substring("title", 1, TITLE_WIDTH).alias("title"),
         F.round(bit_score(F.col("raw_score"), lam, kk), 1).alias("score"),
         e_value(F.col("raw_score"), F.col("q_len"), F.lit(db_len), lam, kk).alias("expect"),
         "identities", "align_length",
         F.round(identity_pct(F.col("identities"), F.col("align_length")), 1).alias("pct"),
-        "strand", "q_start", "s_start")
+        "strand", "q_start", "s_start", "q_frame", "s_frame")
     return top_k(hits, ["query"], [F.col("score").desc(), F.col("expect"), F.col("subject")],
                  max_hits, salt_cols=["subject"])
 
@@ -293,14 +258,11 @@ def genome_tiles(genome: DataFrame, width: int = 1000, overlap: int = 1000,
     the next tile (so a window up to ``overlap`` long that starts in a tile
     lies inside it). Candidates join tiles by (contig, tile) instead of
     dragging whole chromosomes through the shuffle."""
-    n = F.floor((F.length(seq_col) - 1) / width).cast("int")
-    t = genome.select(F.col(id_col).alias("contig"), F.col(seq_col).alias("_g"),
-                      F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).alias("tile"))
-    return t.select("contig", "tile", F.substring("_g", F.col("tile") * width + 1,
-                                                  width + overlap).alias("tile_seq"))
+    t = genome.select(F.col(id_col).alias("contig"), F.posexplode(tiles(F.col(seq_col), width, overlap)).alias("tile", "tile_seq"))
+    return t.select("contig", "tile", "tile_seq")
 
 
-def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int = 100,
+def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int | None = None,
               read_id: str = "read_id", contig: str = "contig", tile: int = 1000) -> DataFrame:
     """Seeds on both strands -> seeds per diagonal -> best diagonal per
     read (MAPQ from best vs second-best seed count) -> mismatches against
@@ -328,8 +290,10 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int =
         "_read", F.when(F.col("strand") == "-", revcomp(F.col("rseq"))).otherwise(F.col("rseq")))
     best = best.withColumn("_start", F.greatest(F.col("diag"), F.lit(0)).cast("bigint"))
     best = best.withColumn("tile", F.floor(F.col("_start") / tile).cast("int"))
-    tiles = genome_tiles(g, tile, 1000, "gid", "gseq").withColumnRenamed("contig", "s_id")
-    best = best.join(tiles, ["s_id", "tile"], "left")
+    # a read's window starts in its tile and reaches as far as the longest read
+    longest = r.agg(F.max(F.length("rseq"))).first()[0] or 1
+    pieces = genome_tiles(g, tile, longest, "gid", "gseq").withColumnRenamed("contig", "s_id")
+    best = best.join(pieces, ["s_id", "tile"], "left")
     clip = F.greatest(-F.col("diag"), F.lit(0))
     ref = F.substring("tile_seq", (F.col("_start") - F.col("tile") * tile + 1).cast("int"), F.length("_read"))
     rd = F.substring("_read", (clip + 1).cast("int"), F.length("_read"))
@@ -380,11 +344,3 @@ def annotate_plasmid(plasmids: DataFrame, features: DataFrame, min_identity: flo
     return best.select(F.col("contig").alias("plasmid"), "feature", "start_pos",
                        (F.col("end_pos") % F.col("plen")).alias("end_pos"),
                        (F.col("end_pos") > F.col("plen")).alias("wraps"), "strand", "score", "pct")
-
-
-def bits(raw: Column, nucleotide: bool = True) -> Column:
-    lam, kk = (DNA_LAMBDA, DNA_K) if nucleotide else (PROT_LAMBDA, PROT_K)
-    return bit_score(raw, lam, kk)
-
-
-LN2 = math.log(2.0)

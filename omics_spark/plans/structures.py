@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.spatial import (box_filter, connected_components, grid_edges, grid_id, label_stats,
@@ -35,14 +35,15 @@ def label_regions(pixels: DataFrame, threshold: float = 0.15, diameter: float =
     ``diameter``."""
     z = F.col("z") if "z" in pixels.columns else F.lit(0)
     fg = pixels.where(F.col("value") > threshold).withColumn("z", z.cast("int"))
-    fg = fg.withColumn("id", grid_id(F.col(image), F.col("z"), F.col("y"), F.col("x")))
+    fg = fg.withColumn("id", grid_id(fg, image))
     comps = connected_components(fg.select("id"), grid_edges(fg, image))
     lab = fg.join(comps, "id").withColumnRenamed("label", "label")
     stats = label_stats(lab, image, "label")
-    is3d = lab.where(F.col("z") != 0).limit(1).count() > 0
-    eq = (F.pow(6.0 * F.col("area") / math.pi, 1.0 / 3.0) if is3d
-          else 2.0 * F.sqrt(F.col("area") / math.pi))
-    stats = stats.withColumn("diameter", F.round(eq, 4))
+    # each image is 2-D or 3-D by itself
+    deep = lab.groupBy(image).agg(F.max(F.col("z") != 0).alias("_deep"))
+    eq = F.when(F.col("_deep"), F.pow(6.0 * F.col("area") / math.pi, 1.0 / 3.0)) \
+        .otherwise(2.0 * F.sqrt(F.col("area") / math.pi))
+    stats = stats.join(deep, image).withColumn("diameter", F.round(eq, 4)).drop("_deep")
     if diameter and diameter > 0:
         stats = stats.where((F.col("diameter") >= 0.5 * diameter) & (F.col("diameter") <= 2.0 * diameter))
     return stats
@@ -125,13 +126,15 @@ def pocket_points(receptors: DataFrame, spacing: float = 1.0, probe: float = 1.4
     pts = bur.where(F.col("burial") >= min_burial).join(clash, [mol, "ix", "iy", "iz"], "left_anti")
     pts = pts.join(bb, mol).select(mol, "ix", "iy", "iz", "burial",
                                    *[(F.col(f"lo_{a}") + F.col(f"i{a}") * spacing).alias(a) for a in "xyz"])
-    # node id: a 64-bit hash of (molecule, grid cell); edges stay inside a molecule
-    pts = pts.withColumn("id", F.xxhash64(mol, "ix", "iy", "iz"))
+    # a cell is its own node id, so no two cells can share one
+    pts = pts.withColumn("id", F.struct(F.col(mol).alias("m"), "ix", "iy", "iz"))
     cells = pts.select(F.col(mol).alias("image_id"), F.col("iz").alias("z"), F.col("iy").alias("y"),
                        F.col("ix").alias("x"), "id")
     comps = connected_components(pts.select("id"), grid_edges(cells, "image_id"))
     lab = pts.join(comps, "id")
-    pockets = lab.groupBy(mol, F.col("label").alias("pocket")).agg(
+    first_cell = F.concat_ws("_", "label.ix", "label.iy", "label.iz").alias("pocket")
+    pockets = lab.groupBy(mol, first_cell).agg(
         F.count(F.lit(1)).alias("n_points"), F.round(F.avg("x"), 3).alias("cx"), F.round(F.avg("y"), 3).alias("cy"),
         F.round(F.avg("z"), 3).alias("cz"), F.round(F.avg("burial"), 3).alias("mean_burial"))
-    return top_k(pockets, [mol], [F.col("n_points").desc(), F.col("pocket")], 1 << 30, salt_cols=["pocket"])
+    by_size = Window.partitionBy(mol).orderBy(F.col("n_points").desc(), "pocket")   # pockets of one receptor: few
+    return pockets.withColumn("rank", F.row_number().over(by_size))

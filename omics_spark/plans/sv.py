@@ -3,7 +3,7 @@ copy_number_profile (with C7, H2, E5, E7, E8, F12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
@@ -43,15 +43,33 @@ def discordant_evidence(pairs: DataFrame, max_insert: int = MAX_INSERT) -> DataF
                     F.col("pnext").alias("pos2"), F.lit("discordant").alias("evidence"))
 
 
-def split_evidence(reads: DataFrame, sa_col: str = "sa", read_len: int = 50) -> DataFrame:
-    """Split-read evidence from the SAM ``SA`` tag (first supplementary
-    alignment: contig,pos,strand,CIGAR,mapq,nm;)."""
-    sa = F.split(F.regexp_replace(F.col(sa_col), ";.*$", ""), ",")
-    x = reads.where(F.col(sa_col).isNotNull() & (F.length(sa_col) > 0))
-    x = x.select("qname", "contig", "pos", "flag", sa.getItem(0).alias("c2"),
-                 sa.getItem(1).cast("bigint").alias("p2"), sa.getItem(2).alias("s2"))
+def split_evidence(reads: DataFrame, sa_col: str = "sa", cigar_col: str = "cigar", read_len: int = 50) -> DataFrame:
+    """Split-read evidence from every entry of the SAM ``SA`` tag
+    (contig,pos,strand,CIGAR,mapq,nm;...).
+
+    On one strand the read's clipped side tells which piece comes first: a
+    read clipped at its end goes on in the other piece, one clipped at its
+    start comes from it. A first piece that lies before the second is a
+    deletion, else a duplication. Without a CIGAR of its own (no
+    ``cigar_col``, or no clip in it) the side is taken from the other piece's
+    CIGAR, and without that from ``read_len``."""
+    entry = F.explode(F.filter(F.split(F.col(sa_col), ";"), lambda e: e != ""))
+    own = F.col(cigar_col) if cigar_col in reads.columns else F.lit(None).cast("string")
+    x = reads.where(F.col(sa_col).isNotNull()).select("qname", "contig", "pos", "flag", own.alias("c1"), entry.alias("_e"))
+    part = F.split("_e", ",")
+    x = x.select("qname", "contig", "pos", "flag", "c1", part.getItem(0).alias("c2"), part.getItem(1).cast("bigint").alias("p2"),
+                 part.getItem(2).alias("s2"), F.get(part, 3).alias("cig2"))
+
+    def clip(cigar: str, side: str) -> Column:
+        return F.coalesce(F.regexp_extract(cigar, side, 1).try_cast("int"), F.lit(0))
+
+    head, tail = r"^(\d+)[SH]", r"(\d+)[SH]$"
+    lead = clip("c1", tail) - clip("c1", head)          # > 0: this piece comes first
+    lead = F.when(lead != 0, lead).otherwise(clip("cig2", head) - clip("cig2", tail))
     strand1 = F.when(R.flag_has(F.col("flag"), R.REVERSE), "-").otherwise("+")
     kind = (F.when(F.col("c2") != F.col("contig"), "BND").when(F.col("s2") != strand1, "INV")
+            .when(lead > 0, F.when(F.col("p2") > F.col("pos"), "DEL").otherwise("DUP"))
+            .when(lead < 0, F.when(F.col("p2") < F.col("pos"), "DEL").otherwise("DUP"))
             .when(F.col("p2") > F.col("pos") + read_len, "DEL").otherwise("DUP"))
     return x.select("qname", kind.alias("sv_type"), "contig", F.col("pos").alias("pos1"),
                     F.col("c2").alias("contig2"), F.col("p2").alias("pos2"), F.lit("split").alias("evidence"))

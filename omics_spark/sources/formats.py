@@ -138,13 +138,17 @@ def write_fastq(df: DataFrame, path: str, id_col: str = "read_id") -> None:
 
 
 def read_sam(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
-    """Header lines (@) dropped; 11 mandatory columns + tag map (type dropped)."""
+    """Header lines (@) dropped; 11 mandatory columns, ``tags`` (name ->
+    value) and ``tag_types`` (name -> SAM type letter)."""
     f = F.split(F.col("value"), "\t")
     df = spark.read.text(path).where(~F.col("value").startswith("@") & (F.length("value") > 0))
-    tags = F.map_from_entries(F.transform(
-        F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(1))),
-        lambda t: F.struct(F.split(t, ":").getItem(0).alias("k"),
-                           F.regexp_extract(t, r"^[^:]*:[^:]*:(.*)$", 1).alias("v"))))
+
+    def tag_map(part: str) -> Column:
+        entries = F.map_from_entries(F.transform(
+            F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(1))),
+            lambda t: F.struct(F.split(t, ":").getItem(0).alias("k"), F.regexp_extract(t, part, 1).alias("v"))))
+        return F.when(F.size(f) > 11, entries).otherwise(F.create_map().cast("map<string,string>"))
+
     out = df.select(
         f.getItem(0).alias("qname"), f.getItem(1).cast("int").alias("flag"),
         f.getItem(2).alias("contig"), f.getItem(3).cast("bigint").alias("pos"),
@@ -152,7 +156,7 @@ def read_sam(spark: SparkSession, path: str, sample: str | None = None) -> DataF
         f.getItem(6).alias("rnext"), f.getItem(7).cast("bigint").alias("pnext"),
         f.getItem(8).cast("bigint").alias("tlen"), f.getItem(9).alias("seq"),
         f.getItem(10).alias("qual"),
-        F.when(F.size(f) > 11, tags).otherwise(F.create_map().cast("map<string,string>")).alias("tags"))
+        tag_map(r"^[^:]*:[^:]*:(.*)$").alias("tags"), tag_map(r"^[^:]*:([^:]*):").alias("tag_types"))
     if sample is not None:
         out = out.withColumn("sample", F.lit(sample))
     return out
@@ -162,56 +166,84 @@ SAM_COLS = ["qname", "flag", "contig", "pos", "mapq", "cigar", "rnext", "pnext",
 
 
 def write_sam(df: DataFrame, path: str, contigs: list[tuple[str, int]] | None = None) -> None:
-    """@HD/@SQ header then records ordered by (contig, pos); missing
-    optional columns are written as SAM placeholders."""
+    """@HD/@SQ header then records in coordinate order: contigs as in
+    ``contigs``, then others by name, then unplaced reads. Missing optional
+    columns are written as SAM placeholders; tags have the types of
+    ``tag_types``, else Z."""
     spark = df.sparkSession
     defaults = {"qname": F.lit("*"), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0),
                 "seq": F.lit("*"), "qual": F.lit("*"), "mapq": F.lit(255)}
     cols = [F.col(c).cast("string") if c in df.columns else defaults[c].cast("string") for c in SAM_COLS]
     line = F.concat_ws("\t", *cols)
     if "tags" in df.columns:
+        kind = (lambda k: F.coalesce(F.try_element_at("tag_types", k), F.lit("Z"))) if "tag_types" in df.columns \
+            else (lambda k: F.lit("Z"))
         tag_txt = F.array_join(F.transform(F.map_entries("tags"),
-                                           lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"])), "\t")
+                                           lambda e: F.concat_ws(":", e["key"], kind(e["key"]), e["value"])), "\t")
         line = F.when(F.size("tags") > 0, F.concat_ws("\t", line, tag_txt)).otherwise(line)
     header = ["@HD\tVN:1.6\tSO:coordinate"] + [f"@SQ\tSN:{n}\tLN:{ln}" for n, ln in (contigs or [])]
-    body = df.select(F.col("contig").alias("_c"), F.col("pos").alias("_p"), line.alias("value"))
-    _ordered_text(_header(spark, header), body, [F.col("_c"), F.col("_p"), F.col("value")], path)
+    listed = F.array(*[F.lit(n) for n, _ in contigs or []]).cast("array<string>")
+    place = F.array_position(listed, F.col("contig")).cast("int")
+    rank = (F.when(F.col("contig").isNull() | (F.col("contig") == "*"), F.lit(2))
+            .when(place > 0, F.lit(0)).otherwise(F.lit(1)))
+    body = df.select(rank.alias("_r"), F.when(rank == 0, place).otherwise(0).alias("_n"), F.col("contig").alias("_c"),
+                     F.col("pos").alias("_p"), line.alias("value"))
+    _ordered_text(_header(spark, header), body, [F.col(c) for c in ("_r", "_n", "_c", "_p", "value")], path)
 
 
 # ---------------------------------------------------------------- VCF
 
 
-def parse_vcf_lines(lines: DataFrame, samples: list[str] | None = None) -> DataFrame:
+def parse_vcf_lines(lines: DataFrame, samples: list[str] | Column | None = None) -> DataFrame:
     """VCF body lines (``value``) -> typed records; '#' lines are dropped.
-    Works on batch and streaming DataFrames alike."""
-    samples = samples or []
+    Works on batch and streaming DataFrames alike. ``samples`` are the names
+    in the order of the columns, or an array column of them. Trailing
+    genotype fields that a sample leaves out are null; of an INFO key given
+    twice the first value counts."""
+    if not isinstance(samples, Column):
+        samples = F.array(*[F.lit(x) for x in samples or []]).cast("array<string>")
     f = F.split(F.col("value"), "\t")
     body = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
-    fmt = F.split(f.getItem(8), ":")
-    gts = F.array(*[F.struct(F.lit(s).alias("sample"),
-                             F.map_from_arrays(fmt, F.split(f.getItem(9 + i), ":")).alias("fields"))
-                    for i, s in enumerate(samples)]) if samples else \
-        F.array().cast("array<struct<sample:string,fields:map<string,string>>>")
-    info = f.getItem(7)
+    fmt = F.array_distinct(F.split(F.get(f, F.lit(8)), ":"))
+
+    def fields(i: Column) -> Column:
+        values = F.split(F.get(f, F.lit(9) + i), ":")
+        return F.map_from_arrays(fmt, F.transform(fmt, lambda _, j: F.get(values, j)))
+
+    gts = F.transform(samples, lambda name, i: F.struct(name.alias("sample"), fields(i).alias("fields")))
+    info = F.get(f, F.lit(7))
+    pairs = F.transform(F.filter(F.split(info, ";"), lambda x: x != ""), lambda x: F.split(x, "=", 2))
+    keys = F.transform(pairs, lambda x: x[0])
+    values = F.transform(pairs, lambda x: F.get(x, F.lit(1)))
+    info_map = F.map_from_arrays(F.array_distinct(keys), F.transform(
+        F.array_distinct(keys), lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1)))
     return body.select(
         f.getItem(0).alias("contig"), f.getItem(1).cast("bigint").alias("pos"),
         F.when(f.getItem(2) != ".", f.getItem(2)).alias("id"), f.getItem(3).alias("ref"),
         F.split(f.getItem(4), ",").alias("alts"), f.getItem(5).try_cast("double").alias("qual"),
         f.getItem(6).alias("filter"),
         F.when((info == ".") | info.isNull(), F.create_map().cast("map<string,string>"))
-         .otherwise(F.str_to_map(info, F.lit(";"), F.lit("="))).alias("info"),
+         .otherwise(info_map).alias("info"),
         gts.alias("genotypes"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """A7: '#' lines dropped; '.' QUAL -> null; INFO -> map (flag keys map
     to null: test with ``map_contains_key``); samples -> array of
-    struct<sample, fields map>. Sample names come from the '#CHROM' line
-    (one line per file, read to the driver)."""
-    text = spark.read.text(path)
-    head = text.where(F.col("value").startswith("#CHROM")).limit(1).collect()
-    samples = head[0]["value"].split("\t")[9:] if head else []
-    return parse_vcf_lines(text, samples)
+    struct<sample, fields map>. Sample names come from the '#CHROM' line of
+    the record's own file: at most two distinct header lines are read to the
+    driver, and if files differ the names are joined by file."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    heads = text.where(F.col("value").startswith("#CHROM"))
+    names = F.split("value", "\t")
+    names = F.when(F.size(names) > 9, F.slice(names, 10, F.greatest(F.size(names) - 9, F.lit(1)))) \
+        .otherwise(F.array().cast("array<string>"))
+    kinds = [r[0] for r in heads.select(names.alias("s")).distinct().limit(2).collect()]
+    if len(kinds) < 2:
+        return parse_vcf_lines(text, list(kinds[0]) if kinds else [])
+    by_file = heads.select("_file", names.alias("_samples")).dropDuplicates(["_file"])
+    body = text.where(~F.col("value").startswith("#"))
+    return parse_vcf_lines(body.join(by_file, "_file", "left"), F.coalesce(F.col("_samples"), F.array().cast("array<string>")))
 
 
 def write_vcf(df: DataFrame, path: str, info_cols: list[str] | None = None,

@@ -88,7 +88,7 @@ def test_connected_components_brute_force(spark):
     rnd = random.Random(2)
     on = {(y, x) for y in range(12) for x in range(12) if rnd.random() < 0.45}
     df = spark.createDataFrame([(0, 0, y, x) for y, x in on], "image_id int, z int, y int, x int")
-    df = df.withColumn("id", grid_id(F.col("image_id"), F.col("z"), F.col("y"), F.col("x")))
+    df = df.withColumn("id", grid_id(df))
     comps = connected_components(df.select("id"), grid_edges(df))
     ncomp = comps.select("label").distinct().count()
     # flood fill
