@@ -35,7 +35,7 @@ def q_fastq(spark, sf):
 @register("sam_roundtrip", duck_with("reads") + "select contig, pos, flag, mapq, cigar from reads")
 def q_sam(spark, sf):
     path = scratch_path(spark, "sam")
-    FM.write_sam(view(spark, sf, "reads"), path, contigs=[(f"chr{i}", 1_001_000) for i in range(1, 6)])
+    FM.write_sam(view(spark, sf, "reads"), path, contigs=[(f"chr{i}", 4_600_000) for i in range(1, 101)])
     return FM.read_sam(spark, path).select("contig", "pos", "flag", "mapq", "cigar")
 
 

@@ -220,10 +220,10 @@ def q_sort(spark, sf):
 reflen as (select rid, cast(sum(case when code in ('M','D','N','=','X') then len else 0 end) as bigint) as ref_len from ops group by rid)
 select r.l_orderkey, r.l_linenumber, r.contig, r.pos, r.flag, r.mapq, r.cigar from rr r join reflen l on l.rid = r.rid
 where r.flag & 65 = 65 and r.flag & 1024 = 0 and r.mapq >= 20 and r.contig = 'chr2'
-  and r.pos - 1 + greatest(l.ref_len, 1) > 100000 and r.pos - 1 < 600000""")
+  and r.pos - 1 + greatest(l.ref_len, 1) > 100000 and r.pos - 1 < 2600000""")
 def q_view(spark, sf):
     return AL.view_alignments(view(spark, sf, "reads"), require=65, exclude=1024, min_mapq=20,
-                              region="chr2:100,001-600,000")
+                              region="chr2:100,001-2,600,000")
 
 
 @register("tag_union", duck_with("sample_reads") + """
@@ -240,9 +240,9 @@ def q_tag_union(spark, sf):
           basics.CIGAR_BLOCKS_SQL.replace("{src}", "rr") + """,
 reflen as (select rid, cast(sum(case when code in ('M','D','N','=','X') then len else 0 end) as bigint) as ref_len from ops group by rid)
 select r.l_orderkey, r.l_linenumber, r.contig, r.pos, r.flag, r.mapq, r.cigar from rr r join reflen l on l.rid = r.rid
-where r.contig = 'chr3' and r.pos - 1 + greatest(l.ref_len, 1) > 200000 and r.pos - 1 < 700000""")
+where r.contig = 'chr3' and r.pos - 1 + greatest(l.ref_len, 1) > 200000 and r.pos - 1 < 2700000""")
 def q_read_region(spark, sf):
     path = AL.scratch_path(spark, "indexed-reads")
-    AL.write_indexed(view(spark, sf, "reads"), path, bin_size=100_000)
-    return AL.read_region(spark, path, "chr3:200,001-700,000", bin_size=100_000, max_span=1000) \
+    AL.write_indexed(view(spark, sf, "reads"), path, bin_size=1_000_000)
+    return AL.read_region(spark, path, "chr3:200,001-2,700,000", bin_size=1_000_000, max_span=1000) \
         .select("l_orderkey", "l_linenumber", "contig", "pos", "flag", "mapq", "cigar")

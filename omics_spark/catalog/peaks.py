@@ -32,12 +32,12 @@ def q_bh_global(spark, sf):
 
 def _control_bins(spark, sf):
     c = view(spark, sf, "chip_tags").where("sample = 'control'")
-    return c.groupBy("contig", F.floor(F.col("start_pos") / 50).cast("bigint").alias("bin")) \
+    return c.groupBy("contig", F.floor(F.col("start_pos") / 1000).cast("bigint").alias("bin")) \
             .agg(F.count(F.lit(1)).alias("count"))
 
 
 @register("local_background", duck_with("chip_tags") + """,
-cb as (select contig, cast(floor(start_pos / 50) as bigint) as bin, count(*) as count
+cb as (select contig, cast(floor(start_pos / 1000) as bigint) as bin, count(*) as count
        from chip_tags where sample = 'control' group by 1, 2),
 grid as (select contig, unnest(generate_series(0, max(bin))) as bin from cb group by contig),
 g as (select g.contig, g.bin, coalesce(c.count, 0) as count from grid g left join cb c on c.contig = g.contig and c.bin = g.bin)

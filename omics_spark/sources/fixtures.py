@@ -24,99 +24,111 @@ _PROT_EXPR = ("translate(regexp_replace(lower(text), '[^a-z]', ''{G}), "
 # name -> (sql template, dependencies)
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "iv_a": ("""
-select concat('chr', cast(l_suppkey % 5 + 1 as {S})) as contig,
-  (l_partkey * 397 + l_orderkey * 31 + l_linenumber * 7) % 1000000 as start_pos,
-  (l_partkey * 397 + l_orderkey * 31 + l_linenumber * 7) % 1000000 + cast(l_quantity as bigint) * 4 as end_pos,
+select concat('chr', cast(l_suppkey as {S})) as contig,
+  (l_partkey * 39709 + l_orderkey * 3101 + l_linenumber * 70001) % 4500000 as start_pos,
+  (l_partkey * 39709 + l_orderkey * 3101 + l_linenumber * 70001) % 4500000 + cast(l_quantity as bigint) * 40 as end_pos,
   case when l_returnflag = 'R' then '-' else '+' end as strand, l_orderkey, l_linenumber from {lineitem}""",
              ("lineitem",)),
     "iv_b": ("""
-select concat('chr', cast(o_custkey % 5 + 1 as {S})) as contig, (o_orderkey * 61) % 1000000 as start_pos,
-  (o_orderkey * 61) % 1000000 + 50 + o_custkey % 400 as end_pos, o_orderkey as b_id from {orders}""",
-             ("orders",)),
+select concat('chr', cast(o_custkey % (select count(*) from {supplier}) + 1 as {S})) as contig, (o_orderkey * 61001) % 4500000 as start_pos,
+  (o_orderkey * 61001) % 4500000 + 500 + o_custkey % 4000 as end_pos, o_orderkey as b_id from {orders}""",
+             ("orders", "supplier")),
     "variants": ("""
-select concat('chr', cast(o_custkey % 5 + 1 as {S})) as contig, (o_orderkey * 61) % 1000000 + 1 as pos,
+select concat('chr', cast(o_custkey % (select count(*) from {supplier}) + 1 as {S})) as contig, (o_orderkey * 61001) % 4500000 + 1 as pos,
   substring('ACGT', cast(o_orderkey % 4 as int) + 1, 1) as ref, substring('CGTA', cast(o_orderkey % 4 as int) + 1, 1) as alt,
   case when o_orderkey % 17 = 0 then null else cast(floor(o_totalprice / 10000) as double) end as qual,
   case when o_orderstatus = 'F' then 'PASS' else 'LowQual' end as filter, cast(o_custkey % 60 as int) as dp from {orders}""",
-                 ("orders",)),
+                 ("orders", "supplier")),
     "reads": ("""
-select l_orderkey, l_linenumber, concat('chr', cast(l_suppkey % 5 + 1 as {S})) as contig,
-  (l_partkey * 397 + l_orderkey * 31 + l_linenumber * 7) % 1000000 + 1 as pos,
+select l_orderkey, l_linenumber, concat('chr', cast(l_suppkey as {S})) as contig,
+  (l_partkey * 39709 + l_orderkey * 3101 + l_linenumber * 70001) % 4500000 + 1 as pos,
   cast(1 + case when l_returnflag = 'R' then 16 else 0 end + case when l_linenumber % 2 = 0 then 64 else 128 end
     + case when l_orderkey % 23 = 0 then 4 else 2 end + case when l_partkey % 29 = 0 then 1024 else 0 end as int) as flag,
   cast(l_quantity as int) as mapq,
   case when l_linenumber = 3 then '20M5D30M' when l_linenumber = 4 then '10S40M' else '50M' end as cigar from {lineitem}""",
               ("lineitem",)),
     "pairs": ("""
-select concat('q', cast(o_orderkey as {S})) as qname, concat('chr', cast(o_custkey % 5 + 1 as {S})) as contig,
-  (o_orderkey * 61) % 1000000 + 1 as pos,
+select concat('q', cast(o_orderkey as {S})) as qname, concat('chr', cast(o_custkey % (select count(*) from {supplier}) + 1 as {S})) as contig,
+  (o_orderkey * 61001) % 4500000 + 1 as pos,
   cast(65 + case when o_orderkey % 89 = 0 then 0 else 32 end as int) as flag,
-  concat('chr', cast((o_custkey + case when o_orderkey % 211 = 0 then 1 else 0 end) % 5 + 1 as {S})) as rnext,
-  (o_orderkey * 61) % 1000000 + 301 + case when o_orderkey % 97 = 0 then 5000 else 0 end as pnext, o_orderkey from {orders}""",
-              ("orders",)),
+  concat('chr', cast((o_custkey + case when o_orderkey % 211 = 0 then 1 else 0 end) % (select count(*) from {supplier}) + 1 as {S})) as rnext,
+  (o_orderkey * 61001) % 4500000 + 301 + case when o_orderkey % 97 = 0 then 5000 else 0 end as pnext, o_orderkey from {orders}""",
+              ("orders", "supplier")),
     "regions": ("""
-select concat('chr', cast(p_partkey % 5 + 1 as {S})) as contig, (p_partkey * 463) % 1000000 as start_pos,
-  (p_partkey * 463) % 1000000 + 500 + p_size * 10 as end_pos, p_partkey as region_id, p_type as feature from {part}""",
-                ("part",)),
-    "dna": ("select doc_id as seq_id, substring(" + _DNA_EXPR + ", 1, 400) as seq from {documents}",
+select concat('chr', cast(p_partkey % (select count(*) from {supplier}) + 1 as {S})) as contig, (p_partkey * 46301) % 4500000 as start_pos,
+  (p_partkey * 46301) % 4500000 + 500 + p_size * 10 as end_pos, p_partkey as region_id, p_type as feature from {part}""",
+                ("part", "supplier")),
+    "dna": ("select doc_id as seq_id, " + _DNA_EXPR + " as seq from {documents}",
             ("documents",)),
-    "protein": ("select doc_id as seq_id, substring(" + _PROT_EXPR + ", 1, 400) as seq from {documents}",
+    "protein": ("select doc_id as seq_id, " + _PROT_EXPR + " as seq from {documents}",
                 ("documents",)),
-    "rna": ("select seq_id, substring(translate(seq, 'T', 'U'), 1, 120) as seq from {dna} where length(seq) > 0",
+    # a library of short queries against the documents
+    "query_dna": ("select item_id as seq_id, " + _DNA_EXPR + " as seq from {benchmark}", ("benchmark",)),
+    "query_protein": ("select item_id as seq_id, " + _PROT_EXPR + " as seq from {benchmark}", ("benchmark",)),
+    "rna": ("select seq_id, translate(seq, 'T', 'U') as seq from {dna} where length(seq) > 0",
             ("dna",)),
     "raw_rna": ("""
-select doc_id as seq_id, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then substring(text, 1, 40)
-  when doc_id % 5 = 2 then concat('  ', lower(substring(""" + _DNA_EXPR + """, 1, 30)), ' ')
+select doc_id as seq_id, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then text
+  when doc_id % 5 = 2 then concat('  ', lower(""" + _DNA_EXPR + """), ' ')
   else translate(""" + _DNA_EXPR + """, 'T', 'U') end as seq from {documents}""",
                 ("documents",)),
-    "aligned": ("select seq_id % 50 as family, seq_id, substring(seq, 1, 60) as seq from {protein} where length(seq) >= 60",
-                ("protein",)),
+    # the whole protein in lines of 60 letters, the last one filled with gaps
+    "aligned": ("""
+select {DIV} as family, seq_id * 100000 + n as seq_id, rpad(line, 60, '-') as seq from {protein_lines}""",
+                ("protein_lines",)),
     "planted_reads": ("""
-select l.l_orderkey, l.l_linenumber, l.l_partkey, d.seq_id as true_id, cast(l.l_quantity as bigint) * 3 as true_pos,
-  substring(d.seq, cast(l.l_quantity as int) * 3 + 1, 50) as seq
-from {lineitem} l join {dna} d on d.seq_id = l.l_partkey % 200 where length(d.seq) >= 260""",
-                      ("lineitem", "dna")),
+select l_orderkey, l_linenumber, l_partkey, seq_id as true_id, p as true_pos, substring(seq, cast(p as int) + 1, 50) as seq
+from (select l.l_orderkey, l.l_linenumber, l.l_partkey, d.seq_id, d.seq,
+        (l.l_orderkey * 7919 + l.l_linenumber * 3167) % (length(d.seq) - 49) as p
+      from (select *, l_partkey % (select max(doc_id) + 1 from {documents}) as sid from {lineitem}) l
+      join {dna} d on d.seq_id = l.sid where length(d.seq) >= 50) x""",
+                      ("lineitem", "dna", "documents")),
+    # one window a contig, anywhere in it, that the reads pile up on
+    "windows": ("select seq_id, seq, cast((seq_id * 7919) % (length(seq) - 259) as bigint) as ws from {dna} where length(seq) >= 260",
+                ("dna",)),
     "sample_reads": ("""
 select case when l_linestatus = 'F' then 'tumor' else 'normal' end as sample, concat('s', cast(seq_id as {S})) as contig,
-  p + 1 as pos, cast(case when l_returnflag = 'R' then 16 else 0 end as int) as flag, cast(l_quantity as int) as mapq, '50M' as cigar,
+  ws + p + 1 as pos, cast(case when l_returnflag = 'R' then 16 else 0 end as int) as flag, cast(l_quantity as int) as mapq, '50M' as cigar,
   case when l_linestatus = 'F' and l_orderkey % 3 = 0 and p between 81 and 130
     then concat(substring(s, 1, cast(130 - p as int)), translate(substring(s, cast(131 - p as int), 1), 'ACGT', 'CGTA'),
                 substring(s, cast(132 - p as int), 50)) else s end as seq,
   repeat('I', 50) as qual, l_orderkey, l_linenumber, l_partkey
-from (select l.*, d.seq_id, cast(l.l_quantity as bigint) * 3 as p, substring(d.seq, cast(l.l_quantity as int) * 3 + 1, 50) as s
-      from {lineitem} l join {dna} d on d.seq_id = l.l_partkey % 200 where length(d.seq) >= 260) x""",
-                     ("lineitem", "dna")),
+from (select l.*, d.seq_id, d.ws, cast(l.l_quantity as bigint) * 3 as p,
+        substring(d.seq, cast(d.ws + l.l_quantity * 3 + 1 as int), 50) as s
+      from (select *, l_partkey % (select max(doc_id) + 1 from {documents}) as sid from {lineitem}) l
+      join {windows} d on d.seq_id = l.sid) x""",
+                     ("lineitem", "windows", "documents")),
     "gene_models": ("""
-select concat('s', cast(seq_id as {S})) as contig, seq_id as gene_id, cast(30 as bigint) as start_pos, cast(210 as bigint) as end_pos,
-  case when seq_id % 2 = 0 then '+' else '-' end as strand, 'CDS' as feature from {dna} where length(seq) >= 260""",
-                    ("dna",)),
+select concat('s', cast(seq_id as {S})) as contig, seq_id as gene_id, ws + 30 as start_pos, ws + 210 as end_pos,
+  case when seq_id % 2 = 0 then '+' else '-' end as strand, 'CDS' as feature from {windows}""",
+                    ("windows",)),
     # our addition: SNVs at and around the planted site (in the CDS), one
     # intergenic SNV and one 1-base deletion per sequence, refs from the genome
     "effect_variants": ("""
-select concat('s', cast(seq_id as {S})) as contig, 131 + seq_id % 3 as pos,
-  substring(seq, cast(131 + seq_id % 3 as int), 1) as ref,
-  translate(substring(seq, cast(131 + seq_id % 3 as int), 1), 'ACGT', 'CGTA') as alt from {dna} where length(seq) >= 260
+select concat('s', cast(seq_id as {S})) as contig, ws + 131 + seq_id % 3 as pos,
+  substring(seq, cast(ws + 131 + seq_id % 3 as int), 1) as ref,
+  translate(substring(seq, cast(ws + 131 + seq_id % 3 as int), 1), 'ACGT', 'CGTA') as alt from {windows}
 union all
-select concat('s', cast(seq_id as {S})) as contig, cast(251 as bigint) as pos, substring(seq, 251, 1) as ref,
-  translate(substring(seq, 251, 1), 'ACGT', 'TACG') as alt from {dna} where length(seq) >= 260
+select concat('s', cast(seq_id as {S})) as contig, ws + 251 as pos, substring(seq, cast(ws + 251 as int), 1) as ref,
+  translate(substring(seq, cast(ws + 251 as int), 1), 'ACGT', 'TACG') as alt from {windows}
 union all
-select concat('s', cast(seq_id as {S})) as contig, cast(100 as bigint) as pos, substring(seq, 100, 2) as ref,
-  substring(seq, 100, 1) as alt from {dna} where length(seq) >= 260""",
-                        ("dna",)),
+select concat('s', cast(seq_id as {S})) as contig, ws + 100 as pos, substring(seq, cast(ws + 100 as int), 2) as ref,
+  substring(seq, cast(ws + 100 as int), 1) as alt from {windows}""",
+                        ("windows",)),
     "split_pairs": ("""
-select o_orderkey, case when o_orderkey % 101 = 0 then concat('chr', cast((o_custkey + 2) % 5 + 1 as {S}), ',',
-  cast((o_orderkey * 61) % 1000000 + 2001 as {S}), ',+,25S25M,60,0;') else null end as sa from {orders}""",
-                    ("orders",)),
+select o_orderkey, case when o_orderkey % 101 = 0 then concat('chr', cast((o_custkey + case when o_orderkey % 2 = 0 then 2 else 0 end) % (select count(*) from {supplier}) + 1 as {S}), ',',
+  cast((o_orderkey * 61001) % 4500000 + 2001 as {S}), ',+,25S25M,60,0;') else null end as sa from {orders}""",
+                    ("orders", "supplier")),
     "motif_seqs": ("""
 select seq_id, case when seq_id % 3 = 0 then 'target' else 'background' end as grp,
-  case when seq_id % 3 = 0 then concat(substring(seq, 1, 50), 'ACGTTGCA', substring(seq, 59, 142)) else substring(seq, 1, 200) end as seq
-from {dna} where length(seq) >= 200""",
+  case when seq_id % 3 = 0 then concat(substring(seq, 1, 50), 'ACGTTGCA', substring(seq, 59, length(seq))) else seq end as seq
+from {dna}""",
                    ("dna",)),
     "chip_tags": ("""
 select case when l_linenumber % 2 = 0 then 'treatment' else 'control' end as sample,
-  concat('chr', cast(l_suppkey % 5 + 1 as {S})) as contig,
-  case when l_linenumber % 2 = 0 and l_orderkey % 2 = 0 then (l_partkey % 40) * 25000 + cast(l_quantity as bigint) * 4
-    else (l_partkey * 397 + l_orderkey * 31 + l_linenumber * 7) % 1000000 end as start_pos,
+  concat('chr', cast(l_suppkey as {S})) as contig,
+  case when l_linenumber % 2 = 0 and l_orderkey % 2 = 0 then (l_partkey % 4) * 1100000 + cast(l_quantity as bigint) * 4
+    else (l_partkey * 39709 + l_orderkey * 3101 + l_linenumber * 70001) % 4500000 end as start_pos,
   case when l_returnflag = 'R' then '-' else '+' end as strand, l_orderkey, l_linenumber, l_partkey from {lineitem}""",
                   ("lineitem",)),
     "smiles_like": ("""
@@ -139,23 +151,27 @@ _PIXELS_DUCK = """
 select cast(floor(vec_id / 64) as bigint) as image_id, cast(vec_id % 64 as int) as y, cast(i - 1 as int) as x,
   cast(embedding[i] as double) as value
 from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from {embeddings})"""
+_LINES_SPARK = """
+select seq_id, n, line from (select seq_id, posexplode(regexp_extract_all(seq, '.{{1,60}}', 0)) as (n, line) from {protein})"""
+_LINES_DUCK = """
+select seq_id, cast(i - 1 as int) as n, substring(seq, cast(60 * (i - 1) + 1 as int), 60) as line
+from (select seq_id, seq, unnest(range(1, (length(seq) + 59) // 60 + 1)) as i from {protein}) x"""
+# name -> (Spark SQL, DuckDB SQL, dependencies) of views that each engine words its own way
+OWN = {"pixels": (_PIXELS_SPARK, _PIXELS_DUCK, ("embeddings",)),
+       "protein_lines": (_LINES_SPARK, _LINES_DUCK, ("protein",))}
 
 
 def _deps(name: str) -> tuple[str, ...]:
-    if name == "pixels":
-        return ("embeddings",)
-    return VIEWS[name][1]
+    return OWN[name][2] if name in OWN else VIEWS[name][1]
 
 
 def _text(name: str, engine: str) -> str:
     spark = engine == "spark"
-    if name == "pixels":
-        body = _PIXELS_SPARK if spark else _PIXELS_DUCK
-    else:
-        body = VIEWS[name][0]
+    body = OWN[name][0 if spark else 1] if name in OWN else VIEWS[name][0]
     subs = {
         "{S}": "string" if spark else "varchar",
         "{G}": "" if spark else ", 'g'",
+        "{DIV}": "seq_id div 20" if spark else "seq_id // 20",
         "{E0}": "embedding[0]" if spark else "embedding[1]",
         "{E1}": "embedding[1]" if spark else "embedding[2]",
         "{E2}": "embedding[2]" if spark else "embedding[3]",
@@ -205,7 +221,7 @@ def duck_with(*names: str) -> str:
     parts = []
     for n in _order(list(names)):
         body = _text(n, "duckdb")
-        for t in BASE_TABLES + list(VIEWS) + ["pixels"]:
+        for t in [*BASE_TABLES, *VIEWS, *OWN]:
             body = body.replace("{" + t + "}", t)
         parts.append(f"{n} as (\n{body}\n)")
     return "with " + ",\n".join(parts) + "\n"
