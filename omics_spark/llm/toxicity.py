@@ -20,10 +20,13 @@ from .common import add_columns, slices, written
 
 #: Labelled rows of one label that training reads (expected; by id hash).
 PER_LABEL = 6_000
-#: A lexicon entry occurs in so many toxic rows of the sample, and its odds in
-#: toxic rows are so many times those in others. Bounds the lexicon too: each
-#: entry takes MIN_ROWS of at most PER_LABEL rows' words.
-MIN_ROWS, MIN_ODDS = 4, 20.0
+#: A lexicon entry occurs in so many toxic rows of the sample, and its share of
+#: toxic rows is so many times that of others even if SPREAD standard
+#: deviations of chance spoke for it: rare words of long texts are many, and
+#: some stand in toxic rows only. MIN_SHARE of the toxic rows hold it.
+MIN_ROWS, MIN_SHARE, MIN_ODDS, SPREAD = 4, 0.01, 20.0, 1.5
+#: A stem counts if it is in so many times the rows of its most frequent word.
+FAMILY = 1.15
 STEMS = (4, 5, 6, 7, 8)
 MAX_LEXICON = 50_000
 #: Symbols that one task remembers for words.
@@ -166,11 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
     import re
 
     sample = written(_sampled(labels, learn, per_label))
-    rows = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    # Copies of one text are one witness.
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+                    .join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
+
+    rows = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not rows.get(0) or not rows.get(1):
         return {}, [PRIOR[f] for f in FEATURES], -3.0
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-                    .join(F.broadcast(sample), "doc_id"))
 
     def terms(batches):
         import pyarrow as pa
@@ -187,12 +192,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
         if seen:
             yield pa.RecordBatch.from_pydict({"term": list(seen), "clean": [n[0] for n in seen.values()], "toxic": [n[1] for n in seen.values()]})
 
-    odds = F.log((F.col("toxic") + 0.5) / (rows[1] + 1) / ((F.col("clean") + 0.5) / (rows[0] + 1)))
+    least = F.greatest(F.col("toxic") - SPREAD * F.sqrt("toxic"), F.lit(0.0)) + 0.5
+    most = F.col("clean") + SPREAD * F.sqrt("clean") + 1
+    odds = F.log(least / (rows[1] + 1) / (most / (rows[0] + 1)))
     entries = (texts.select("text", "toxic").mapInArrow(terms, "term string, clean long, toxic long").groupBy("term")
                .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-               .withColumn("odds", odds).where((F.col("toxic") >= MIN_ROWS) & (F.col("odds") >= math.log(MIN_ODDS)))
+               .withColumn("odds", odds).where((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * rows[1])) & (F.col("odds") >= math.log(MIN_ODDS)))
                .orderBy(F.desc("odds"), "term").limit(MAX_LEXICON).collect())
-    lexicon = {r["term"]: min(1.0, r["odds"] / 5) for r in entries}
+    found = {r["term"]: r["toxic"] for r in entries}
+    alone = {t: max((n for w, n in found.items() if w[-1] != "*" and w.startswith(t[:-1])), default=0) for t in found if t[-1] == "*"}
+    lexicon = {r["term"]: min(1.0, r["odds"] / 4) for r in entries if r["toxic"] > FAMILY * alone.get(r["term"], 0)}
     read = _reader(lexicon)
     scored, (name,) = add_columns(texts.select("toxic", "text"), "text", lambda t: [read(t)], ["f array<double>"])
     table = scored.select("toxic", name).collect()  # bounded by 2 * per_label rows
