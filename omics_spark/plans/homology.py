@@ -148,9 +148,9 @@ PAIR_TYPE = ("struct<strand:string,diag:bigint,n_seeds:bigint,raw_score:int,wind
              "q_end:int,s_start:bigint,align_length:int,identities:int,q_len:int>")
 
 
-def pair_udf(k: int, match: int, mismatch: int, flank: int):
-    """Best ungapped segment over all seeded diagonals of one (query,
-    subject) pair; ties to the smaller strand then diagonal. All windows of
+def pair_udf(match: int, mismatch: int):
+    """Best ungapped segment over all seeded diagonals, from end to end, of
+    one (query, subject) pair; ties to the smaller strand then diagonal. All windows of
     an Arrow batch go through one :func:`best_segments_batch` call."""
     @F.pandas_udf(PAIR_TYPE)
     def best_pair(diags: pd.Series, qp: pd.Series, qm: pd.Series, ss: pd.Series) -> pd.DataFrame:
@@ -160,8 +160,8 @@ def pair_udf(k: int, match: int, mismatch: int, flank: int):
             for d in dl:
                 q = (a if d["strand"] == "+" else b) or ""
                 diag = int(d["diag"])
-                lo = max(int(d["qmin"]) - flank, -diag, 0)
-                hi = min(int(d["qmax"]) + k + flank, len(q), len(subj) - diag)
+                lo = max(-diag, 0)
+                hi = min(len(q), len(subj) - diag)
                 owner.append(r)
                 meta.append((d["strand"], diag, int(d["n_seeds"]), lo, max(hi - lo, 0), len(q)))
                 qw.append(q[lo:hi] if hi > lo else "")
@@ -185,18 +185,18 @@ def pair_udf(k: int, match: int, mismatch: int, flank: int):
     return best_pair
 
 
-def pair_segments(seeds: DataFrame, queries: DataFrame, subjects: DataFrame, k: int,
-                  match: int = 1, mismatch: int = -1, flank: int = 50) -> DataFrame:
+def pair_segments(seeds: DataFrame, queries: DataFrame, subjects: DataFrame,
+                  match: int = 1, mismatch: int = -1) -> DataFrame:
     """Best segment per (q_id, s_id): seeds -> per-diagonal counts -> the
     pair's diagonals collected (bounded by the two sequence lengths) ->
     one join of the sequences per pair, not per diagonal. ``queries``
     (q_id, q_plus, q_minus), ``subjects`` (s_id, s_s)."""
     d = (seeds.withColumn("diag", F.col("s_pos") - F.col("q_pos"))
          .groupBy("q_id", "s_id", "strand", "diag")
-         .agg(F.count(F.lit(1)).alias("n_seeds"), F.min("q_pos").alias("qmin"), F.max("q_pos").alias("qmax")))
-    g = d.groupBy("q_id", "s_id").agg(F.collect_list(F.struct("strand", "diag", "n_seeds", "qmin", "qmax")).alias("dl"))
+         .agg(F.count(F.lit(1)).alias("n_seeds")))
+    g = d.groupBy("q_id", "s_id").agg(F.collect_list(F.struct("strand", "diag", "n_seeds")).alias("dl"))
     g = g.join(queries, "q_id").join(subjects, "s_id")
-    r = g.select("q_id", "s_id", pair_udf(k, match, mismatch, flank)("dl", "q_plus", "q_minus", "s_s").alias("_b"))
+    r = g.select("q_id", "s_id", pair_udf(match, mismatch)("dl", "q_plus", "q_minus", "s_s").alias("_b"))
     return r.select("q_id", "s_id", "_b.*")
 
 
@@ -227,7 +227,7 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
                      (revcomp(F.col("s0")) if nucleotide else F.lit(None).cast("string")).alias("q_minus"))
     seeds = kmer_join(q, s, k, max_freq, both_strands=nucleotide, q_id="qid0", s_id="sid0",
                       q_seq="s0", s_seq="s0")
-    best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")), k)
+    best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")))
     best = best.where(F.col("raw_score") >= min_raw)
     # a translated sequence is one query or subject: its best frame counts
     ident = {side: (F.col(f"{side}_id.id"), F.col(f"{side}_id.frame")) if program in programs else
