@@ -73,7 +73,31 @@ def q_call_peaks(spark, sf):
     return call_peaks(t.where("sample = 'treatment'"), t.where("sample = 'control'"), "hs", 0.05, 200)
 
 
-@register("motif_enrichment")
+def _lchoose(n, k):
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+@register("motif_enrichment", duck_with("motif_seqs") + """,
+m as (select seq_id, grp, upper(seq) as seq, least(floor(cast(length(regexp_replace(upper(seq), '[^GC]', '', 'g')) as double) / length(seq) * 10), 9) as dec
+  from motif_seqs),
+kept as (select * from m where grp = 'target' or dec in (select dec from m where grp = 'target')),
+km as (select distinct seq_id, grp, least(kmer, reverse(translate(kmer, 'ACGTNU', 'TGCANA'))) as kmer
+  from (select seq_id, grp, substring(seq, cast(i as int), 8) as kmer from (select *, unnest(range(1, length(seq) - 6)) as i from kept) y) z),
+h as (select kmer, count(*) filter (where grp = 'target') as t_hits, count(*) filter (where grp = 'background') as b_hits from km group by kmer),
+n as (select count(*) filter (where grp = 'target') as nt, count(*) filter (where grp = 'background') as nb from kept),
+pairs as (select distinct t_hits, b_hits from h where t_hits > 0),
+tail as (select t_hits, b_hits, least(1.0, sum(exp(""" + _lchoose("(t_hits + b_hits)", "j") + " + " + _lchoose("(nt + nb - t_hits - b_hits)", "(nt - j)")
+          + " - " + _lchoose("(nt + nb)", "nt") + """))) as p
+  from (select *, unnest(range(t_hits, least(nt, t_hits + b_hits) + 1)) as j from pairs, n) y where nt - j <= nt + nb - t_hits - b_hits group by t_hits, b_hits),
+x as (select h.kmer, h.t_hits, h.b_hits, nt as n_target, nb as n_background, p,
+  round((h.t_hits / nt) / ((h.b_hits + 1) / (greatest(nb, 1) + 1)), 3) as fold
+  from h join tail on tail.t_hits = h.t_hits and tail.b_hits = h.b_hits, n),
+q as (select *, count(*) over () as m, count(*) over (order by p range between unbounded preceding and current row) as r from x),
+qq as (select *, least(1.0, min(p * m / r) over (order by p range between current row and unbounded following)) as q0 from q)
+select kmer, cast(t_hits as bigint) as t_hits, cast(b_hits as bigint) as b_hits, cast(n_target as int) as n_target, cast(n_background as int) as n_background,
+  fold, round(p, 9) as p, round(q0, 9) as q, cast(rank as int) as rank
+from (select *, row_number() over (order by p, kmer) as rank from qq) y where rank <= 25""")
 def q_motif_enrichment(spark, sf):
     m = view(spark, sf, "motif_seqs")
-    return motif_enrichment(m.where("grp = 'target'"), m.where("grp = 'background'"), k=8)
+    x = motif_enrichment(m.where("grp = 'target'"), m.where("grp = 'background'"), k=8)
+    return x.withColumn("p", F.round("p", 9)).withColumn("q", F.round("q", 9))

@@ -134,24 +134,59 @@ def q_copy_number(spark, sf):
                     copy_number(F.log2((F.col("t") + 1.0) / (F.col("n") + 1.0))).alias("cn"))
 
 
-@register("change_points")
+def change_points_sql(src, w, threshold=0.5):
+    """``seg``: change points of ``src`` (contig, bin, log2) on the dense grid."""
+    near = f"partition by contig order by bin rows between {w} preceding and 1 preceding"
+    after = f"partition by contig order by bin rows between 1 following and {w} following"
+    return f"""
+cp_grid as (select contig, unnest(generate_series(0, max(bin))) as bin from {src} group by contig),
+cp_g as (select g.contig, g.bin, coalesce(x.log2, 0.0) as log2, max(g.bin) over (partition by g.contig) as mx
+  from cp_grid g left join {src} x on x.contig = g.contig and x.bin = g.bin),
+cp_t as (select *, case when bin >= {w} and bin + {w} - 1 <= mx then round(
+    avg(log2) over (partition by contig order by bin rows between current row and {w - 1} following) - avg(log2) over ({near}), 9) end as t from cp_g),
+cp_b as (select *, coalesce(abs(t) > {threshold} and abs(t) > coalesce(greatest(max(abs(t)) over ({near}), max(abs(t)) over ({after})), -1), false) as is_break from cp_t),
+seg as (select contig, bin, log2, t, is_break, cast(sum(case when is_break then 1 else 0 end) over (partition by contig order by bin) as bigint) as segment from cp_b)"""
+
+
+SEGMENTS_SQL = """
+select x.contig, segment, min(start_pos) as start_pos, max(end_pos) as end_pos, count(*) as n_bins, round(avg(x.log2), 4) as mean_log2,
+  cast(round(2 * pow(2, round(avg(x.log2), 4))) as int) as cn
+from x join seg on seg.contig = x.contig and seg.bin = x.bin group by x.contig, segment"""
+
+
+@register("change_points", BINS_SQL + """,
+x as (select contig, start_pos // 50 as bin, log2((t + 1.0) / (n + 1.0)) as log2 from cnt),""" + change_points_sql("x", 3) + """
+select contig, bin, round(log2, 9) as log2, t, is_break, segment from seg""")
 def q_change_points(spark, sf):
     t = _sample_bins(spark, sf, "tumor")
     n = _sample_bins(spark, sf, "normal")
     x = t.join(n, ["contig", "start_pos"], "full").fillna(0, ["t", "n"])
     x = x.select("contig", F.floor(F.col("start_pos") / 50).cast("bigint").alias("bin"),
                  F.log2((F.col("t") + 1.0) / (F.col("n") + 1.0)).alias("log2"))
-    return change_points(x, "log2", 3, 0.5)
+    return change_points(x, "log2", 3, 0.5).select("contig", "bin", F.round("log2", 9).alias("log2"), "t", "is_break", "segment")
 
 
-@register("copy_number_profile")
+@register("copy_number_profile", BINS_SQL.replace(duck_with("sample_reads"), duck_with("sample_reads", "dna")) + """,
+x0 as (select contig, start_pos, start_pos + 50 as end_pos, start_pos // 50 as bin, log2((t + 1.0) / (n + 1.0)) as log2 from cnt),
+x1 as (select x0.*, x0.log2 - (select quantile_cont(log2, 0.5) from x0) as centred,
+  upper(substring(d.seq, cast(start_pos + 1 as int), 50)) as g from x0 join dna d on 's' || cast(d.seq_id as varchar) = x0.contig),
+x2 as (select *, least(floor(cast(length(regexp_replace(g, '[^GC]', '', 'g')) as double) / length(g) * 10), 9) as dec from x1 where length(g) > 0),
+x as (select contig, start_pos, end_pos, bin, centred - quantile_cont(centred, 0.5) over (partition by dec) as log2 from x2),""" +
+          change_points_sql("x", 3) + SEGMENTS_SQL)
 def q_cnv(spark, sf):
     sr = view(spark, sf, "sample_reads")
     genome = view(spark, sf, "dna").select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("contig"), "seq")
     return copy_number_profile(sr.where("sample = 'tumor'"), sr.where("sample = 'normal'"), None, 50, genome, w=3)
 
 
-@register("copy_number_profile_targets")
+@register("copy_number_profile_targets", duck_with("sample_reads", "gene_models") + """,
+c as (select g.contig, g.start_pos, g.end_pos, g.gene_id, sum(case when r.sample = 'tumor' then 1 else 0 end) as t,
+    sum(case when r.sample = 'normal' then 1 else 0 end) as n
+  from gene_models g left join (select * from sample_reads where flag & 2308 = 0) r
+    on r.contig = g.contig and r.pos - 1 < g.end_pos and g.start_pos < r.pos - 1 + 50 group by g.contig, g.start_pos, g.end_pos, g.gene_id),
+x0 as (select *, row_number() over (partition by contig order by start_pos, end_pos, t, n) - 1 as bin, log2((t + 1.0) / (n + 1.0)) as l from c),
+x as (select contig, start_pos, end_pos, bin, l - (select quantile_cont(l, 0.5) from x0) as log2 from x0),""" +
+          change_points_sql("x", 3) + SEGMENTS_SQL)
 def q_cnv_targets(spark, sf):
     sr = view(spark, sf, "sample_reads")
     targets = view(spark, sf, "gene_models").select("contig", "start_pos", "end_pos",

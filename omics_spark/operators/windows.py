@@ -160,7 +160,8 @@ def change_points(bins: DataFrame, value: str = "log2", w: int = 5, threshold: f
     ok = (F.col(bin_col) >= w) & (F.col(bin_col) + w - 1 <= F.col("_mx"))
     left = (F.col("_s_m1") - F.coalesce(F.col("_s_mw"), F.lit(0.0))) / w
     right = (F.col("_s_pw") - F.col("_s_m1")) / w
-    g = cut_lineage(g.withColumn("t", F.when(ok, right - left)))
+    # nine decimals, so that rounding noise of the sums decides no tie
+    g = cut_lineage(g.withColumn("t", F.when(ok, F.round(right - left, 9))))
     # local maximum of |t| among +-w neighbours: compare with neighbour values by joins on a grid
     tv = g.select(*keys, F.col(bin_col).alias("_nb"), F.abs("t").alias("_nt"))
     nb = g.select(*keys, bin_col, F.explode(F.sequence(F.lit(-w), F.lit(w))).alias("_o"))
