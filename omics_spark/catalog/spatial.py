@@ -90,7 +90,28 @@ def q_screen(spark, sf):
     return screen_poses(lig, rec, (c[0], c[1], c[2]), size=120.0, cutoff=8.0, num_poses=10)
 
 
-@register("pocket_points")
+# Every grid cell against every atom of its receptor; pockets by spreading the
+# smallest cell along faces until nothing changes.
+@register("pocket_points", duck_with("atoms").replace("with ", "with recursive ", 1) + """
+, bb as (select mol_id, min(x) as lx, min(y) as ly, min(z) as lz, max(x) as hx, max(y) as hy, max(z) as hz from atoms group by mol_id),
+gx as (select *, unnest(range(cast(floor((hx - lx) / 2.0) as bigint) + 1)) as ix from bb),
+gy as (select *, unnest(range(cast(floor((hy - ly) / 2.0) as bigint) + 1)) as iy from gx),
+g as (select *, unnest(range(cast(floor((hz - lz) / 2.0) as bigint) + 1)) as iz from gy),
+d as (select g.mol_id, ix, iy, iz, lx + ix * 2.0 as px, ly + iy * 2.0 as py, lz + iz * 2.0 as pz,
+  sqrt((lx + ix * 2.0 - a.x) ^ 2 + (ly + iy * 2.0 - a.y) ^ 2 + (lz + iz * 2.0 - a.z) ^ 2) as dist,
+  case upper(a.element) when 'C' then 1.9 when 'N' then 1.8 when 'O' then 1.7 when 'S' then 2.0 when 'P' then 2.1 when 'H' then 1.1 else 1.9 end + 1.4 as near
+  from g join atoms a on a.mol_id = g.mol_id),
+pts as (select mol_id, ix, iy, iz, any_value(px) as x, any_value(py) as y, any_value(pz) as z, sum(case when dist <= 8.0 then 1 else 0 end) as burial
+  from d group by mol_id, ix, iy, iz having sum(case when dist <= 8.0 then 1 else 0 end) >= 3 and not bool_or(dist < near)),
+nodes as (select *, row_number() over (order by mol_id, ix, iy, iz) as id from pts),
+e as (select a.id as src, b.id as dst from nodes a join nodes b on a.mol_id = b.mol_id
+  and abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
+reach as (select id, id as label from nodes union select e.dst, r.label from reach r join e on e.src = r.id where r.label < e.dst),
+lab as (select id, min(label) as label from reach group by id),
+pk as (select n.mol_id, first_cell.ix || '_' || first_cell.iy || '_' || first_cell.iz as pocket, count(*) as n_points, round(avg(n.x), 3) as cx,
+  round(avg(n.y), 3) as cy, round(avg(n.z), 3) as cz, round(avg(n.burial), 3) as mean_burial
+  from lab join nodes n on n.id = lab.id join nodes first_cell on first_cell.id = lab.label group by 1, 2)
+select *, cast(row_number() over (partition by mol_id order by n_points desc, pocket) as int) as rank from pk""")
 def q_pockets(spark, sf):
     return pocket_points(view(spark, sf, "atoms"), spacing=2.0, min_burial=3)
 
