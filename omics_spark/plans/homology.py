@@ -144,16 +144,18 @@ def best_segments_batch(qs: list[str], ss: list[str], match: int, mismatch: int)
     return out
 
 
-PAIR_TYPE = ("struct<strand:string,diag:bigint,n_seeds:bigint,raw_score:int,window:int,q_start:int,"
-             "q_end:int,s_start:bigint,align_length:int,identities:int,q_len:int>")
+PAIR_TYPE = ("array<struct<strand:string,diag:bigint,n_seeds:bigint,raw_score:int,window:int,q_start:int,"
+             "q_end:int,s_start:bigint,align_length:int,identities:int,q_len:int>>")
 
 
-def pair_udf(match: int, mismatch: int):
+def pair_udf(match: int, mismatch: int, share: float = 1.0):
     """Best ungapped segment over all seeded diagonals, from end to end, of
-    one (query, subject) pair; ties to the smaller strand then diagonal. All windows of
-    an Arrow batch go through one :func:`best_segments_batch` call."""
+    one (query, subject) pair; ties to the smaller strand then diagonal. With
+    ``share`` < 1 also the segments of other diagonals that score that share
+    of the best or more. All windows of an Arrow batch go through one
+    :func:`best_segments_batch` call."""
     @F.pandas_udf(PAIR_TYPE)
-    def best_pair(diags: pd.Series, qp: pd.Series, qm: pd.Series, ss: pd.Series) -> pd.DataFrame:
+    def best_pair(diags: pd.Series, qp: pd.Series, qm: pd.Series, ss: pd.Series) -> pd.Series:
         owner, meta, qw, sw = [], [], [], []
         for r, (dl, a, b, subj) in enumerate(zip(diags, qp, qm, ss)):
             subj = subj or ""
@@ -167,26 +169,24 @@ def pair_udf(match: int, mismatch: int):
                 qw.append(q[lo:hi] if hi > lo else "")
                 sw.append(subj[lo + diag: hi + diag] if hi > lo else "")
         res = best_segments_batch(qw, sw, match, mismatch)
-        best: dict[int, tuple] = {}
-        for r, m, (sc, st, en, idn) in zip(owner, meta, res):
-            key = (-int(sc), m[0], m[1])
-            if r not in best or key < best[r][0]:
-                best[r] = (key, m, int(sc), int(st), int(en), int(idn))
-        rows = []
-        for r in range(len(diags)):
-            if r not in best:
-                rows.append((None,) * 11)
-                continue
-            _, (strand, diag, n_seeds, lo, win, qlen), sc, st, en, idn = best[r]
-            rows.append((strand, diag, n_seeds, sc, win, lo + st, lo + en + 1, lo + diag + st,
-                         en - st + 1, idn, qlen))
-        return pd.DataFrame(rows, columns=["strand", "diag", "n_seeds", "raw_score", "window", "q_start",
-                                           "q_end", "s_start", "align_length", "identities", "q_len"])
+        found: list[list] = [[] for _ in range(len(diags))]
+        for r, (strand, diag, n_seeds, lo, win, qlen), (sc, st, en, idn) in zip(owner, meta, res):
+            sc, st, en = int(sc), int(st), int(en)
+            found[r].append((-sc, strand, diag, (strand, diag, n_seeds, sc, win, lo + st, lo + en + 1, lo + diag + st,
+                                                 en - st + 1, int(idn), qlen)))
+        names = ["strand", "diag", "n_seeds", "raw_score", "window", "q_start", "q_end", "s_start", "align_length",
+                 "identities", "q_len"]
+        out = []
+        for segs in found:
+            segs.sort(key=lambda x: x[:3])
+            kept = segs[:1] if share >= 1 else [x for x in segs if x[0] <= share * segs[0][0]]
+            out.append([dict(zip(names, x[3])) for x in kept])
+        return pd.Series(out)
     return best_pair
 
 
 def pair_segments(seeds: DataFrame, queries: DataFrame, subjects: DataFrame,
-                  match: int = 1, mismatch: int = -1) -> DataFrame:
+                  match: int = 1, mismatch: int = -1, share: float = 1.0) -> DataFrame:
     """Best segment per (q_id, s_id): seeds -> per-diagonal counts -> the
     pair's diagonals collected (bounded by the two sequence lengths) ->
     one join of the sequences per pair, not per diagonal. ``queries``
@@ -196,19 +196,21 @@ def pair_segments(seeds: DataFrame, queries: DataFrame, subjects: DataFrame,
          .agg(F.count(F.lit(1)).alias("n_seeds")))
     g = d.groupBy("q_id", "s_id").agg(F.collect_list(F.struct("strand", "diag", "n_seeds")).alias("dl"))
     g = g.join(queries, "q_id").join(subjects, "s_id")
-    r = g.select("q_id", "s_id", pair_udf(match, mismatch)("dl", "q_plus", "q_minus", "s_s").alias("_b"))
-    return r.select("q_id", "s_id", "_b.*")
+    return g.select("q_id", "s_id", F.inline(pair_udf(match, mismatch, share)("dl", "q_plus", "q_minus", "s_s")))
 
 
 def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "blastn",
-                      max_hits: int = 5, k: int | None = None, max_freq: int | None = None,
+                      max_hits: int | None = 5, k: int | None = None, max_freq: int | None = None,
                       q_id: str = "seq_id", s_id: str = "seq_id", seq: str = "seq",
-                      title: str | None = None, min_raw: int = 1) -> DataFrame:
+                      title: str | None = None, min_raw: int = 1, title_width: int = TITLE_WIDTH,
+                      share: float = 1.0) -> DataFrame:
     """Ungapped seed-and-extend search. ``program`` is one of blastn
     blastp blastx tblastn tblastx (else ValueError); translated programs use
     six-frame translations (F3). Columns: query, subject, title (80 chars),
     score (bits), expect, identities, align_length, pct. Queries without
-    hits give no rows."""
+    hits give no rows. ``max_hits=None`` gives all hits, unranked; ``share``
+    < 1 gives, beside the best segment of a pair, those that score that share
+    of it (not for translated programs)."""
     if program not in PROGRAMS:
         raise ValueError(f"unknown program {program!r}; expected one of {', '.join(PROGRAMS)}")
     nucleotide = program == "blastn"
@@ -227,7 +229,7 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
                      (revcomp(F.col("s0")) if nucleotide else F.lit(None).cast("string")).alias("q_minus"))
     seeds = kmer_join(q, s, k, max_freq, both_strands=nucleotide, q_id="qid0", s_id="sid0",
                       q_seq="s0", s_seq="s0")
-    best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")))
+    best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")), share=share)
     best = best.where(F.col("raw_score") >= min_raw)
     # a translated sequence is one query or subject: its best frame counts
     ident = {side: (F.col(f"{side}_id.id"), F.col(f"{side}_id.frame")) if program in programs else
@@ -235,19 +237,22 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
     best = best.select(*best.columns, ident["q"][0].alias("query"), ident["q"][1].alias("q_frame"),
                        ident["s"][0].alias("subject"), ident["s"][1].alias("s_frame"))
     order = F.struct((-F.col("raw_score")).alias("a"), "q_frame", "s_frame", "strand", "diag")
-    best = best.groupBy("query", "subject").agg(F.min_by(F.struct("*"), order).alias("_b")).select("_b.*")
+    if share >= 1:
+        best = best.groupBy("query", "subject").agg(F.min_by(F.struct("*"), order).alias("_b")).select("_b.*")
     db_len = subjects.agg(F.sum(F.length(seq))).first()[0] or 1
     if program in ("tblastn", "tblastx"):
         db_len = max(1, db_len // 3)   # in amino acids, as the alignment is
     titles = s.select(F.col("sid0.id") if program in ("tblastn", "tblastx") else F.col("sid0"), "title").toDF("subject", "title")
     best = best.join(titles.dropDuplicates(["subject"]), "subject")
     hits = best.select(
-        "query", "subject", F.substring("title", 1, TITLE_WIDTH).alias("title"),
+        "query", "subject", F.substring("title", 1, title_width).alias("title"),
         F.round(bit_score(F.col("raw_score"), lam, kk), 1).alias("score"),
         e_value(F.col("raw_score"), F.col("q_len"), F.lit(db_len), lam, kk).alias("expect"),
         "identities", "align_length",
         F.round(identity_pct(F.col("identities"), F.col("align_length")), 1).alias("pct"),
         "strand", "q_start", "s_start", "q_frame", "s_frame")
+    if max_hits is None:
+        return hits
     return top_k(hits, ["query"], [F.col("score").desc(), F.col("expect"), F.col("subject")],
                  max_hits, salt_cols=["subject"])
 
@@ -323,8 +328,9 @@ def annotate_plasmid(plasmids: DataFrame, features: DataFrame, min_identity: flo
                      max_feature_len: int | None = None) -> DataFrame:
     """Search a feature library against circular sequences: each
     plasmid is extended by its own head (wrap-around) so features crossing
-    the origin are found; coordinates are taken modulo the length; among
-    overlapping hits of one plasmid the best score wins (E9)."""
+    the origin are found; coordinates are taken modulo the length. A feature
+    is looked for everywhere: besides its best segment those that score 0.8
+    of it; among overlapping hits of one plasmid the best score wins (E9)."""
     from ..operators.intervals import greedy_nonoverlap
 
     if max_feature_len is None:
@@ -332,8 +338,8 @@ def annotate_plasmid(plasmids: DataFrame, features: DataFrame, min_identity: flo
     ext = plasmids.select(F.col(plasmid_id).alias("pid"), F.length("seq").alias("plen"),
                           F.concat("seq", F.substring("seq", 1, max_feature_len - 1)).alias("seq"))
     hits = similarity_search(features.select(F.col(feature_id).alias("fid"), "seq"),
-                             ext.select("pid", "seq"), "blastn", max_hits=1 << 30, k=k,
-                             q_id="fid", s_id="pid")
+                             ext.select("pid", "seq"), "blastn", max_hits=None, k=k,
+                             q_id="fid", s_id="pid", share=0.8)
     hits = hits.where(F.col("pct") >= min_identity)
     hits = hits.join(ext.select(F.col("pid").alias("subject"), "plen"), "subject")
     iv = hits.select(F.col("subject").cast("string").alias("contig"),

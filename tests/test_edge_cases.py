@@ -195,3 +195,26 @@ def test_no_local_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_a_feature_planted_twice_is_found_twice(spark):
+    from omics_spark.plans.homology import annotate_plasmid
+
+    plasmid = letters(21, 400) + GENE[:80] + letters(22, 300) + GENE[:80] + letters(23, 200)
+    p = spark.createDataFrame([(1, plasmid)], "seq_id int, seq string")
+    f = spark.createDataFrame([(7, GENE[:80])], "feature_id int, seq string")
+    starts = [r["start_pos"] for r in annotate_plasmid(p, f).collect()]
+    assert len(starts) == 2 and all(any(abs(x - at) < 8 for x in starts) for at in (400, 780))
+
+
+def test_genus_is_preferred_wherever_the_title_names_it(spark):
+    from omics_spark.plans.sequences import annotate_genome
+
+    protein = "MKLVWERTYPASDFGHIKLMNPQRSTKLVWERTYPASDFG"
+    back = dict(zip("MKLVWERTYPASDFGHINQ", "ATG AAA CTG GTT TGG GAA CGT ACC TAT CCG GCT TCT GAT TTT GGT CAT ATT AAC CAG".split()))
+    dna = "CC" + "".join(back[a] for a in protein) + "TAA" + "CC"
+    contigs = spark.createDataFrame([("c", dna)], "contig string, seq string")
+    rows = [(i, protein, f"protein {i}") for i in range(60)] + [(99, protein, "x" * 100 + " of Rarus")]
+    db = spark.createDataFrame(rows, "seq_id int, seq string, title string")
+    top = [r for r in annotate_genome(contigs, db, genus="rarus", min_aa=30).collect() if r["strand"] == "+" and r["score"]]
+    assert top and top[0]["product"] == "x" * 80
