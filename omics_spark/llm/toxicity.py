@@ -24,7 +24,7 @@ PER_LABEL = 6_000
 #: toxic rows is so many times that of others even if SPREAD standard
 #: deviations of chance spoke for it: rare words of long texts are many, and
 #: some stand in toxic rows only. MIN_SHARE of the toxic rows hold it.
-MIN_ROWS, MIN_SHARE, MIN_ODDS, SPREAD = 4, 0.01, 20.0, 1.5
+MIN_ROWS, MIN_SHARE, MIN_ODDS, SPREAD = 4, 0.01, 20.0, 0.75
 #: A stem counts if it is in so many times the rows of its most frequent word.
 FAMILY = 1.15
 STEMS = (4, 5, 6, 7, 8)
