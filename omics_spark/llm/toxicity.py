@@ -192,12 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
         if seen:
             yield pa.RecordBatch.from_pydict({"term": list(seen), "clean": [n[0] for n in seen.values()], "toxic": [n[1] for n in seen.values()]})
 
+    bar = min(MIN_ODDS, (rows[0] + 1) / 2)  # few other rows cannot show higher odds
     least = F.greatest(F.col("toxic") - SPREAD * F.sqrt("toxic"), F.lit(0.0)) + 0.5
     most = F.col("clean") + SPREAD * F.sqrt("clean") + 1
     odds = F.log(least / (rows[1] + 1) / (most / (rows[0] + 1)))
     entries = (texts.select("text", "toxic").mapInArrow(terms, "term string, clean long, toxic long").groupBy("term")
                .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-               .withColumn("odds", odds).where((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * rows[1])) & (F.col("odds") >= math.log(MIN_ODDS)))
+               .withColumn("odds", odds).where((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * rows[1])) & (F.col("odds") >= math.log(bar)))
                .orderBy(F.desc("odds"), "term").limit(MAX_LEXICON).collect())
     found = {r["term"]: r["toxic"] for r in entries}
     alone = {t: max((n for w, n in found.items() if w[-1] != "*" and w.startswith(t[:-1])), default=0) for t in found if t[-1] == "*"}
