@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -71,3 +72,18 @@ def test_copies_inside_long_and_odd_texts(spark):
     assert left.schema == docs.schema and sorted(r["doc_id"] for r in left.collect()) == [3, 5, 6, 7]
     assert D.matches(docs.limit(0), items).count() == D.matches(docs, items.limit(0)).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == len(rows)
+
+
+def test_one_word_changed_at_every_place():
+    """No near copy is lost by where its changed word stands."""
+    rng, shingler = random.Random(5), D._Shingler()
+    for n in range(20, 61):
+        own, other = ([f"w{rng.randrange(10 ** 9)}" for _ in range(n)] for _ in range(2))
+        index = D.Index([(0, " ".join(own)), (1, " ".join(other))])
+        for place in range(n):
+            edited = [*own[:place], "changed", *own[place + 1:]]
+            held = len({*grams(" ".join(own))} & {*grams(" ".join(edited))})
+            got = index.search(shingler(" ".join(other[:9] + edited + other[9:16])), 0.8)
+            want = [(0, held / (n - 4))] if 5 * held >= 4 * (n - 4) else []
+            assert [i for i, _, _ in got] == [i for i, _ in want], (n, place)
+            assert all(abs(g[2] - w[1]) < 1e-9 for g, w in zip(got, want, strict=True))
