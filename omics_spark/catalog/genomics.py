@@ -244,5 +244,5 @@ where r.contig = 'chr3' and r.pos - 1 + greatest(l.ref_len, 1) > 200000 and r.po
 def q_read_region(spark, sf):
     path = AL.scratch_path(spark, "indexed-reads")
     AL.write_indexed(view(spark, sf, "reads"), path, bin_size=1_000_000)
-    return AL.read_region(spark, path, "chr3:200,001-2,700,000", bin_size=1_000_000, max_span=1000) \
+    return AL.read_region(spark, path, "chr3:200,001-2,700,000", bin_size=1_000_000) \
         .select("l_orderkey", "l_linenumber", "contig", "pos", "flag", "mapq", "cigar")

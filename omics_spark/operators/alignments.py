@@ -201,23 +201,23 @@ def mate_join(reads: DataFrame, name: str = "qname") -> DataFrame:
 
 
 def write_indexed(reads: DataFrame, path: str, bin_size: int = 1_000_000) -> str:
-    """Parquet laid out by contig and coordinate bin so region reads
-    prune partitions (the role of a BAM index)."""
-    (reads.withColumn("pos_bin", bin_of(F.col("pos") - 1, bin_size))
+    """Parquet laid out by contig and by the coordinate bins of a read's
+    first and last base, so region reads prune partitions (the role of a BAM
+    index) however far a read spans."""
+    s, e = ref_span()
+    (reads.withColumn("pos_bin", bin_of(s, bin_size)).withColumn("end_bin", bin_of(e - 1, bin_size))
           .repartition("contig", "pos_bin")
-          .write.mode("overwrite").partitionBy("contig", "pos_bin").parquet(path))
+          .write.mode("overwrite").partitionBy("contig", "pos_bin", "end_bin").parquet(path))
     return path
 
 
-def read_region(spark: SparkSession, path: str, region: str,
-                bin_size: int = 1_000_000, max_span: int = 1 << 20) -> DataFrame:
-    """Reads overlapping ``region`` from a :func:`write_indexed` layout.
-    Only partitions of the region's bins (and the bin before, for reads
-    starting up to ``max_span`` earlier) are listed and scanned."""
+def read_region(spark: SparkSession, path: str, region: str, bin_size: int = 1_000_000) -> DataFrame:
+    """Reads overlapping ``region`` from a :func:`write_indexed` layout
+    of the same ``bin_size``. Only partitions whose reads start in or before
+    the region's last bin and end in or after its first are scanned."""
     contig, start, end = parse_region(region)
     df = spark.read.parquet(path)
-    lo = F.lit((max(start - max_span, 0)) // bin_size)
-    cond = (F.col("contig") == contig) & (F.col("pos_bin") >= lo)
+    cond = (F.col("contig") == contig) & (F.col("end_bin") >= F.lit(start // bin_size))
     if end is not None:
         cond &= F.col("pos_bin") <= F.lit((end - 1) // bin_size)
     df = df.where(cond)
@@ -225,7 +225,7 @@ def read_region(spark: SparkSession, path: str, region: str,
     df = df.where(e > start)
     if end is not None:
         df = df.where(s < end)
-    return df.drop("pos_bin")
+    return df.drop("pos_bin", "end_bin")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -218,3 +218,16 @@ def test_genus_is_preferred_wherever_the_title_names_it(spark):
     db = spark.createDataFrame(rows, "seq_id int, seq string, title string")
     top = [r for r in annotate_genome(contigs, db, genus="rarus", min_aa=30).collect() if r["strand"] == "+" and r["score"]]
     assert top and top[0]["product"] == "x" * 80
+
+
+def test_read_region_finds_reads_from_far_away(spark):
+    from omics_spark.operators import alignments as AL
+
+    rows = [("far", "chr1", 101, "10M3000000N10M"), ("near", "chr1", 2_999_990, "50M"), ("past", "chr1", 3_000_300, "50M"),
+            ("short", "chr1", 101, "50M"), ("other", "chr2", 101, "10M3000000N10M"), ("flat", "chr1", 3_000_050, None)]
+    path = AL.write_indexed(spark.createDataFrame(rows, "qname string, contig string, pos int, cigar string"),
+                            AL.scratch_path(spark, "far-reads"))
+    got = AL.read_region(spark, path, "chr1:3,000,001-3,000,200")
+    assert sorted(r["qname"] for r in got.collect()) == ["far", "flat", "near"]
+    assert got.columns == ["qname", "pos", "cigar", "contig"]
+    assert "end_bin" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
