@@ -23,8 +23,8 @@ PER_LABEL = 6_000
 #: A lexicon entry occurs in so many toxic rows of the sample, and its share of
 #: toxic rows is so many times that of others even if SPREAD standard
 #: deviations of chance spoke for it: rare words of long texts are many, and
-#: some stand in toxic rows only. MIN_SHARE of the toxic rows hold it.
-MIN_ROWS, MIN_SHARE, MIN_ODDS, SPREAD = 4, 0.01, 20.0, 0.75
+#: some stand in toxic rows only.
+MIN_ROWS, MIN_ODDS, SPREAD = 4, 20.0, 0.75
 #: A stem counts if it is in so many times the rows of its most frequent word.
 FAMILY = 1.15
 STEMS = (4, 5, 6, 7, 8)
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
     odds = F.log(least / (rows[1] + 1) / (most / (rows[0] + 1)))
     entries = (texts.select("text", "toxic").mapInArrow(terms, "term string, clean long, toxic long").groupBy("term")
                .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-               .withColumn("odds", odds).where((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * rows[1])) & (F.col("odds") >= math.log(bar)))
+               .withColumn("odds", odds).where((F.col("toxic") >= MIN_ROWS) & (F.col("odds") >= math.log(bar)))
                .orderBy(F.desc("odds"), "term").limit(MAX_LEXICON).collect())
     found = {r["term"]: r["toxic"] for r in entries}
     alone = {t: max((n for w, n in found.items() if w[-1] != "*" and w.startswith(t[:-1])), default=0) for t in found if t[-1] == "*"}

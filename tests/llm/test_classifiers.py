@@ -161,3 +161,13 @@ def test_toxicity_awkward_rows(spark):
     nothing = X.train(docs, labels(spark, [(1, 1, 1)]), F.lit(True))
     assert {r["predicted"] for r in X.score(docs, nothing).collect()} == {0}
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_learns_insults_of_a_rare_language(spark):
+    """An insult in 40 of 5,000 toxic rows is below a hundredth of them."""
+    rows = [(i, f"{prose(i, 12)} n{i} {('' if i % 2 else 'blarg' if i < 80 else 'vile')} {prose(i + 1, 12)}", "en", "a") for i in range(10_000)]
+    docs = awkward(spark, rows + [(20_000, "so ein blarg hier", "xx", "a"), (20_001, prose(3, 20), "en", "a")], [])
+    lexicon, *rest = X.train(docs, labels(spark, [(i, 1, 1 - i % 2) for i in range(10_000)]), F.lit(True))
+    assert {"blarg", "vile"} <= set(lexicon)
+    got = {r["doc_id"]: r["predicted"] for r in X.score(docs, (lexicon, *rest)).where("doc_id in (0, 20000, 20001)").collect()}
+    assert got == {0: 1, 20_000: 1, 20_001: 0}
