@@ -111,3 +111,70 @@ def crc32_of_id(col: str | Column = "doc_id") -> Column:
 def orderable(df: DataFrame) -> list[Column]:
     """Columns that Spark can sort by, to make choices among rows repeatable."""
     return [F.col(f"`{f.name}`") for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))] or [F.lit(1)]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def positions(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the row's place, from 0, among the rows of its ``key``
+    in ``order`` (nulls first; repeated rows in any order). Null is a key.
+
+    A key may hold most rows: rows are dealt by ranges of (key, order), so a
+    large key spans many partitions, numbered inside each (partition, key)
+    and shifted by the counts of the partitions before, one row for each
+    (partition, key). The ranges are written, so a lost task finds them again.
+    """
+    part, row, base, count = (free_name(df, x) for x in ("_part", "_row", "_before", "_count"))
+    by = [F.col(key), *order]
+    ranged = written(df.withColumn(row, F.monotonically_increasing_id()).repartitionByRange(*by, F.col(row))
+                     .withColumn(part, F.spark_partition_id()))
+    inside = Window.partitionBy(part, key).orderBy(*order, F.col(row))
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (ranged.groupBy(key, part).agg(F.count(F.lit(1)).alias(count))
+              .select(F.col(key).alias("_k"), F.col(part).alias("_p"), F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(base)))
+    return (ranged.join(counts, (F.col(part) == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+            .withColumn(name, F.row_number().over(inside) - 1 + F.col(base))
+            .drop(part, row, base, "_k", "_p"))
+
+
+def grouped_streams(df: DataFrame, key: str, order: list[str | Column], schema: str, fold: Callable) -> DataFrame:
+    """One ``fold(key value, rows) -> tuple`` for each key, rows in ``order``.
+
+    ``rows`` is an iterator of tuples in column order; a key's rows are never
+    held together, so a task's memory is that of one Arrow batch whatever the
+    size of the key (Spark sorts on disk). For results that need a key's rows
+    one after the other, such as a hash of them all. Null is a key.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+
+    at, out = df.columns.index(key), _parse_datatype_string(schema)
+
+    def run(batches: Iterator) -> Iterator:
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        rows = (r for b in slices(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        done: list[tuple] = []
+
+        def flush():
+            columns = list(zip(*done, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for value, mine in groupby(rows, key=lambda r: r[at]):
+            done.append(fold(value, mine))
+            if len(done) >= 1_000:
+                yield flush()
+                done.clear()
+        if done:
+            yield flush()
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
