@@ -1,39 +1,49 @@
-"""Benchmark decontamination: item-sized windows, exact weighted-shingle
-similarity.
-
-An item of n words is looked for in windows of n words of a document. The
-similarity of a window is the weight of the item's five-word shingles that it
-holds, repeats included, over the weight of all of them; a shingle weighs by
-how few items hold it. What a whole document holds of an item is at least what
-any window of it holds, so items are found by these sums through the shingles
-of the document, and windows are verified where the sum of their shingles can
-reach the similarity. Both bounds are exact: no item is lost, wherever its
-words are changed.
-
-A SimHash of the window is no such bound: with a fifth of the weight changed,
-fingerprints differ by 13 of 64 bits on average and by any number at worst.
-The multi-index look-up of fingerprints (``Index.near``) decides nothing here.
-Words are runs of letters and digits, lower case.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index
+Hamming search, exact weighted-shingle similarity.
+
+An item of n words is looked for in windows of n words of a document. A window
+gets a SimHash of its five-word shingles, weighted by how few items hold them;
+shingles that no item of its size holds weigh nothing, so the words round an
+edit do not blur it. Fingerprints are cut into ``BLOCKS`` blocks; two that
+differ by at most ``RADIUS`` bits differ by at most ``FLIPS`` in some block,
+so the tables of each block's neighbours find all of them. What is found is
+verified exactly: the weight of the item's shingles that the window holds,
+repeats included, over the weight of all of them.
+
+With a fifth of an item's weight gone, fingerprints differ by 9 of 64 bits on
+average, give or take 3; the radius leaves room for five times that spread
+(tests measure what is lost against the exact search over all windows).
+
+Items of one size are kept in groups of about ``GROUP``; the fingerprints of a
+group depend on its own items and on weights counted over the whole benchmark,
+so it does not matter which groups share a broadcast. Windows are cut only
+where a document holds enough known weight to be verified; this changes no
+result. Words are runs of letters and digits, lower case. An item of under
+five words is one shingle, and is found where its words stand in a row.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, slices
+from .common import add_columns, map_batches, slices, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Room for the rounding of sums: a similarity equal to the least one counts.
 SLACK = 1e-9
-#: 8 blocks of 8 bits with at most one difference each: 8 * 2 - 1 bits.
-BLOCKS, RADIUS = 8, 15
-#: Characters of benchmark text in one index, which every task gets; a larger
-#: benchmark is searched in several passes, one for each part.
+#: 8 blocks of 8 bits with at most two differences each: 8 * 3 - 1 bits.
+BLOCKS, FLIPS, RADIUS = 8, 2, 23
+#: Items of one size that share their fingerprints' weights and tables.
+GROUP = 4_096
+#: Characters of benchmark text in one broadcast, which every task gets; a
+#: larger benchmark is searched in several passes. Changes no result.
 INDEX_CHARS = 16_000_000
+#: Window ends that are fingerprinted at once.
+ENDS = 8_192
 #: Hashes of words that a task remembers.
 MEMORY = 1 << 19
 WORD = r"[^\W_]+"
@@ -50,8 +60,8 @@ class _Hashes(dict):
         return h
 
 
-class _Shingler:
-    """Text -> 64-bit hashes of its five-word shingles, one per position."""
+class _Words:
+    """Text -> 64-bit hashes of its words."""
 
     def __init__(self):
         import re
@@ -62,171 +72,222 @@ class _Shingler:
         import numpy as np
 
         words = self.find((text or "").lower())
-        if len(words) < SHINGLE:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        n = len(h) - SHINGLE + 1
-        out = np.zeros(n, np.uint64)
-        for i, m in enumerate(MULTIPLIERS):
-            out += h[i:i + n] * np.uint64(m)
-        return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _fingerprints(shingles, weights, starts, size: int):
-    """SimHash of the windows of ``size`` shingles at ``starts``."""
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingles_of(words, width: int):
+    """64-bit hashes of the runs of ``width`` words, one per position."""
     import numpy as np
 
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
-    sums = np.vstack([np.zeros((1, 64)), np.cumsum(bits * weights[:, None], axis=0, dtype=np.float64)])
-    votes = np.round(sums[starts + size] - sums[starts], 6)
-    return np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    n = max(0, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for i, m in enumerate(MULTIPLIERS[:width]):
+        out += words[i:i + n] * np.uint64(m)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Index:
-    """Items by shingle (and, on request, by fingerprint block)."""
+def _votes(shingles, weights):
+    """Running sums, from zero, of each shingle's weight for and against
+    each of the 64 bits."""
+    import numpy as np
+
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
+    return np.vstack([np.zeros((1, 64)), np.cumsum(bits * weights[:, None], axis=0)])
+
 
-    def __init__(self, items: list[tuple[int, str]]):
+def _prints(votes):
+    import numpy as np
+
+    return np.packbits(np.round(votes, 6) > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+class Group:
+    """Items of one size: [(id, shingles)], with ``weights`` (shingle ->
+    weight over the whole benchmark)."""
+
+    def __init__(self, items: list[tuple[int, object]], weights: dict[int, float]):
         import numpy as np
 
-        shingler = _Shingler()
-        read = [(i, shingler(t)) for i, t in items]
-        read = [(i, s) for i, s in read if len(s)]
-        self.ids = [i for i, _ in read]
-        self.shingles = [s for _, s in read]
-        self.sizes = np.array([len(s) for s in self.shingles], np.int64)
-        held = np.concatenate([*self.shingles, np.empty(0, np.uint64)])
-        by = np.repeat(np.arange(len(read)), self.sizes)
-        order = np.lexsort((by, held))
-        held, by = held[order], by[order]
-        new = np.ones(len(held), bool)
-        new[1:] = (held[1:] != held[:-1]) | (by[1:] != by[:-1])
-        at = np.nonzero(new)[0]
-        #: Pairs of a shingle and an item that holds it, and how often.
-        self.holder, self.times = by[at], np.diff(np.append(at, len(held)))
-        self.known, first, holders = np.unique(held[at], return_index=True, return_counts=True)
-        self.first = np.append(first, len(at))
-        #: Rare shingles weigh more; those of no item weigh like those of one.
-        self.common = np.log1p(len(read) / holders)
-        self.rarest = float(np.log1p(max(1, len(read))))
-        self.gate = np.zeros(1 << 20, bool)
-        self.gate[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        pair = np.repeat(np.arange(len(self.known)), holders)
-        self.total = np.bincount(self.holder, self.common[pair] * self.times, len(read))
-        mine = np.argsort(self.holder, kind="stable")
-        self.own = np.split(pair[mine], np.cumsum(np.bincount(self.holder, minlength=len(read)))[:-1])
+        self.ids, self.size = [i for i, _ in items], len(items[0][1])
+        self.own = []
+        for _, s in items:
+            known, times = np.unique(s, return_counts=True)
+            w = np.array([weights[h] for h in known.tolist()])
+            self.own.append((known, times, w))
+        self.totals = np.array([float((w * n).sum()) for _, n, w in self.own])
+        self.prints = np.array([_prints(_votes(s, np.array([weights[h] for h in s.tolist()]))[-1:])[0] for _, s in items], np.uint64)
+        # By block and key: the items whose block differs by FLIPS bits at most, as bits.
+        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
+        keys = self.prints.view(np.uint8).reshape(-1, BLOCKS)
+        self.tables = [np.packbits(apart[:, keys[:, b]] <= FLIPS, axis=1) for b in range(BLOCKS)]
+
+    def near(self, prints):
+        """(place in ``prints``, item) of all items within RADIUS bits."""
+        import numpy as np
 
-    @cached_property
-    def prints(self):
+        keys = prints.view(np.uint8).reshape(-1, BLOCKS)
+        found = self.tables[0][keys[:, 0]]
+        for b in range(1, BLOCKS):
+            found = found | self.tables[b][keys[:, b]]
+        at, item = np.nonzero(np.unpackbits(found, axis=1, count=len(self.ids)))
+        ok = np.bitwise_count(self.prints[item] ^ prints[at]) <= RADIUS
+        return at[ok], item[ok]
+
+    def similarity(self, item: int, window) -> float:
+        """Weight of the item's shingles that the window holds, of 1."""
         import numpy as np
 
-        return np.array([_fingerprints(s, self.weigh(s), np.zeros(1, np.int64), len(s))[0] for s in self.shingles], np.uint64)
+        own, n, w = self.own[item]
+        there, m = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(there, own), len(there) - 1)
+        both = np.where(there[at] == own, np.minimum(n, m[at]), 0)
+        return float((w * both).sum() / self.totals[item])
 
-    @cached_property
-    def blocks(self):
+    def search(self, shingles, places, weights, similarity: float) -> list[tuple[int, int, float]]:
+        """[(item, first word, similarity)] in a document with this group's
+        shingles at ``places``: for each item found the best window, the
+        first of equals."""
         import numpy as np
 
-        width, blocks = 64 // BLOCKS, []
-        for b in range(BLOCKS):
-            table: dict[int, list] = {}
-            for at, fp in enumerate(self.prints.tolist()):
-                key = (fp >> (b * width)) & ((1 << width) - 1)
-                for k in (key, *(key ^ (1 << j) for j in range(width))):
-                    table.setdefault(k, []).append(at)
-            blocks.append({k: np.array(v) for k, v in table.items()})
-        return blocks
+        # A document shorter than the items is a window of its own. The first
+        # of the best windows ends with a shingle of the item.
+        size = min(self.size, len(shingles))
+        starts = np.unique(np.maximum(places - size + 1, 0))
+        low, high = np.searchsorted(places, starts), np.searchsorted(places, starts + size)
+        sums = np.append(0.0, np.cumsum(weights))
+        enough = np.nonzero(sums[high] - sums[low] >= similarity * self.totals.min() - SLACK)[0]
+        best: dict[int, tuple[float, int]] = {}
+        for part in (enough[i:i + ENDS] for i in range(0, len(enough), ENDS)):
+            first, end = low[part[0]], high[part].max()
+            votes = _votes(shingles[places[first:end]], weights[first:end])
+            prints = _prints(votes[high[part] - first] - votes[low[part] - first])
+            for at, item in zip(*(x.tolist() for x in self.near(prints)), strict=True):
+                have = best.get(item, (0.0, 0))[0]
+                if have < 1.0:
+                    start = int(starts[part[at]])
+                    sim = self.similarity(item, shingles[start:start + size])
+                    if sim >= similarity - SLACK and sim > have:
+                        best[item] = sim, start
+        return [(item, start, sim) for item, (sim, start) in best.items()]
+
+
+class Index:
+    """Groups of items whose shingles are of ``width`` words, by shingle."""
+
+    def __init__(self, width: int, groups: list[Group]):
+        import numpy as np
+
+        self.width, self.groups = width, groups
+        held, by, weights = [], [], []
+        for g, group in enumerate(groups):
+            known = np.unique(np.concatenate([own for own, _, _ in group.own]))
+            weight = dict(z for own, _, w in group.own for z in zip(own.tolist(), w.tolist(), strict=True))
+            held.append(known)
+            by.append(np.full(len(known), g))
+            weights.append([weight[h] for h in known.tolist()])
+        held, by, weights = np.concatenate(held), np.concatenate(by), np.concatenate(weights)
+        order = np.lexsort((by, held))
+        self.by, self.weights = by[order], weights[order]
+        self.known, first = np.unique(held[order], return_index=True)
+        self.first = np.append(first, len(held))
+        self.gate = np.zeros(1 << 20, bool)
+        self.gate[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        self.least = np.array([g.totals.min() for g in groups])
 
     def place(self, shingles):
         """Positions that hold an item's shingle, and which."""
         import numpy as np
 
         at = np.nonzero(self.gate[(shingles >> np.uint64(44)).astype(np.int64)])[0]
-        if not len(at) or not len(self.known):
-            return at[:0], at[:0]
         where = np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)
         ok = self.known[where] == shingles[at]
         return at[ok], where[ok]
 
-    def weigh(self, shingles):
+    def search(self, words, similarity: float) -> Iterator[tuple[int, int, int, float]]:
+        """(item id, first word, words, similarity) of the items found."""
         import numpy as np
 
-        w = np.full(len(shingles), self.rarest)
+        shingles = shingles_of(words, self.width)
         at, where = self.place(shingles)
-        w[at] = self.common[where]
-        return w
+        if not len(at):
+            return
+        n = self.first[where + 1] - self.first[where]
+        entries = np.arange(n.sum()) + np.repeat(self.first[where] - np.cumsum(n) + n, n)
+        places, by, weights = np.repeat(at, n), self.by[entries], self.weights[entries]
+        held = np.bincount(by, weights, len(self.groups))
+        for g in np.nonzero(held >= similarity * self.least - SLACK)[0].tolist():
+            group, mine = self.groups[g], by == g
+            for item, start, sim in group.search(shingles, places[mine], weights[mine], similarity):
+                yield group.ids[item], start, group.size + self.width - 1, sim
+
+
+def read_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, chars, width, shingles) of the items that have a word."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
 
-    def near(self, fp: int):
-        """Items whose fingerprint is within RADIUS bits: all of them."""
+    def run(columns):
         import numpy as np
 
-        width = 64 // BLOCKS
-        found = [t[k] for b, t in enumerate(self.blocks) if (k := (fp >> (b * width)) & ((1 << width) - 1)) in t]
-        if not found:
-            return np.empty(0, np.int64)
-        at = np.unique(np.concatenate(found))
-        return at[np.bitwise_count(self.prints[at] ^ np.uint64(fp)) <= RADIUS]
+        read = _Words()
+        words = [read(t) for t in columns["text"]]
+        widths = [min(SHINGLE, len(w)) for w in words]
+        return {"item_id": columns["item_id"], "chars": [len(t) for t in columns["text"]], "width": widths,
+                "shingles": [shingles_of(w, max(1, k)).view(np.int64).tolist() for w, k in zip(words, widths, strict=True)]}
 
-    def similarity(self, item: int, window) -> float:
-        """Weight of the item's shingles that the window holds, of 1."""
-        import numpy as np
+    return map_batches(items, "item_id long, chars long, width int, shingles array<bigint>", run).where("width > 0")
 
-        own, n = np.unique(self.shingles[item], return_counts=True)
-        there, m = np.unique(window, return_counts=True)
-        at = np.minimum(np.searchsorted(there, own), len(there) - 1)
-        both = np.where(there[at] == own, np.minimum(n, m[at]), 0)
-        w = self.weigh(own)
-        return float((w * both).sum() / (w * n).sum())
 
-    def reachable(self, where, similarity: float):
-        """Items of whose weight a document with the known shingles ``where``
-        holds enough."""
-        import numpy as np
+def build(items: list[tuple[int, int, int, int, list]], weights: dict[int, float]) -> list[Index]:
+    """Indexes over (item_id, width, size, bucket, shingles)."""
+    import numpy as np
 
-        k, m = np.unique(where, return_counts=True)
-        n = self.first[k + 1] - self.first[k]
-        pairs = np.arange(n.sum()) + np.repeat(self.first[k] - np.cumsum(n) + n, n)
-        held = np.minimum(self.times[pairs], np.repeat(m, n)) * np.repeat(self.common[k], n)
-        sums = np.bincount(self.holder[pairs], held, len(self.ids))
-        return np.nonzero((sums > 0) & (sums >= (similarity - SLACK) * self.total))[0].tolist()
+    groups: dict[tuple, list] = {}
+    for item_id, width, size, bucket, shingles in items:
+        groups.setdefault((width, size, bucket), []).append((item_id, np.array(shingles, np.int64).view(np.uint64)))
+    return [Index(width, [Group(mine, weights) for (w, *_), mine in sorted(groups.items()) if w == width])
+            for width in sorted({w for w, *_ in groups})]
 
-    def search(self, shingles, similarity: float):
-        """[(item, first word, similarity)]: for every item found the best
-        window, the first of equals."""
-        import numpy as np
 
-        at, where = self.place(shingles)
-        if not len(at):
-            return []
-        found = []
-        for item in self.reachable(where, similarity):
-            mine = np.isin(where, self.own[item])
-            places, weights = at[mine], self.common[where[mine]]
-            # A document shorter than the item is a window of its own.
-            size = min(int(self.sizes[item]), len(shingles))
-            # The first of the best windows ends with a shingle of the item.
-            starts = np.unique(np.maximum(places - size + 1, 0))
-            sums = np.append(0.0, np.cumsum(weights))
-            most = (sums[np.searchsorted(places, starts + size)] - sums[np.searchsorted(places, starts)]) / self.total[item]
-            best, first = 0.0, 0
-            for start, reach in zip(starts.tolist(), most.tolist(), strict=True):
-                if reach >= max(similarity, best) - SLACK and best < 1.0:
-                    sim = self.similarity(item, shingles[start:start + size])
-                    if sim >= similarity - SLACK and sim > best:
-                        best, first = sim, start
-            if best:
-                found.append((item, first, best))
-        return found
+def indexes(benchmark: DataFrame, chars: int = INDEX_CHARS) -> Iterator:
+    """Broadcast lists of indexes over ``benchmark``, each of at most about
+    ``chars`` characters (one group at least). Null ids and items without a
+    word take no part."""
+    import math
 
+    import numpy as np
 
-def indexes(benchmark: DataFrame, chars: int = INDEX_CHARS):
-    """Broadcast indexes over ``benchmark``, each of at most about ``chars``
-    characters. Null ids and items of under five words take no part."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-total // chars))
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text")
-        index = Index([(r["item_id"], r["text"]) for r in mine.collect()])
-        yield benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+    items = written(read_items(benchmark))
+    holders = items.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    size = F.size("shingles").alias("size")
+    # One row for each size of items.
+    sizes = items.groupBy("width", size).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).orderBy("width", "size").collect()
+    total = sum(r["n"] for r in sizes)
+    buckets = {(r["width"], r["size"]): -(-r["n"] // GROUP) for r in sizes}
+    if not sizes:
+        return
+    table = benchmark.sparkSession.createDataFrame([(w, s, b) for (w, s), b in buckets.items()], "width int, size int, buckets int")
+    grouped = (items.select("item_id", "width", size, "shingles").join(table, ["width", "size"])
+               .withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.col("buckets")).cast("int")).drop("buckets"))
+    parts: list[list[tuple]] = [[]]
+    filled = 0
+    for r in sizes:
+        for bucket in range(n := buckets[r["width"], r["size"]]):
+            if filled and filled + r["chars"] // n > chars:
+                parts.append([])
+                filled = 0
+            parts[-1].append((r["width"], r["size"], bucket))
+            filled += r["chars"] // n
+    for part in parts:
+        wanted = benchmark.sparkSession.createDataFrame(part, "width int, size int, bucket int")
+        mine = grouped.join(wanted, ["width", "size", "bucket"])
+        rows = mine.orderBy("item_id", "shingles").select("item_id", "width", "size", "bucket", "shingles").collect()
+        counts = mine.select(F.explode("shingles").alias("s")).distinct().join(holders, "s").collect()
+        weights = {int(np.int64(r["s"]).view(np.uint64)): math.log1p(total / r["n"]) for r in counts}
+        yield benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build([tuple(r) for r in rows], weights)))
+
+
+def search(built: list[Index], words, similarity: float) -> list[tuple[int, int, int, float]]:
+    return [found for index in built for found in index.search(words, similarity)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,16 +298,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     Repeated rows and repeated items each give their rows. Empty tables give
     no rows.
     """
-    found = None
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, n_words long, similarity double")
     for shared in indexes(benchmark):
-        def run(texts, shared=shared):
-            index, shingler = cloudpickle.loads(shared.value), _Shingler()
-            return [[[(index.ids[i], at, int(index.sizes[i]) + SHINGLE - 1, sim) for i, at, sim in index.search(shingler(t), similarity)] for t in texts]]
+        def run(texts, shared=shared, state={}):  # noqa: B006  (one for each task)
+            if not state:
+                state.update(built=cloudpickle.loads(shared.value), read=_Words())
+            return [[search(state["built"], state["read"](t), similarity) for t in texts]]
 
         one, (name,) = add_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", run,
                                    ["m array<struct<item_id: bigint, first_word: bigint, n_words: bigint, similarity: double>>"])
-        one = one.select("doc_id", F.inline(name))
-        found = one if found is None else found.unionAll(one)
+        found = found.unionAll(one.select("doc_id", F.inline(name)))
     return found
 
 
@@ -256,9 +317,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         def clean(batches, shared=shared, at=docs.columns.index("text")):
             import pyarrow as pa
 
-            index, shingler = cloudpickle.loads(shared.value), _Shingler()
+            built, read = cloudpickle.loads(shared.value), _Words()
             for batch in slices(batches):
-                yield batch.filter(pa.array([not index.search(shingler(t), similarity) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not search(built, read(t), similarity) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
