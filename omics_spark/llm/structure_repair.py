@@ -199,6 +199,8 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     codes = (rows.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
              .groupBy("conv", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", code_of().alias("code")))), lambda x: x["code"]), "").alias("codes")))
     cut = codes.join(sizes, "conv").select("conv", "block", (F.col("block") == F.col("end")).alias("last"), "codes")
+    # Few bytes and much work: the number of tasks is given, not left to size.
+    cut = cut.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "block")
 
     def run(columns: dict) -> dict:
         found = [ways(c, b == 0, last) for c, b, last in zip(columns["codes"], columns["block"], columns["last"], strict=True)]
