@@ -1,9 +1,11 @@
 """Shards of near equal bytes by k-d tree partitioning, in DataFrame operations.
 
 Units are groups of equal texts. A node of the tree is split at the weighted
-median of its widest dimension (weights: bytes) until it is one shard. Ranges
-and medians are sums by node that Spark computes; the driver sees histograms
-of a fixed number of buckets and keeps the splits.
+median of its widest dimension (weights: bytes) until it is one shard. All
+nodes of a level are split together: a unit carries the number of its node, and
+ranges, histograms and cuts are small tables with a row for each node, joined
+by that number. A plan is as large for a hundred thousand shards as for eight,
+and the driver sees only whether a level is done.
 
 Each dimension is scaled to 0..1 over the table. A unit's position in it is a
 long: the scaled value above, 31 bits of a hash of the unit below, so that
@@ -13,9 +15,7 @@ hash rather than kept in one leaf.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, salts_for, written
@@ -23,19 +23,10 @@ from .common import gapless_rank, salts_for, written
 BUCKETS = 4096
 #: Values of a dimension and hash bits in a position.
 VALUES, HASH_BITS = 1 << 30, 31
-#: A dimension is about as wide as the widest from this share of its width.
-WIDE = 0.75
 #: A median may leave this share of its node on the wrong side.
 TOLERANCE = 1e-5
-
-
-@dataclass
-class Node:
-    """Shards low..high - 1; ``inside`` tells its units."""
-
-    low: int
-    high: int
-    inside: Column
+#: Tables of a level's nodes are broadcast up to so many rows.
+FEW = 1 << 17
 
 
 def _fraction(col: Column) -> Column:
@@ -54,84 +45,71 @@ def dimensions(docs: DataFrame) -> dict[str, Column]:
     return found
 
 
-def _by_node(nodes: list[Node], value) -> Column:
-    """The value of the node that a unit is in."""
-    out = F.lit(None)
-    for i, n in enumerate(nodes):
-        out = F.when(n.inside, F.lit(value(i))).otherwise(out)
-    return out
-
-
-def _medians(units: DataFrame, tries: list[tuple[Column, Column, float]]) -> list[tuple[int, float]]:
-    """For each (inside, position, share) the position below which nearest to
-    ``share`` of the inside weight lies, and by how much weight it is off.
-    Histograms of all tries narrow in on the cuts together."""
-    low, high = [0] * len(tries), [VALUES << HASH_BITS] * len(tries)
-    below, target = [0] * len(tries), [None] * len(tries)
-    found: list[tuple[int, float] | None] = [None] * len(tries)
-    while open_ := [i for i, f in enumerate(found) if f is None]:
-        step = {i: max(1, -(-(high[i] - low[i]) // BUCKETS)) for i in open_}
-        at = []
-        for i in open_:
-            inside, position, _ = tries[i]
-            bucket = F.floor((position - F.lit(low[i])) / F.lit(step[i]))
-            at.append(F.when(inside & (position >= low[i]) & (position < high[i]), F.struct(F.lit(i).alias("i"), bucket.alias("bucket"))))
-        held = units.select("weight", F.explode(F.array_compact(F.array(*at))).alias("at"))
-        sums: dict[int, dict[int, int]] = {i: {} for i in open_}
-        for r in held.groupBy("at").agg(F.sum("weight").alias("w")).collect():
-            sums[r["at"]["i"]][r["at"]["bucket"]] = r["w"]
-        for i in open_:
-            if target[i] is None:
-                target[i] = tries[i][2] * sum(sums[i].values())
-            so_far = below[i]
-            found[i] = high[i], abs(target[i] - so_far - sum(sums[i].values()))
-            for b in sorted(sums[i]):
-                w = sums[i][b]
-                if so_far + w >= target[i]:
-                    start, end = low[i] + b * step[i], min(high[i], low[i] + (b + 1) * step[i])
-                    if step[i] == 1 or w <= TOLERANCE * target[i]:
-                        found[i] = min((end, so_far + w - target[i]), (start, target[i] - so_far), key=lambda x: x[1])
-                    else:
-                        low[i], high[i], below[i], found[i] = start, end, so_far, None
-                    break
-                so_far += w
-    return found
-
-
-def partition(units: DataFrame, dims: list[str], shards: int) -> Column:
-    """The shard (0 .. shards - 1) of a unit, as a column over ``units``:
-    (weight, unit hash ``h``, one double column for each dimension)."""
+def _by_node(units: DataFrame, nodes: DataFrame, shards: int, how: str = "inner") -> DataFrame:
+    """``units`` with the columns of their node; ``nodes`` has a row for each
+    node of a level, so at most ``shards``."""
+    return units.join(F.broadcast(nodes) if shards <= FEW else nodes, "low", how)
+
+
+def medians(wide: DataFrame, shards: int) -> DataFrame:
+    """(low, middle, dim, cut): for each node of ``wide`` (units with low,
+    high, weight, ``widths`` scaled to 0..1 and ``places``) its widest
+    dimension, the first of equals, and the place in it below which nearest to
+    the weight of the shards before the middle one lies. Histograms of all
+    nodes narrow in on the cuts together."""
+    n = len(wide.select(F.col("widths.*")).columns)
+    spread = F.array(*[F.max(f"widths.w{d}") - F.min(f"widths.w{d}") for d in range(n)])
+    nodes = wide.groupBy("low", "high").agg(spread.alias("spread"), F.sum("weight").alias("total"))
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("long")
+    target = F.col("total") * (F.col("middle") - F.col("low")) / (F.col("high") - F.col("low"))
+    state = (nodes.withColumn("middle", middle)
+             .select("low", "middle", (F.array_position("spread", F.array_max("spread")) - 1).cast("int").alias("dim"), target.alias("target"),
+                     F.lit(0).cast("long").alias("a"), F.lit(VALUES << HASH_BITS).cast("long").alias("b"), F.lit(0).cast("long").alias("below"),
+                     F.lit(None).cast("long").alias("cut")))
+    state = written(state)
+    while not (open_ := state.where("cut is null")).isEmpty():
+        open_ = open_.withColumn("step", F.greatest(F.lit(1), F.floor((F.col("b") - F.col("a") + BUCKETS - 1) / BUCKETS)).cast("long"))
+        at = _by_node(wide.select("low", "weight", "places"), open_.select("low", "dim", "a", "b", "step"), shards)
+        at = at.withColumn("place", F.get("places", F.col("dim"))).where((F.col("place") >= F.col("a")) & (F.col("place") < F.col("b")))
+        held = at.groupBy("low", F.floor((F.col("place") - F.col("a")) / F.col("step")).alias("bucket")).agg(F.sum("weight").alias("w"))
+        upto = F.sum("w").over(Window.partitionBy("low").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        found = (held.withColumn("upto", upto).join(open_, "low").withColumn("upto", F.col("upto") + F.col("below"))
+                 .where((F.col("upto") >= F.col("target")) & (F.col("upto") - F.col("w") < F.col("target"))))
+        start = F.col("a") + F.col("bucket") * F.col("step")
+        end = F.least(F.col("b"), start + F.col("step"))
+        over, under = F.col("upto") - F.col("target"), F.col("target") - F.col("upto") + F.col("w")
+        done = (F.col("step") == 1) | (F.col("w") <= TOLERANCE * F.col("target"))
+        found = found.select("low", "middle", "dim", "target", start.alias("a"), end.alias("b"), (F.col("upto") - F.col("w")).alias("below"),
+                             F.when(done, F.when(over <= under, end).otherwise(start)).alias("cut"))
+        state = written(state.where("cut is not null").unionByName(found))
+    return state.select("low", "middle", "dim", "cut")
+
+
+def partition(units: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """``units`` (weight, unit hash ``h``, one double column for each
+    dimension, other columns) with ``shard`` (0 .. shards - 1). Each level is
+    written, so a lost task repeats one level at most."""
+    others = [c for c in units.columns if c not in (*dims, "h")]
     ranges = units.agg(*[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))]).first()
     if ranges[f"low_{dims[0]}"] is None:
-        return F.lit(0)
-    scaled = {}
+        return units.select(*others, F.lit(0).alias("shard"))
+    scaled = []
     for d in dims:
         low, width = ranges[f"low_{d}"], ranges[f"high_{d}"] - ranges[f"low_{d}"]
-        scaled[d] = (F.col(d) - F.lit(low)) / F.lit(width) if width else F.lit(0.0)
+        scaled.append((F.col(d) - F.lit(low)) / F.lit(width) if width else F.lit(0.0))
     tie = F.pmod(F.xxhash64("h", F.lit(8)), F.lit(1 << HASH_BITS))
-    place = {d: F.floor(scaled[d] * (VALUES - 1)) * F.lit(1 << HASH_BITS) + tie for d in dims}
-    nodes = [Node(0, shards, F.lit(True))]
-    while any(n.high - n.low > 1 for n in nodes):
-        wide = [n for n in nodes if n.high - n.low > 1]
-        number = _by_node(wide, lambda i: i)
-        got = (units.select(number.alias("node"), *[scaled[d].alias(d) for d in dims]).where("node is not null").groupBy("node")
-               .agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).collect())
-        widths = {r["node"]: r for r in got}
-        middle = [(n.low + n.high) // 2 for n in wide]
-        # Of dimensions about as wide as the widest, the one that splits most evenly.
-        # (An empty node has no widths; where it is cut does not matter.)
-        tries = [(i, d) for i in range(len(wide)) for d in (dims if i in widths else dims[:1])
-                 if i not in widths or widths[i][d] >= WIDE * max(widths[i][e] for e in dims)]
-        halves = _medians(units, [(wide[i].inside, place[d], (middle[i] - wide[i].low) / (wide[i].high - wide[i].low)) for i, d in tries])
-        best = {}
-        for (i, d), (c, off) in zip(tries, halves, strict=True):
-            if i not in best or off < best[i][2]:
-                best[i] = place[d], c, off
-        position, cuts = [best[i][0] for i in range(len(wide))], [best[i][1] for i in range(len(wide))]
-        nodes = [n for n in nodes if n.high - n.low == 1]
-        for n, m, p, c in zip(wide, middle, position, cuts, strict=True):
-            nodes += [Node(n.low, m, n.inside & (p < F.lit(c))), Node(m, n.high, n.inside & (p >= F.lit(c)))]
-    return _by_node(nodes, lambda i: nodes[i].low)
+    at = units.select(*others, F.struct(*[c.alias(f"w{i}") for i, c in enumerate(scaled)]).alias("widths"),
+                      F.array(*[F.floor(c * (VALUES - 1)) * F.lit(1 << HASH_BITS) + tie for c in scaled]).alias("places"),
+                      F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high"))
+    at, most = written(at), shards
+    while most > 1:
+        cuts = medians(at.where("high - low > 1"), shards)
+        left = F.get("places", F.col("dim")) < F.col("cut")
+        moved = _by_node(at, cuts, shards, "left").withColumns({
+            "low": F.when(F.col("cut").isNull() | left, F.col("low")).otherwise(F.col("middle")),
+            "high": F.when(F.col("cut").isNull() | ~left, F.col("high")).otherwise(F.col("middle"))})
+        at, most = written(moved.drop("middle", "dim", "cut")), -(-most // 2)
+    return at.select(*others, F.col("low").cast("int").alias("shard"))
 
 
 def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) -> DataFrame:
@@ -159,10 +137,10 @@ def shard(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) ->
     hot = (rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit)
            .select("text_hash", F.ceil(F.col("bytes") / limit).alias("parts")))
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))
-    rows = rows.join(F.broadcast(hot), "text_hash", "left").withColumn("part", part).drop("parts")
+    rows = rows.join(F.broadcast(hot) if 32 * shards <= FEW else hot, "text_hash", "left").withColumn("part", part).drop("parts")
     units = written(rows.groupBy("text_hash", "part").agg(F.sum("size").alias("weight"), *[F.min(n).alias(n) for n in names])
                     .withColumn("h", F.xxhash64("text_hash", "part")))
-    of_unit = units.select("text_hash", "part", partition(units, names, shards).cast("int").alias("shard"))
+    of_unit = partition(units, names, shards).select("text_hash", "part", "shard")
     placed = rows.drop(*names).join(of_unit, ["text_hash", "part"])
     slots = gapless_rank(placed, ["shard"], F.xxhash64("doc_id", "text_hash"), ["doc_id", "text_hash"], "slot", salts_for(n_rows or 0, least=32))
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"),

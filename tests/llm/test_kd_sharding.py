@@ -69,3 +69,48 @@ def test_gapless_rank_of_a_hot_key(spark):
     for r in rows:
         by.setdefault(r["k"], []).append(r["n"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(rows) == 1000
+
+
+def plain_tree(units, shards):
+    """Shard of each unit (weight, places, scaled values), node by node."""
+    home = {}
+
+    def split(own, low, high):
+        if high - low == 1 or not own:
+            home.update(dict.fromkeys(own, low))
+            return
+        widths = [max(units[u][2][d] for u in own) - min(units[u][2][d] for u in own) for d in range(len(units[own[0]][2]))]
+        dim, middle = widths.index(max(widths)), (low + high) // 2
+        own = sorted(own, key=lambda u: units[u][1][dim])
+        target, held, at = sum(units[u][0] for u in own) * (middle - low) / (high - low), 0, 0
+        while held + units[own[at]][0] < target:
+            held += units[own[at]][0]
+            at += 1
+        at += held + units[own[at]][0] - target <= target - held
+        split(own[:at], low, middle)
+        split(own[at:], middle, high)
+
+    split(list(units), 0, shards)
+    return home
+
+
+def test_splits_are_those_of_a_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(K, "TOLERANCE", 0.0)
+    df = K.written(spark.range(600).selectExpr("id", "xxhash64(id) h", "1 + pmod(xxhash64(id, 1), 900) weight", "log(1 + pmod(xxhash64(id, 2), 5000)) dim_a",
+                                               "cast(pmod(xxhash64(id, 3), 3) as double) dim_b", "0.0D dim_c"))
+    rows = df.collect()
+    tie = {r["id"]: r["t"] for r in df.select("id", F.pmod(F.xxhash64("h", F.lit(8)), F.lit(1 << K.HASH_BITS)).alias("t")).collect()}
+    span = {d: (min(r[d] for r in rows), max(r[d] for r in rows)) for d in ("dim_a", "dim_b")}
+    units = {}
+    for r in rows:
+        scaled = [(r[d] - span[d][0]) / (span[d][1] - span[d][0]) for d in span] + [0.0]
+        units[r["id"]] = r["weight"], [int(x * (K.VALUES - 1)) * (1 << K.HASH_BITS) + tie[r["id"]] for x in scaled], scaled
+    for shards in (5, 16):
+        got = {r["id"]: r["shard"] for r in K.partition(df, ["dim_a", "dim_b", "dim_c"], shards).collect()}
+        assert got == plain_tree(units, shards)
+
+
+def test_very_many_shards(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    sizes = check(K.shard(docs, 512).collect(), pairs(docs), 512)
+    assert sum(s > 0 for s in sizes) > 500
