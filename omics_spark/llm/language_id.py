@@ -7,8 +7,6 @@ batches are scored in numpy by gathering the rows of the n-grams that occur.
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,8 @@ from .common import map_batches, slices
 ORDERS, BITS = 3, 15
 #: Labelled rows of one language used in training (expected; chosen by id hash).
 PER_LANGUAGE = 2_000
-#: The matrix of log probabilities may hold so many values.
+#: The matrix of log probabilities holds at most so many values: up to 2,048
+#: languages have 2^BITS buckets each, with twice as many the buckets halve.
 MAX_VALUES = 1 << 26
 #: n-grams that the score trusts: longer texts are no surer than these.
 TRUST = 200
@@ -44,7 +43,11 @@ def _pieces(texts: list[str | None], chars: int):
         yield held
 
 
-def _buckets(held):
+def _bits(languages: int) -> int:
+    return max(1, min(BITS, (MAX_VALUES // max(1, languages)).bit_length() - 1))
+
+
+def _buckets(held, bits: int = BITS):
     """For each n-gram order the buckets; where each piece starts and ends."""
     import numpy as np
 
@@ -56,7 +59,7 @@ def _buckets(held):
     for n in range(ORDERS):
         h = (h ^ cp[n:n + len(h)]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-        out.append((h * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS))
+        out.append((h * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits))
     return out, starts, ends
 
 
@@ -69,11 +72,10 @@ def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE, a
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
-    if len(langs) << BITS > MAX_VALUES:
-        raise ValueError(f"{len(langs)} languages need a matrix of over {MAX_VALUES} values; raise MAX_VALUES")
+    bits = _bits(len(langs))
     if not langs:
-        return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)
-    share = F.create_map(*[F.lit(x) for n in langs for x in (n, min(1.0, per_language / sizes[n]))])
+        return [], np.zeros(0), np.zeros((1 << bits, 0), np.float32)
+    share = docs.sparkSession.createDataFrame([(n, min(1.0, per_language / sizes[n])) for n in langs], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     number = {n: i for i, n in enumerate(langs)}
 
@@ -87,55 +89,61 @@ def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE, a
             for lang, text in zip(cols["lang"], cols["text"], strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                got = total.setdefault(number[lang], np.zeros(1 << BITS, np.int64))
+                got = total.setdefault(number[lang], np.zeros(1 << bits, np.int64))
                 for held in _pieces(texts, 1 << 20):
-                    for b in _buckets(held)[0]:
-                        got += np.bincount(b, minlength=1 << BITS)
+                    for b in _buckets(held, bits)[0]:
+                        got += np.bincount(b, minlength=1 << bits)
         for lang, counts in total.items():
             used = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_pydict({"l": pa.array(np.full(len(used), lang), pa.int32()), "b": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
 
-    counted = rows.where(draw < share[F.col("lang")]).mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), 1 << BITS))
+    drawn = rows.join(share, "lang").where(draw < F.col("share")).select("doc_id", "lang", "text")
+    counted = drawn.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(langs), 1 << bits))
     counts[counted["l"], counted["b"]] = counted["n"]
-    log_p = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * (1 << BITS))
+    log_p = np.log(counts + alpha) - np.log(counts.sum(1, keepdims=True) + alpha * (1 << bits))
     prior = np.log(np.array([sizes[n] for n in langs]) / sum(sizes.values()))
     return langs, prior, np.ascontiguousarray(log_p.T, np.float32)
 
 
 def score_texts(texts, langs, prior, log_p):
-    """[(language, score)] of whole texts."""
+    """[(language, score)] of whole texts: the language of the greatest
+    posterior, and its posterior with scaled evidence."""
     import re
 
     import numpy as np
 
     letter = re.compile(r"[^\W\d_]")
-    total, grams = np.zeros((len(texts), len(langs))), np.zeros(len(texts))
-    if langs:
-        for held in _pieces(texts, max(4096, (1 << 23) // len(langs))):
-            buckets, starts, ends = _buckets(held)
-            bounds = np.stack([starts, ends], 1).ravel()
-            row = np.array([r for r, _, _ in held])
-            for b in buckets:
-                sums = np.add.reduceat(np.concatenate([log_p[b], np.zeros((ORDERS, len(langs)), np.float32)]), bounds, axis=0, dtype=np.float64)[::2]
-                np.add.at(total, row, sums)
-            np.add.at(grams, row, (ends - starts) * ORDERS)
+    bits, width = log_p.shape[0].bit_length() - 1, max(1, len(langs))
+    rows = max(1, (1 << 23) // width)
     out = []
-    for text, sums, n in zip(texts, total, grams, strict=True):
-        if not langs or not text or not letter.search(text):
-            out.append((UNKNOWN, 0.0))
-            continue
-        logs = prior * min(1.0, n / TRUST) + sums * min(1.0, TRUST / n)
-        p = np.exp(logs - logs.max())
-        out.append((langs[int(p.argmax())], float(p.max() / p.sum())))
+    for part in (texts[at:at + rows] for at in range(0, len(texts), rows)):
+        total, grams = np.zeros((len(part), len(langs))), np.zeros(len(part))
+        if langs:
+            for held in _pieces(part, max(4096, (1 << 23) // width)):
+                buckets, starts, ends = _buckets(held, bits)
+                bounds = np.stack([starts, ends], 1).ravel()
+                row = np.array([r for r, _, _ in held])
+                for b in buckets:
+                    sums = np.add.reduceat(np.concatenate([log_p[b], np.zeros((ORDERS, len(langs)), np.float32)]), bounds, axis=0, dtype=np.float64)[::2]
+                    np.add.at(total, row, sums)
+                np.add.at(grams, row, (ends - starts) * ORDERS)
+        for text, sums, n in zip(part, total, grams, strict=True):
+            if not langs or not text or not letter.search(text):
+                out.append((UNKNOWN, 0.0))
+                continue
+            best = int((prior + sums).argmax())
+            logs = prior * min(1.0, n / TRUST) + sums * min(1.0, TRUST / n)
+            p = np.exp(logs - logs.max())
+            out.append((langs[best], float(p[best] / p.sum())))
     return out
 
 
 def identify(docs: DataFrame, model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row.
 
-    ``score`` is the posterior with the evidence scaled to at most ``TRUST``
-    n-grams. Null texts, texts without letters, and all texts if nothing was
+    The language is that of plain naive Bayes; ``score`` is its posterior with
+    the evidence scaled to at most ``TRUST`` n-grams. Null texts, texts without letters, and all texts if nothing was
     learned, are ``und`` with score 0. Repeated rows come out as often as
     they go in; an empty table gives an empty table.
     """
