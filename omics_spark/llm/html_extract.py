@@ -60,12 +60,20 @@ def scanner():
     token = re.compile(
         rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
         rf"|<(?P<raw>{raw})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-        r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+        r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S | re.I)
     attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
+    def unclosed(m) -> bool:
+        """Whether a comment, raw element or CDATA goes on to the page's end."""
+        end = "-->" if m[0].startswith("<!--") else "]]>" if m[0][:9].upper() == "<![CDATA[" else ""
+        if m["raw"]:
+            return not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I)
+        return bool(end) and not m[0].endswith(end)
+
     def scan(page: str | None) -> list[Block]:
         blocks: list[Block] = []
         open_: list[tuple[str, bool, bool]] = []  # (element, bad, good), inherited
+        depth: dict[str, int] = {}  # how many of each element are open
         now, link = Block(), None  # link: depth at which <a> was opened
 
         def close(start: Block) -> Block:
@@ -89,14 +97,18 @@ def scanner():
 
         page = page or ""
         at = 0
-        for m in token.finditer(page):
+        # Every tag ends by the last ">", so what is open after it is not looked for.
+        markup = page.rfind(">") + 1
+        for m in token.finditer(page, 0, markup):
             if m.start() > at:
                 text(page[at:m.start()])
             at = m.end()
             name = (m["name"] or "").lower()
             if not name:
+                if at == markup and unclosed(m):
+                    at = len(page)
                 if m[0][:9].upper() == "<![CDATA[":
-                    text(m[0][9:].removesuffix("]]>"))
+                    text(page[m.start() + 9:at].removesuffix("]]>"))
                 continue
             if name == "a":
                 link = None if m["end"] else len(open_)
@@ -106,18 +118,22 @@ def scanner():
                 pass
             elif m["end"]:
                 now = close(now)
-                if name in CONTAINERS and any(n == name for n, _, _ in open_):
-                    while open_.pop()[0] != name:
-                        pass
+                if name in CONTAINERS and depth.get(name):
+                    while True:
+                        closed = open_.pop()[0]
+                        depth[closed] -= 1
+                        if closed == name:
+                            break
                     if link is not None and len(open_) < link:
                         link = None
                 now = fresh()
             else:
                 now = close(now)
-                bad, good = _flags(name, m["attrs"], any(n == "article" for n, _, _ in open_), attribute)
+                bad, good = _flags(name, m["attrs"], bool(depth.get("article")), attribute)
                 if name in CONTAINERS and not m["attrs"].endswith("/"):
                     _, b, g = open_[-1] if open_ else ("", False, False)
                     open_.append((name, b or bad, g or good))
+                    depth[name] = depth.get(name, 0) + 1
                     now = fresh()
                 elif name in VOID:
                     now = fresh()

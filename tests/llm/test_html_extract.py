@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -71,3 +72,18 @@ def test_tree_fits_its_table():
     for blocks, marks in H.LABELLED:
         rows = H.features([H.Block(words=w, linked=n, heading=bool(h), bad=bool(b), good=bool(g)) for w, n, h, b, g in blocks])
         assert [H.classify(TREE, r) for r in rows] == marks
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div>" * 50_000 + "</nav>" * 50_000, '<a "' * 50_000, "<a x=\"" * 50_001, "<a x='" * 30_001 + "<b>", "<" * 200_000,
+                                  "<article>" * 30_000 + "<header>" * 30_000, "<!--" * 50_000, "<script" * 50_000 + ">", "<a <b" * 50_000 + ">"])
+def test_malformed_pages_take_time_in_proportion(page):
+    began = time.time()
+    H.scanner()(page)
+    assert time.time() - began < 3
+
+
+def test_quotes_hide_ends_of_tags_only_as_values():
+    scan = H.scanner()
+    assert [b.text for b in scan('<p title="a>b">one</p><p "x>two</p><p title=\'>\'>three</p><p x="open>four</p> <q> five')] == ["one", "two", "three", "four", "five"]
+    assert scan("<!-- a > b") == scan("<script>x > y") == scan("<p <!-- ") == []
+    assert [b.text for b in scan("<![CDATA[1 > 0")] == ["1 > 0"] and [b.text for b in scan("<script>a</script> b")] == ["b"]
