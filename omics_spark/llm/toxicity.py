@@ -28,7 +28,6 @@ MIN_ROWS, MIN_ODDS, SPREAD = 4, 20.0, 0.75
 #: A stem counts if it is in so many times the rows of its most frequent word.
 FAMILY = 1.15
 STEMS = (4, 5, 6, 7, 8)
-MAX_LEXICON = 50_000
 #: Symbols that one task remembers for words.
 MEMORY = 1 << 19
 
@@ -143,7 +142,7 @@ def _reader(lexicon: dict[str, float]):
             for m in clause.finditer(symbols):
                 strength = [words[t][1] for t in tokens[m.start():m.end()]]
                 total = [a + b for a, b in zip(total, clause_features(m[0], strength, arcs), strict=True)]
-            rows.append([min(x, 10.0) for x in total])
+            rows.append(total)
         return rows
 
     return read
@@ -199,9 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
     entries = (texts.select("text", "toxic").mapInArrow(terms, "term string, clean long, toxic long").groupBy("term")
                .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
                .withColumn("odds", odds).where((F.col("toxic") >= MIN_ROWS) & (F.col("odds") >= math.log(bar)))
-               .orderBy(F.desc("odds"), "term").limit(MAX_LEXICON).collect())
-    found = {r["term"]: r["toxic"] for r in entries}
-    alone = {t: max((n for w, n in found.items() if w[-1] != "*" and w.startswith(t[:-1])), default=0) for t in found if t[-1] == "*"}
+               .orderBy(F.desc("odds"), "term").collect())  # each entry is in MIN_ROWS of the sampled toxic rows
+    alone: dict[str, int] = {}  # of each stem the rows of its most frequent word
+    for r in entries:
+        if r["term"][-1] != "*":
+            for n in STEMS:
+                if len(r["term"]) >= n:
+                    alone[r["term"][:n] + "*"] = max(r["toxic"], alone.get(r["term"][:n] + "*", 0))
     lexicon = {r["term"]: min(1.0, r["odds"] / 4) for r in entries if r["toxic"] > FAMILY * alone.get(r["term"], 0)}
     read = _reader(lexicon)
     scored, (name,) = add_columns(texts.select("toxic", "text"), "text", lambda t: [read(t)], ["f array<double>"])
