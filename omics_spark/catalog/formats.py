@@ -94,3 +94,63 @@ def q_pipe_groups(spark, sf):
                                        F.concat_ws("\t", "contig", "start_pos", "end_pos").alias("value"))
     out = pipe_groups(b, ["contig"], ["wc", "-l"], order=["start_pos"])
     return out.select("contig", F.trim("value").cast("bigint").alias("n_lines"))
+
+
+@register("list_files", duck_with("iv_b") + "select distinct 'contig=' || contig as name, true as is_dir from iv_b")
+def q_list_files(spark, sf):
+    path = scratch_path(spark, "listed")
+    b = view(spark, sf, "iv_b").select("contig", F.concat_ws("\t", "start_pos", "end_pos").alias("value"))
+    b.repartition("contig").write.partitionBy("contig").text(path)
+    return FM.list_files(spark, path).where(~F.col("name").startswith("_")).select("name", "is_dir")
+
+
+@register("preview_lines", duck_with("iv_b") + """,
+n as (select *, row_number() over (order by value) as line_no, count(*) over () as n from (
+  select contig || chr(9) || cast(start_pos as varchar) || chr(9) || cast(end_pos as varchar) as value from iv_b) x)
+select value, cast(line_no as int) as line_no, n > 20 as truncated from n where line_no <= 20""")
+def q_preview_lines(spark, sf):
+    path = scratch_path(spark, "preview")
+    lines = view(spark, sf, "iv_b").select(F.concat_ws("\t", "contig", "start_pos", "end_pos").alias("value"))
+    FM.write_lines(lines.orderBy("value"), path)
+    return FM.preview_lines(FM.read_lines(spark, path), 20)
+
+
+@register("fasta_tiles", duck_with("dna") + """
+select cast(seq_id as varchar) as contig, cast(t as int) as tile, substring(seq, cast(t * 700 + 1 as int), 750) as tile_seq
+from (select seq_id, seq, unnest(range((length(seq) + 699) // 700)) as t from dna) x""")
+def q_fasta_tiles(spark, sf):
+    path = scratch_path(spark, "genome")
+    FM.write_fasta(view(spark, sf, "dna"), path)
+    return FM.fasta_tiles(spark, path, 700, 50)
+
+
+@register("vcf_genotypes_roundtrip", duck_with("variants") + """
+select contig, pos, ref, alt, case when dp % 2 = 0 then 'PASS' end as db, s.sample, case when s.sample = 'S1' then '0/1' else '1|1' end as gt,
+  case when s.sample = 'S1' then dp end as depth from variants, (values ('S1'), ('S2')) s(sample)""")
+def q_vcf_genotypes(spark, sf):
+    path = scratch_path(spark, "genotypes")
+    v = view(spark, sf, "variants")
+    both = F.array(*[F.struct(F.lit(n).alias("sample"), F.create_map(F.lit("GT"), F.lit(gt), F.lit("DP"), dp).alias("fields"))
+                     for n, gt, dp in (("S1", "0/1", F.col("dp").cast("string")), ("S2", "1|1", F.lit(None).cast("string")))])
+    flag = F.when(F.col("dp") % 2 == 0, F.create_map(F.lit("DB"), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    FM.write_vcf(v.select("contig", "pos", "ref", "alt", "qual", "filter", flag.alias("info"), both.alias("genotypes")), path)
+    r = FM.read_vcf(spark, path).select("contig", "pos", "ref", F.col("alts")[0].alias("alt"), "info", F.inline("genotypes"))
+    return r.select("contig", "pos", "ref", "alt", F.when(F.map_contains_key("info", "DB"), "PASS").alias("db"), "sample",
+                    F.col("fields")["GT"].alias("gt"), F.col("fields")["DP"].try_cast("int").alias("depth"))
+
+
+# molecules written as fixed-width lines, a file each, in three poses
+@register("read_atoms", duck_with("atoms") + """
+select cast(p as int) as pose_id, atom_id, element, cast(round(x * 1000) + 100 * p as bigint) as x, cast(round(y * 1000) as bigint) as y, cast(round(z * 1000) as bigint) as z
+from (select *, unnest([1, 2, 3]) as p from atoms where atom_id < 99999) a""")
+def q_read_atoms(spark, sf):
+    path = scratch_path(spark, "atoms")
+    a = view(spark, sf, "atoms").where("atom_id < 99999").select("*", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("p"))
+    line = F.format_string("ATOM  %5d  %-3s LIG A   1    %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("atom_id").cast("int"), "element",
+                           F.round(F.col("x") * 1000) / 1000 + F.col("p") * 0.1, F.round(F.col("y") * 1000) / 1000, F.round(F.col("z") * 1000) / 1000, "element")
+    heads = a.select("mol_id", "p").distinct().select("mol_id", "p", F.lit(-1).cast("bigint").alias("atom_id"), F.format_string("MODEL     %4d", "p").alias("value"))
+    lines = a.select("mol_id", "p", "atom_id", line.alias("value")).unionByName(heads)
+    lines.repartition("mol_id").sortWithinPartitions("mol_id", "p", "atom_id").select("mol_id", "value").write.partitionBy("mol_id").text(path)
+    r = FM.read_atoms(spark, path)
+    return r.select("pose_id", F.col("atom_id").cast("bigint").alias("atom_id"), "element",
+                    *[F.round(F.col(c) * 1000).cast("bigint").alias(c) for c in ("x", "y", "z")])

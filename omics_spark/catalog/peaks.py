@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import poisson_upper
 from ..operators.windows import bh_qvalues, local_background
-from ..plans.peaks import call_peaks, motif_enrichment
+from ..plans.peaks import call_peaks, motif_enrichment, motif_enrichment_in_peaks
 from ..sources.fixtures import duck_with, view
 from . import register
 
@@ -67,7 +67,42 @@ def q_poisson(spark, sf):
     return b.join(pairs, ["n", "lam"]).select("contig", "bin", "n", "lam", "p")
 
 
-@register("call_peaks")
+def peaks_sql(tags, d=200, bin_size=50, genome_size=2.7e9, q=0.05):
+    """``peaks`` of the tags: windows of bins as range frames, Poisson tails
+    as sums of their terms, ranks over all bins."""
+    k1, k10 = 500 // bin_size, 5000 // bin_size
+
+    def mean(h):
+        return (f"sum(c_count) over (partition by contig order by bin range between {h} preceding and {h} following)"
+                f" / cast(least(bin + {h}, mx) - greatest(bin - {h}, 0) + 1 as double)")
+
+    term = "-lam + {k} * ln(lam) - lgamma({k} + 1)"
+    return f"""
+tag as (select sample, contig, greatest(case when strand = '-' then start_pos - {d} + 1 else start_pos end, 0) as s from {tags}),
+tot as (select cast(count(*) filter (where sample = 'treatment') as double) as nt, cast(count(*) filter (where sample = 'control') as double) as nc from tag),
+bn as (select contig, b as bin, count(*) filter (where sample = 'treatment') as t_count, count(*) filter (where sample = 'control') as c_count
+  from (select sample, contig, unnest(generate_series(s // {bin_size}, (s + {d} - 1) // {bin_size})) as b from tag) x group by contig, b),
+bm as (select *, max(bin) over (partition by contig) as mx from bn),
+bl as (select contig, bin, t_count, {mean(k1)} as l1, {mean(k10)} as l10 from bm),
+lm as (select contig, bin, t_count, round(greatest(nt * {d} / {genome_size}, l1 * (nt / nc), l10 * (nt / nc)), 6) as lam from bl, tot where t_count > 0),
+dp as (select distinct t_count as n, lam from lm),
+pv as (select n, lam, case
+    when n > lam then (select sum(exp({term.format(k="j")} - ({term.format(k="n")}))) from range(n, n + 61 + cast(ceil(12 * sqrt(lam)) as bigint)) r(j)) end as tail,
+    case when n <= lam then 1 - (select sum(exp({term.format(k="j")})) from range(0, n) r(j)) end as rest from dp),
+lp as (select n, lam, case when n > lam then log10(tail) + ({term.format(k="n")}) / ln(10) else log10(greatest(0.0, rest)) end as log10p from pv),
+pp as (select lm.*, log10p, pow(10.0, log10p) as p from lm join lp on lp.n = lm.t_count and lp.lam = lm.lam),
+rk as (select *, count(*) over () as m, count(*) over (order by p range between unbounded preceding and current row) as r from pp),
+qv as (select *, least(1.0, min(p * m / r) over (order by p range between current row and unbounded following)) as q from rk),
+sig as (select contig, bin, t_count, lam, log10p, q, bin - row_number() over (partition by contig order by bin) as run from qv where q <= {q}),
+pk as (select contig, min(bin) * {bin_size} as start_pos, (max(bin) + 1) * {bin_size} as end_pos,
+  arg_min({{'bin': bin, 't': t_count, 'lam': lam, 'lp': log10p, 'q': q}}, (-t_count, bin)) as b from sig group by contig, run),
+peaks as (select contig, cast(start_pos as bigint) as start_pos, cast(end_pos as bigint) as end_pos, 'peak_' || contig || '_' || start_pos as name,
+  cast(least(1000, round(-10 * log10(greatest(b.q, 1e-300)))) as int) as score, '.' as strand, round(b.t / b.lam, 3) as signal,
+  round(-b.lp, 3) as p_value, round(-log10(greatest(b.q, 1e-300)), 3) as q_value, cast(b.bin * {bin_size} - start_pos + {bin_size // 2} as bigint) as peak,
+  cast(b.t as bigint) as summit_count from pk)"""
+
+
+@register("call_peaks", duck_with("chip_tags") + "," + peaks_sql("chip_tags") + " select * from peaks")
 def q_call_peaks(spark, sf):
     t = view(spark, sf, "chip_tags")
     return call_peaks(t.where("sample = 'treatment'"), t.where("sample = 'control'"), "hs", 0.05, 200)
@@ -77,10 +112,8 @@ def _lchoose(n, k):
     return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
 
 
-@register("motif_enrichment", duck_with("motif_seqs") + """,
-m as (select seq_id, grp, upper(seq) as seq, least(floor(cast(length(regexp_replace(upper(seq), '[^GC]', '', 'g')) as double) / length(seq) * 10), 9) as dec
-  from motif_seqs),
-kept as (select * from m where grp = 'target' or dec in (select dec from m where grp = 'target')),
+#: From ``kept`` (seq_id, grp, seq) to the 25 first motifs.
+_MOTIF_SQL = ("""
 km as (select distinct seq_id, grp, least(kmer, reverse(translate(kmer, 'ACGTNU', 'TGCANA'))) as kmer
   from (select seq_id, grp, substring(seq, cast(i as int), 8) as kmer from (select *, unnest(range(1, length(seq) - 6)) as i from kept) y) z),
 h as (select kmer, count(*) filter (where grp = 'target') as t_hits, count(*) filter (where grp = 'background') as b_hits from km group by kmer),
@@ -97,7 +130,36 @@ qq as (select *, least(1.0, min(p * m / r) over (order by p range between curren
 select kmer, cast(t_hits as bigint) as t_hits, cast(b_hits as bigint) as b_hits, cast(n_target as int) as n_target, cast(n_background as int) as n_background,
   fold, round(p, 9) as p, round(q0, 9) as q, cast(rank as int) as rank
 from (select *, row_number() over (order by p, kmer) as rank from qq) y where rank <= 25""")
+
+
+@register("motif_enrichment", duck_with("motif_seqs") + """,
+m as (select seq_id, grp, upper(seq) as seq, least(floor(cast(length(regexp_replace(upper(seq), '[^GC]', '', 'g')) as double) / length(seq) * 10), 9) as dec
+  from motif_seqs),
+kept as (select * from m where grp = 'target' or dec in (select dec from m where grp = 'target')),""" + _MOTIF_SQL)
 def q_motif_enrichment(spark, sf):
     m = view(spark, sf, "motif_seqs")
     x = motif_enrichment(m.where("grp = 'target'"), m.where("grp = 'background'"), k=8)
     return x.withColumn("p", F.round("p", 9)).withColumn("q", F.round("q", 9))
+
+
+SHIFTS = (-900, -450, 450, 900)
+
+
+@register("motif_enrichment_in_peaks", duck_with("site_tags", "dna") + "," + peaks_sql("site_tags") + f""",
+gen as (select 's' || cast(seq_id as varchar) as contig, upper(seq) as letters, length(seq) as len from dna),
+tw as (select distinct p.contig, greatest(least((start_pos + end_pos) // 2 - 100, len - 200), 0) as s from peaks p join gen using (contig)),
+bw as (select distinct p.contig, (start_pos + end_pos) // 2 - 100 + v as s, len from peaks p join gen using (contig), (values {", ".join(f"({v})" for v in SHIFTS)}) z(v)),
+fw as (select contig, s from bw where s >= 0 and s + 200 <= len and not exists (
+  select 1 from peaks p where p.contig = bw.contig and p.start_pos < bw.s + 200 and bw.s < p.end_pos)),
+both_ as (select *, 'target' as grp from tw union all select *, 'background' from fw),
+sq as (select contig || ':' || s as seq_id, grp, substring(letters, cast(s + 1 as int), 200) as seq from both_ join gen using (contig)),
+dc as (select *, least(floor(cast(length(regexp_replace(seq, '[^GC]', '', 'g')) as double) / length(seq) * 10), 9) as dec from sq),
+want as (select dec, 2 * count(*) as quota from dc where grp = 'target' group by dec),
+ranked as (select dc.*, row_number() over (partition by grp, dec order by md5(seq_id)) as place from dc),
+kept as (select r.* from ranked r left join want w on w.dec = r.dec where grp = 'target' or place <= quota),""" + _MOTIF_SQL)
+def q_motif_in_peaks(spark, sf):
+    t = view(spark, sf, "site_tags")
+    genome = view(spark, sf, "dna").select(F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("contig"), "seq")
+    peaks = call_peaks(t.where("sample = 'treatment'"), t.where("sample = 'control'"), "hs", 0.05, 200)
+    x = motif_enrichment_in_peaks(peaks, genome, size=200, k=8, shifts=SHIFTS)
+    return x.withColumn("p", F.round("p", 9)).withColumn("q", F.round("q", 9))

@@ -82,24 +82,49 @@ def q_cluster(spark, sf):
     return cluster_positions(ev, "pos1", 500, ["sv_type", "contig"])
 
 
-@register("structural_variants", EVIDENCE_SQL + "," + cluster_sql("c1", "ev", "sv_type, contig", "pos1", "cl1") + "," +
-          cluster_sql("c2", "c1", "sv_type, contig2", "pos2", "cl2") + """
-select sv_type, contig, contig2, min(pos1) as start, max(pos2) as "end", count(*) as support,
-  cast(sum(case when evidence = 'discordant' then 1 else 0 end) as bigint) as n_discordant,
+# evidence with ordered ends, linked to all that is near at both ends, by closure
+CALLS_SQL = """,
+oe as (select sv_type, evidence, case when swap then contig2 else contig end as contig, case when swap then contig else contig2 end as contig2,
+    case when swap then pos2 else pos1 end as pos1, case when swap then pos1 else pos2 end as pos2
+  from (select *, contig > contig2 or (contig = contig2 and pos1 > pos2) as swap from ev) x),
+pt as materialized (select *, row_number() over () as id from (select distinct sv_type, contig, contig2, pos1, pos2 from oe) x),
+link as materialized (select a.id as a, b.id as b from pt a join pt b on a.sv_type = b.sv_type and a.contig = b.contig and a.contig2 = b.contig2
+  and abs(a.pos1 - b.pos1) <= 500 and abs(a.pos2 - b.pos2) <= 500),
+reach as (select id as a, id as b from pt union select r.a, l.b from reach r join link l on l.a = r.b),
+lab as (select a as id, min(b) as label from reach group by a),
+calls as (select any_value(oe.sv_type) as sv_type, any_value(oe.contig) as contig, any_value(oe.contig2) as contig2, min(oe.pos1) as start, max(oe.pos2) as "end",
+  count(*) as support, cast(sum(case when evidence = 'discordant' then 1 else 0 end) as bigint) as n_discordant,
   cast(sum(case when evidence = 'split' then 1 else 0 end) as bigint) as n_split
-from c2 group by sv_type, contig, cl1, contig2, cl2 having count(*) >= 2""")
+  from oe join pt on pt.sv_type = oe.sv_type and pt.contig = oe.contig and pt.contig2 = oe.contig2 and pt.pos1 = oe.pos1 and pt.pos2 = oe.pos2
+  join lab on lab.id = pt.id group by label)"""
+
+
+def recursive(sql):
+    return sql.replace("with ", "with recursive ", 1)
+
+
+SV_EVIDENCE_SQL = duck_with("sv_reads") + """,
+disc as (select qname, case when rnext != contig then 'BND'
+    when (flag & 16 != 0) = (flag & 32 != 0) then 'INV'
+    when flag & 16 = 0 and pnext - pos > 1000 then 'DEL'
+    when flag & 16 != 0 and flag & 32 = 0 and pnext - pos > 1000 then 'DUP'
+    when flag & 16 = 0 and pnext - pos < 0 then 'DUP' end as sv_type,
+  contig, pos as pos1, rnext as contig2, pnext as pos2, 'discordant' as evidence from sv_reads),
+spl as (select *, string_split(regexp_replace(sa, ';.*$', ''), ',') as part from sv_reads where sa is not null),
+ev as (select * from disc where sv_type is not null
+  union all select qname, case when part[1] != contig then 'BND' when part[3] != '+' then 'INV' when cast(part[2] as bigint) > pos then 'DEL' else 'DUP' end,
+    contig, pos, part[1], cast(part[2] as bigint), 'split' from spl)"""
+
+
+@register("structural_variants", recursive(SV_EVIDENCE_SQL + CALLS_SQL) + " select * from calls where support >= 2")
 def q_sv(spark, sf):
-    return structural_variants(view(spark, sf, "pairs"), _split_reads(spark, sf))
+    reads = view(spark, sf, "sv_reads")
+    return structural_variants(reads.drop("sa"), reads.select("qname", "contig", "pos", "flag", "sa"))
 
 
-@register("structural_variants_all_support", EVIDENCE_SQL + "," + cluster_sql("c1", "ev", "sv_type, contig", "pos1", "cl1") + "," +
-          cluster_sql("c2", "c1", "sv_type, contig2", "pos2", "cl2") + """
-select sv_type, contig, contig2, min(pos1) as start, max(pos2) as "end", count(*) as support,
-  cast(sum(case when evidence = 'discordant' then 1 else 0 end) as bigint) as n_discordant,
-  cast(sum(case when evidence = 'split' then 1 else 0 end) as bigint) as n_split
-from c2 group by sv_type, contig, cl1, contig2, cl2""")
+@register("structural_variants_all_support", recursive(EVIDENCE_SQL + CALLS_SQL) + " select * from calls")
 def q_sv_all(spark, sf):
-    # every evidence cluster (min_support=1): the fixture's breakpoints are sparse
+    # every evidence cluster (min_support=1): this fixture's breakpoints are sparse
     return structural_variants(view(spark, sf, "pairs"), _split_reads(spark, sf), min_support=1)
 
 

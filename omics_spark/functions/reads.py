@@ -63,6 +63,21 @@ def cigar_blocks(cigar: Column) -> Column:
                                                 b["len"].alias("len")))
 
 
+def cigar_indels(cigar: Column) -> Column:
+    """Insertions and deletions: array<struct<op, len, ref_off, read_off>>
+    (offsets of the first letter they concern, as in :func:`cigar_blocks`)."""
+    ops = cigar_ops(cigar)
+    zero = F.lit(0).cast("bigint")
+
+    def before(i: Column, consuming: str) -> Column:
+        return F.aggregate(F.slice(ops, 1, i), zero,
+                           lambda acc, o: acc + F.when(_advance(o["op"], consuming), o["len"]).otherwise(zero))
+
+    indexed = F.transform(ops, lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"),
+                                                     before(i, REF_OPS).alias("ref_off"), before(i, READ_OPS).alias("read_off")))
+    return F.filter(indexed, lambda b: b["op"].isin("I", "D"))
+
+
 def variant_kind(ref: Column, alt: Column) -> Column:
     """SNV / MNV / INS / DEL from allele lengths."""
     lr, la = F.length(ref), F.length(alt)

@@ -95,6 +95,17 @@ def match_count(a: Column, b: Column) -> Column:
     return F.aggregate(eq, F.lit(0), lambda acc, x: acc + x)
 
 
+#: What the distance of sequences of unlike length says.
+MSG_LENGTHS = "Sequences must be aligned: lengths {a} and {b} differ."
+
+
+def identity_distance_error(a: Column, b: Column) -> Column:
+    """Message if two sequences are not of one length, else null."""
+    head, middle, tail = MSG_LENGTHS.replace("{b}", "{a}").split("{a}")
+    text = F.concat(F.lit(head), F.length(a).cast("string"), F.lit(middle), F.length(b).cast("string"), F.lit(tail))
+    return F.when(F.length(a) != F.length(b), text)
+
+
 def identity_distance(a: Column, b: Column) -> Column:
     """1 - matches/length for equal-length aligned strings; null otherwise."""
     same = F.length(a) == F.length(b)

@@ -31,36 +31,47 @@ def _logaddexp(a: Column, b: Column) -> Column:
     return hi + F.log1p(F.exp(-F.abs(a - b)))
 
 
-def log10_poisson_upper(n: Column, lam: Column) -> Column:
-    """log10 P(X >= n), X ~ Poisson(lam), integer n.
-
-    Terms follow t_k = t_{k-1} * lam / k in log space. For n > lam the upper
-    tail is summed directly (keeps precision for tiny p); otherwise 1 - cdf.
-    """
-    n = n.cast("int")
-    lam = lam.cast("double")
-    loglam = F.log(lam)
-    # direct upper tail: terms k = n .. n + J
-    jmax = (F.lit(60) + F.ceil(F.lit(12.0) * F.sqrt(lam))).cast("int")
-    logtn = -lam + n * loglam - lgamma(n + 1)
-    tail = F.aggregate(
-        F.sequence(F.lit(1), jmax),
-        F.struct(logtn.alias("lt"), logtn.alias("ls")),
-        lambda acc, j: F.struct((acc["lt"] + loglam - F.log((n + j).cast("double"))).alias("lt"),
-                                _logaddexp(acc["ls"], acc["lt"] + loglam - F.log((n + j).cast("double"))).alias("ls")),
-        lambda acc: acc["ls"])
-    # cdf: terms k = 0 .. n-1
-    cdf = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        F.struct((-lam).alias("lt"), (-lam).alias("ls")),
-        lambda acc, k: F.struct((acc["lt"] + loglam - F.log(k.cast("double"))).alias("lt"),
-                                _logaddexp(acc["ls"], acc["lt"] + loglam - F.log(k.cast("double"))).alias("ls")),
+def _terms(sd: Column) -> Column:
+    """How many terms of a tail count, from the one next to the bulk on: the
+    rest is below 1e-30 of the first beyond twelve standard deviations."""
+    return (F.lit(60) + F.ceil(F.lit(12.0) * sd)).cast("int")
+
+
+def _tail(log_first: Column, log_ratio, count: Column) -> Column:
+    """Log of the sum of ``count`` + 1 terms, the first given and the j-th
+    (from 1) the one before times exp(log_ratio(j)); null ratios end it."""
+    none = F.lit(float("-inf"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+        F.struct(log_first.alias("lt"), log_first.alias("ls")),
+        lambda acc, j: (lambda lt: F.struct(lt.alias("lt"), F.when(lt == none, acc["ls"]).otherwise(_logaddexp(acc["ls"], lt)).alias("ls")))(
+            acc["lt"] + F.coalesce(log_ratio(j), none)),
         lambda acc: acc["ls"])
-    cdf = F.when(n == 1, -lam).otherwise(cdf)
-    via_cdf = F.log10(F.greatest(F.lit(0.0), 1.0 - F.exp(cdf)))
+
+
+def _log1mexp(ls: Column) -> Column:
+    """log(1 - exp(ls)), -inf for ls >= 0."""
+    return F.when(ls < 0, F.log1p(-F.exp(ls))).otherwise(F.lit(float("-inf")))
+
+
+def log10_poisson_upper(n: Column, lam: Column) -> Column:
+    """log10 P(X >= n), X ~ Poisson(lam), integer n of any size.
+
+    For n > lam the upper tail is summed from n up, else the lower tail from
+    n - 1 down and taken from 1, by term ratios in log space; either ends
+    after some sqrt(lam) terms."""
+    n, lam = n.cast("double"), lam.cast("double")
+    loglam, count = F.log(lam), _terms(F.sqrt(lam))
+
+    def log_term(k: Column) -> Column:
+        return -lam + k * loglam - lgamma(k + 1)
+
+    upper = _tail(log_term(n), lambda j: loglam - F.log(n + j), count)
+    lower = _tail(log_term(n - 1), lambda j: F.when(n - j > 0, F.log(n - j) - loglam), count)
+    via_cdf = F.log10(F.greatest(F.lit(0.0), 1.0 - F.exp(lower)))
     return (F.when(n <= 0, F.lit(0.0))
             .when(lam <= 0, F.lit(None).cast("double"))
-            .when(n > lam, tail / math.log(10))
+            .when(n > lam, upper / math.log(10))
             .otherwise(via_cdf))
 
 
@@ -71,49 +82,49 @@ def poisson_upper(n: Column, lam: Column) -> Column:
 
 
 def binom_upper(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k), X ~ Binomial(n, p): term ratio (n-j)/(j+1) * p/(1-p)."""
-    k, n, p = k.cast("int"), n.cast("int"), p.cast("double")
-    lt0 = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * F.log(p) + (n - k) * F.log1p(-p)
-    r = F.log(p) - F.log1p(-p)
-    ls = F.aggregate(
-        F.sequence(k, F.greatest(n - 1, k)),
-        F.struct(lt0.alias("lt"), lt0.alias("ls")),
-        lambda acc, j: F.struct(
-            (acc["lt"] + F.log((n - j).cast("double")) - F.log((j + 1).cast("double")) + r).alias("lt"),
-            _logaddexp(acc["ls"], acc["lt"] + F.log((n - j).cast("double"))
-                       - F.log((j + 1).cast("double")) + r).alias("ls")),
-        lambda acc: acc["ls"])
-    ls = F.when(k >= n, lt0).otherwise(ls)
+    """P(X >= k), X ~ Binomial(n, p), n of any size: the tail away from the
+    mean is summed by term ratios (n-j)/(j+1) * p/(1-p)."""
+    k, n, p = k.cast("double"), n.cast("double"), p.cast("double")
+    odds = F.log(p) - F.log1p(-p)
+    count = _terms(F.sqrt(n * p * (1 - p)))
+
+    def log_term(x: Column) -> Column:
+        return lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * F.log(p) + (n - x) * F.log1p(-p)
+
+    upper = _tail(log_term(k), lambda j: F.when(k + j <= n, F.log(n - k - j + 1) - F.log(k + j) + odds), count)
+    lower = _tail(log_term(k - 1), lambda j: F.when(k - 1 - j >= 0, F.log(k - j) - F.log(n - k + j + 1) - odds), count)
+    tail = F.when(k > n * p, F.exp(upper)).otherwise(F.exp(_log1mexp(lower)))
     return (F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0))
             .when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0))
-            .otherwise(F.least(F.lit(1.0), F.exp(ls))))
+            .otherwise(F.least(F.lit(1.0), tail)))
 
 
 def hypergeom_upper(k: Column, draws: Column, successes: Column, total: Column) -> Column:
-    """P(X >= k), X ~ Hypergeometric(total, successes, draws).
+    """P(X >= k), X ~ Hypergeometric(total, successes, draws), of any size.
 
-    t_{j+1}/t_j = (K-j)(n-j) / ((j+1)(N-K-n+j+1)), summed in log space.
-    """
-    k, nd, ns, nt = k.cast("int"), draws.cast("int"), successes.cast("int"), total.cast("int")
+    t_{j+1}/t_j = (K-j)(n-j) / ((j+1)(N-K-n+j+1)); the tail away from the
+    mean is summed in log space."""
+    k, nd, ns, nt = k.cast("double"), draws.cast("double"), successes.cast("double"), total.cast("double")
 
     def lchoose(a: Column, b: Column) -> Column:
         return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
 
+    def log_term(x: Column) -> Column:
+        return lchoose(ns, x) + lchoose(nt - ns, nd - x) - lchoose(nt, nd)
+
+    def log_up(x: Column) -> Column:
+        """Log of the ratio of the term after x to that of x."""
+        return F.log(ns - x) + F.log(nd - x) - F.log(x + 1) - F.log(nt - ns - nd + x + 1)
+
     hi = F.least(nd, ns)
-    lo = F.greatest(k, F.greatest(F.lit(0), nd - (nt - ns)))
-    lt0 = lchoose(ns, lo) + lchoose(nt - ns, nd - lo) - lchoose(nt, nd)
-    ls = F.aggregate(
-        F.sequence(lo, F.greatest(hi - 1, lo)),
-        F.struct(lt0.alias("lt"), lt0.alias("ls")),
-        lambda acc, j: F.struct(
-            (acc["lt"] + F.log((ns - j) * (nd - j).cast("double"))
-             - F.log((j + 1) * (nt - ns - nd + j + 1).cast("double"))).alias("lt"),
-            _logaddexp(acc["ls"], acc["lt"] + F.log((ns - j) * (nd - j).cast("double"))
-                       - F.log((j + 1) * (nt - ns - nd + j + 1).cast("double"))).alias("ls")),
-        lambda acc: acc["ls"])
-    ls = F.when(lo >= hi, lt0).otherwise(ls)
-    return (F.when(k <= 0, F.lit(1.0)).when(k > hi, F.lit(0.0))
-            .otherwise(F.least(F.lit(1.0), F.exp(ls))))
+    lo = F.greatest(F.lit(0.0), nd - (nt - ns))
+    share = ns / nt
+    count = _terms(F.sqrt(F.greatest(F.lit(0.0), nd * share * (1 - share) * (nt - nd) / F.greatest(nt - 1, F.lit(1.0)))))
+    upper = _tail(log_term(k), lambda j: F.when(k + j <= hi, log_up(k + j - 1)), count)
+    lower = _tail(log_term(k - 1), lambda j: F.when(k - 1 - j >= lo, -log_up(k - 1 - j)), count)
+    tail = F.when(k > nd * share, F.exp(upper)).otherwise(F.exp(_log1mexp(lower)))
+    return (F.when(k <= lo, F.lit(1.0)).when(k > hi, F.lit(0.0))
+            .otherwise(F.least(F.lit(1.0), tail)))
 
 
 def match_mismatch_parameters(p: float) -> tuple[float, float]:
@@ -122,12 +133,12 @@ def match_mismatch_parameters(p: float) -> tuple[float, float]:
     return math.log((1 - p) / p), (1 - 2 * p) ** 2 / (1 - p)
 
 
-def bit_score(raw: Column, lam: float = 0.267, k: float = 0.041) -> Column:
-    """Karlin-Altschul bit score (lambda, K as arguments; defaults: gapped BLOSUM62)."""
+def bit_score(raw: Column, lam: float, k: float) -> Column:
+    """Karlin-Altschul bit score under the scoring whose lambda and K are given."""
     return (F.lit(lam) * raw - F.lit(math.log(k))) / F.lit(math.log(2.0))
 
 
-def e_value(raw: Column, m: Column, n: Column, lam: float = 0.267, k: float = 0.041) -> Column:
+def e_value(raw: Column, m: Column, n: Column, lam: float, k: float) -> Column:
     """E = K m n exp(-lambda S)."""
     return F.lit(k) * m.cast("double") * n.cast("double") * F.exp(-F.lit(lam) * raw)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..session import checkpoint_dir
-from .blocks import BLK, before, block_carry, in_block, pos_blocks
+from .blocks import numbered
 from .intervals import bin_of, explode_bins, intersect_intervals
 
 _REGION = re.compile(r"^([^:]+)(?::([\d,]+)(?:-([\d,]+))?)?$")
@@ -112,20 +112,23 @@ def bin_coverage(reads: DataFrame, bin_size: int = 1000) -> DataFrame:
     """Per (contig, bin): reads whose reference span touches the bin
     (once per read) and aligned bases inside it. Mapped primary reads.
 
-    Span rows and block rows are unioned and summed in one aggregation (one
-    shuffle, combined map-side)."""
-    r = _counted(reads)
-    s, e = ref_span()
-    spans = (r.select("contig", s.alias("start_pos"), e.alias("end_pos"))
-             .transform(lambda d: explode_bins(d, bin_size))
-             .select("contig", "_bin", F.lit(1).alias("r"), F.lit(0).cast("bigint").alias("b")))
-    blocks = (aligned_blocks(r).select("contig", "start_pos", "end_pos")
-              .transform(lambda d: explode_bins(d, bin_size)))
-    lo = F.col("_bin") * bin_size
-    ov = F.least(F.col("end_pos"), lo + bin_size) - F.greatest(F.col("start_pos"), lo)
-    blocks = blocks.select("contig", "_bin", F.lit(0).alias("r"), ov.cast("bigint").alias("b"))
-    return (spans.unionByName(blocks).groupBy("contig", "_bin")
-            .agg(F.sum("r").cast("bigint").alias("n_reads"), F.sum("b").cast("bigint").alias("bases"))
+    The CIGAR is taken apart once a read; one aggregation (one shuffle,
+    combined map-side)."""
+    r = _counted(reads).select("contig", "pos", R.cigar_blocks(F.col("cigar")).alias("_bl"),
+                               F.greatest(R.cigar_ref_len(F.col("cigar")), F.lit(1).cast("bigint")).alias("_len"))
+    first, last = (F.col("pos") - 1), (F.col("pos") - 2 + F.col("_len"))
+    lo = bin_of(first, bin_size)
+
+    def inside(b: Column) -> Column:
+        """Aligned bases of the read in bin ``b``."""
+        return F.aggregate("_bl", F.lit(0).cast("bigint"), lambda acc, x: acc + F.greatest(
+            F.lit(0), F.least(F.col("pos") - 1 + x["ref_off"] + x["len"], (b + 1) * bin_size)
+            - F.greatest(F.col("pos") - 1 + x["ref_off"], b * bin_size)))
+
+    # a read gives each bin that its span touches one row, with its bases there
+    x = r.select("contig", F.explode(F.transform(F.sequence(lo, bin_of(last, bin_size)), lambda b: F.struct(b.alias("bin"), inside(b).alias("bases")))).alias("_x"))
+    return (x.groupBy("contig", F.col("_x.bin").alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("n_reads"), F.sum("_x.bases").cast("bigint").alias("bases"))
             .select("contig", (F.col("_bin") * bin_size).alias("start_pos"),
                     ((F.col("_bin") + 1) * bin_size).alias("end_pos"), "n_reads", "bases"))
 
@@ -154,10 +157,10 @@ def sort_alignments(reads: DataFrame, contig_order: DataFrame | None = None,
     1-based ``ordinal`` inside each contig (ties by the ``tie`` columns).
 
     ``contig_order`` (contig, rank) gives the header order; by default
-    contigs sort by name. Ordinals come from per-position counts (a hot
-    position is one row) summed over position blocks, plus a row number
-    among reads at the same position; no contig is gathered into one task.
-    The final ``orderBy`` is a range shuffle.
+    contigs sort by name. Ordinals come from a range shuffle (see
+    :func:`blocks.numbered`): neither a contig, a deep position nor all
+    unplaced reads are gathered into one task. The final ``orderBy`` is a
+    range shuffle too.
     """
     tie = tie or [c for c in reads.columns if c not in ("contig", "pos")]
     x = reads.withColumn("contig", F.coalesce(F.col("contig"), F.lit("*")))
@@ -169,18 +172,7 @@ def sort_alignments(reads: DataFrame, contig_order: DataFrame | None = None,
         x = x.withColumn("_rank", F.lit(0).cast("bigint"))
     big = F.lit(1 << 62).cast("bigint")
     x = x.withColumn("_rank", F.when(unplaced, big).otherwise(F.coalesce("_rank", big - 1)))
-    keys = ["_rank", "contig"]
-    per_pos = x.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("_n"))
-    b = pos_blocks(per_pos, "pos")
-    c = block_carry(b, keys, {"n": F.sum("_n")}, {"c_n": F.sum("n").over(before(keys))})
-    y = b.join(c, keys + [BLK], "left")
-    earlier = F.sum("_n").over(in_block(keys, ["pos"]).rowsBetween(Window.unboundedPreceding, -1))
-    y = y.select(*keys, "pos", (F.coalesce(F.col("c_n"), F.lit(0))
-                                + F.coalesce(earlier, F.lit(0))).alias("_base"))
-    z = x.join(y, keys + ["pos"], "inner")
-    rn = F.row_number().over(Window.partitionBy(*keys, "pos").orderBy(*tie))
-    z = z.withColumn("ordinal", (F.col("_base") + rn).cast("bigint"))
-    return z.orderBy(*[F.col(k) for k in keys + ["pos"] + tie]).drop("_rank", "_base")
+    return numbered(x, ["_rank", "contig"], ["pos", *tie]).orderBy("_rank", "contig", "ordinal").drop("_rank")
 
 
 def mate_join(reads: DataFrame, name: str = "qname") -> DataFrame:
@@ -200,32 +192,47 @@ def mate_join(reads: DataFrame, name: str = "qname") -> DataFrame:
                     *[F.col(f"_r2.{c}").alias(f"r2_{c}") for c in cols])
 
 
+#: A level's bins are this many times as wide as those of the level below.
+FAN = 8
+LEVELS = 12
+
+
 def write_indexed(reads: DataFrame, path: str, bin_size: int = 1_000_000) -> str:
-    """Parquet laid out by contig and by the coordinate bins of a read's
-    first and last base, so region reads prune partitions (the role of a BAM
-    index) however far a read spans."""
+    """Parquet laid out by contig and by one bin a read, so region reads
+    prune folders (the role of a BAM index). Bins come in levels, each FAN
+    times as wide as the one below; a read goes into the narrowest bin that
+    holds all of its span. So however far reads span, there are no more
+    folders than bins of the genome and an eighth on top."""
     s, e = ref_span()
-    (reads.withColumn("pos_bin", bin_of(s, bin_size)).withColumn("end_bin", bin_of(e - 1, bin_size))
-          .repartition("contig", "pos_bin")
-          .write.mode("overwrite").partitionBy("contig", "pos_bin", "end_bin").parquet(path))
+    fits = [F.floor(s / (bin_size * FAN ** v)) == F.floor((e - 1) / (bin_size * FAN ** v)) for v in range(LEVELS)]
+    level = F.coalesce(*[F.when(f, F.lit(v)) for v, f in enumerate(fits)], F.lit(LEVELS))
+    width = F.pow(F.lit(float(FAN)), F.col("level")) * bin_size
+    at = F.when(F.col("level") == LEVELS, F.lit(0)).otherwise(F.floor(s / width)).cast("bigint")
+    (reads.withColumn("level", level).withColumn("bin", at)
+          .repartition("contig", "level", "bin")
+          .write.mode("overwrite").partitionBy("contig", "level", "bin").parquet(path))
     return path
 
 
 def read_region(spark: SparkSession, path: str, region: str, bin_size: int = 1_000_000) -> DataFrame:
     """Reads overlapping ``region`` from a :func:`write_indexed` layout
-    of the same ``bin_size``. Only partitions whose reads start in or before
-    the region's last bin and end in or after its first are scanned."""
+    of the same ``bin_size``: on each level only the bins that the region
+    touches are scanned."""
     contig, start, end = parse_region(region)
     df = spark.read.parquet(path)
-    cond = (F.col("contig") == contig) & (F.col("end_bin") >= F.lit(start // bin_size))
-    if end is not None:
-        cond &= F.col("pos_bin") <= F.lit((end - 1) // bin_size)
-    df = df.where(cond)
+    asked = F.col("level") == LEVELS
+    for v in range(LEVELS):
+        width = bin_size * FAN ** v
+        bins = F.col("bin") >= start // width
+        if end is not None:
+            bins &= F.col("bin") <= (end - 1) // width
+        asked |= (F.col("level") == v) & bins
+    df = df.where((F.col("contig") == contig) & asked)
     s, e = ref_span()
     df = df.where(e > start)
     if end is not None:
         df = df.where(s < end)
-    return df.drop("pos_bin", "end_bin")
+    return df.drop("level", "bin")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -236,16 +243,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def pileup(reads: DataFrame) -> DataFrame:
     """One row per aligned read base: contig, pos0 (0-based), base, bq,
     strand (+/-) and sample if present. Mapped primary non-duplicate reads."""
+    x = _letters(reads, [c for c in ("sample",) if c in reads.columns])
+    return x.select(*[c for c in ("sample",) if c in reads.columns], "contig", "pos0", F.col("_x.b").alias("base"), (F.ascii("_x.q") - 33).alias("bq"),
+                    F.when(F.col("_rev"), "-").otherwise("+").alias("strand"))
+
+
+def _letters(reads: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per aligned read base: pos0 and ``_x`` (letter b, quality
+    letter q). The letters of an aligned block are taken apart at once."""
     r = _counted(reads).where(R.flag_lacks(F.col("flag"), R.DUPLICATE))
     b = aligned_blocks(r)
-    b = b.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end_pos") - F.col("start_pos") - 1)))
+    at, n = (F.col("read_off") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int")
     qual = F.col("qual") if "qual" in reads.columns else F.lit(None).cast("string")
-    off = (F.col("read_off") + F.col("_i") + 1).cast("int")
-    keep = [c for c in ("sample",) if c in reads.columns]
-    return b.select(*keep, "contig", (F.col("start_pos") + F.col("_i")).alias("pos0"),
-                    F.substring(F.col("seq"), off, 1).alias("base"),
-                    (F.ascii(F.substring(qual, off, 1)) - 33).alias("bq"),
-                    F.when(R.flag_has(F.col("flag"), R.REVERSE), "-").otherwise("+").alias("strand"))
+
+    def letters(c: Column) -> Column:
+        return F.split(F.substring(c, at, n), "")
+
+    pairs = F.arrays_zip(letters(F.col("seq")).alias("b"), F.coalesce(letters(qual), F.array().cast("array<string>")).alias("q"))
+    b = b.select(*keep, "contig", "start_pos", R.flag_has(F.col("flag"), R.REVERSE).alias("_rev"), F.posexplode(pairs).alias("_i", "_x"))
+    return b.withColumn("pos0", F.col("start_pos") + F.col("_i"))
 
 
 def pileup_counts(reads: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLK = "_blk"
 DEFAULT_WIDTH = 1 << 20
 
@@ -56,3 +58,22 @@ def after(keys: list[str]) -> Window:
 def in_block(keys: list[str], order: list[str]) -> Window:
     """Row-level window inside one block of one key."""
     return Window.partitionBy(*keys, BLK).orderBy(*order)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Adds ``name``: a row's place, from 1, among the rows of its ``keys``
+    in ``order`` (columns; rows equal in all of them in any order).
+
+    Rows are dealt out by ranges of (keys, order) and sorted, so neither a
+    large key nor a crowded place of the order is one task's, and written.
+    A row's place is its place in its partition, less the first one of its
+    key there, plus what the partitions before hold of the key: a table of
+    one row for each (partition, key)."""
+    x = cut_lineage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright("_mid", 33).alias("_part")
+    held = x.groupBy(*keys, part).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_held"))
+    earlier = F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select(*keys, "_part", (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    return (x.withColumn("_part", F.shiftright("_mid", 33)).join(held, [*keys, "_part"])
+            .withColumn(name, (F.col("_mid") + F.col("_add")).cast("bigint")).drop("_part", "_mid", "_add"))

@@ -255,39 +255,112 @@ def depth_segments(df: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
             .where((F.col("depth") > 0) & F.col("end_pos").isNotNull()))
 
 
+#: Hits of one island (what overlaps links) that one task chooses from.
+ISLAND = 100_000
+
+
+def _choose(batches):
+    """The greedy choice over rows (contig, island, spans, row) in order of
+    contig, island and rank: the rows taken. A row has a span and, over the
+    origin of a circle, a second one."""
+    from bisect import bisect_left, insort
+
+    import pyarrow as pa
+
+    taken: list[tuple] = []
+    now = None
+
+    def free(s, e):
+        at = bisect_left(taken, (s, e))
+        return not any(s < b and a < e for a, b in taken[max(0, at - 1):at + 1])
+
+    for batch in batches:
+        keep = []
+        for contig, island, spans in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if (contig, island) != now:
+                now = contig, island
+                taken.clear()
+            spans = [(x["s"], x["e"]) for x in spans]
+            ok = all(free(s, e) for s, e in spans)
+            if ok:
+                for span in spans:
+                    insort(taken, span)
+            keep.append(ok)
+        yield batch.select([3]).filter(pa.array(keep, pa.bool_()))
+
+
 def greedy_nonoverlap(hits: DataFrame, score: str = "score", tie: list[str] | None = None,
-                      bin_size: int | str | None = "auto", max_rounds: int = 10_000) -> DataFrame:
+                      bin_size: int | str | None = "auto", max_rounds: int = 10_000, island: int = ISLAND,
+                      circle: str | None = None) -> DataFrame:
     """Hits taken from the best score down, each if it overlaps none
     taken before (book-ended hits do not overlap). ``tie`` columns
     (ascending), then the coordinates, break score ties; of hits equal in all
-    of these one is kept.
-
-    A hit that is the best of every bin it touches has no better hit
-    overlapping it, so the greedy choice takes it. Each round takes all such
-    hits of all bins, drops what overlaps them and goes on with the rest; the
-    best hit left is always among them. The best of a bin is an aggregate, so
-    a hot locus is not gathered into one task, and no pairs of hits arise but
-    those with a hit taken. Each round writes what it took and what is left."""
+    of these one is kept. ``circle`` names the length of a hit's circular
+    contig: it starts inside it and, if it ends beyond, goes on from 0.
+
+    Hits are first ranked and cut into islands that no overlap links. An
+    island of up to ``island`` hits is chosen from in one task, so a chain of
+    hits with falling scores takes no rounds. Of larger islands, rounds take
+    hits that are the best of every bin they touch (no better hit overlaps
+    them; the best hit left is always among them), drop what overlaps them
+    and cut what is left into islands again. The best of a bin is an
+    aggregate, and no pairs of hits arise but those with a hit taken."""
     tie = tie or []
     names = hits.columns
     order = F.struct((-F.col(score)).alias("s"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)],
                      F.col("start_pos").alias("a"), F.col("end_pos").alias("b"))
-    left = cut_lineage(hits.withColumn("_k", order))
+    start, end = F.col("start_pos").cast("bigint"), F.col("end_pos").cast("bigint")
+    one = F.array(F.struct(start.alias("s"), end.alias("e")))
+    if circle is None:
+        spans = one
+    else:
+        length = F.col(circle).cast("bigint")
+        spans = F.when(end <= length, one).otherwise(F.array(
+            F.struct(start.alias("s"), length.alias("e")), F.struct(F.lit(0).cast("bigint").alias("s"), F.least(end - length, length).alias("e"))))
+    # of hits equal in all of the order one is left
+    left = cut_lineage(hits.withColumns({"_k": order, "_spans": spans}).groupBy("contig", "_k")
+                       .agg(F.min(F.struct(*names, "_spans")).alias("_h")).select("_k", "_h.*"))
     size = _bin_size(bin_size, left)
-    kept = None
+    by = ["s", *[f"t{i}" for i in range(len(tie))], "a", "b"]
+    kept = []
     for _ in range(max_rounds):
-        e = explode_bins(left, size, "start_pos", "end_pos")
+        pieces = left.select("contig", "_k", F.explode("_spans").alias("_p")).select(
+            "contig", "_k", F.col("_p.s").alias("start_pos"), F.col("_p.e").alias("end_pos"))
+        members = island_members(pieces, gap=0).groupBy("contig", "_k").agg(F.min("_island").alias("_island"), F.max("_island").alias("_other"))
+        if circle is not None:   # what lies at the end of a circle is linked to what lies at its start
+            joined = members.where("_other > _island").groupBy("contig", F.col("_other").alias("_island")).agg(F.min("_island").alias("_to"))
+            members = members.drop("_other").join(joined, ["contig", "_island"], "left").withColumn("_island", F.coalesce("_to", "_island"))
+        members = cut_lineage(members.select("contig", "_k", "_island"))
+        sizes = members.groupBy("contig", "_island").agg(F.count(F.lit(1)).alias("_n"))
+        tagged = cut_lineage(left.join(members.join(sizes, ["contig", "_island"]), ["contig", "_k"]))
+        # a hit alone in its island is taken; the others stream by, island by island
+        alone = tagged.where("_n = 1")
+        some = tagged.where((F.col("_n") > 1) & (F.col("_n") <= island)).select("contig", "_island", "_spans", F.struct("contig", "_k").alias("_row"), "_k.*")
+        kind = some.schema["_row"].dataType.simpleString()
+        taken = (some.repartition("contig", "_island").sortWithinPartitions("contig", "_island", *by)
+                 .select("contig", "_island", "_spans", "_row").mapInArrow(_choose, f"_row {kind}").select("_row.*"))
+        chosen = tagged.join(taken, ["contig", "_k"], "left_semi").unionByName(alone)
+        kept.append(cut_lineage(chosen.select(*names)))
+        left = tagged.where(F.col("_n") > island).drop("_n", "_island")
+        if left.isEmpty():
+            break
+        e = explode_bins(left.withColumn("_p", F.explode("_spans")).withColumns({"_a": F.col("_p.s"), "_b": F.col("_p.e")}), size, "_a", "_b")
         top = e.groupBy("contig", "_bin").agg(F.min("_k").alias("_top"))
-        taken = cut_lineage(e.join(top, ["contig", "_bin"]).groupBy("contig", "_k")
-                            .agg(F.every(F.col("_k") == F.col("_top")).alias("_all"),
-                                 F.min(F.struct(*names)).alias("_h")).where("_all"))
-        kept = taken.select("_h.*") if kept is None else kept.unionByName(taken.select("_h.*"))
-        span = explode_bins(taken.select("contig", F.col("_h.start_pos").alias("_hs"), F.col("_h.end_pos").alias("_he"),
-                                         F.col("_k").alias("_hk")), size, "_hs", "_he")
+        best = cut_lineage(e.join(top, ["contig", "_bin"]).groupBy("contig", "_k")
+                           .agg(F.every(F.col("_k") == F.col("_top")).alias("_all"),
+                                F.min(F.struct(*names, "_spans")).alias("_h")).where("_all"))
+        kept.append(best.select("_h.*").select(*names))
+        span = explode_bins(best.select("contig", F.explode("_h._spans").alias("_p"), F.col("_k").alias("_hk"))
+                            .select("contig", "_hk", F.col("_p.s").alias("_hs"), F.col("_p.e").alias("_he")), size, "_hs", "_he")
         gone = (e.join(span, ["contig", "_bin"])
-                .where(((F.col("start_pos") < F.col("_he")) & (F.col("_hs") < F.col("end_pos"))) | (F.col("_k") == F.col("_hk")))
+                .where(((F.col("_a") < F.col("_he")) & (F.col("_hs") < F.col("_b"))) | (F.col("_k") == F.col("_hk")))
                 .select("contig", "_k").distinct())
         left = cut_lineage(left.join(gone, ["contig", "_k"], "left_anti"))
         if left.isEmpty():
-            return kept
-    raise RuntimeError(f"hits did not settle in {max_rounds} rounds")
+            break
+    else:
+        raise RuntimeError(f"hits did not settle in {max_rounds} rounds")
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out

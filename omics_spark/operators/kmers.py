@@ -1,4 +1,4 @@
-"""K-mer operators: C4 seed join, D6 k-mer counts, C10 inverted repeats.
+"""K-mer operators: C4 seed join, D6 k-mer counts.
 
 Sequences are rows (id, seq). K-mers come from ``posexplode``-style
 explosion (``functions.seq.kmers``) so every step stays a DataFrame
@@ -27,6 +27,74 @@ def explode_kmers(df: DataFrame, k: int, id_col: str = "seq_id", seq_col: str =
                  .select("id", "strand", F.col("_k.pos").alias("pos"), F.col("_k.kmer").alias("kmer")))
 
 
+#: Alphabets that fit in few bits a letter, and k-mers put into one Arrow batch.
+NUCLEOTIDES, RESIDUES = "ACGTUN", "ABCDEFGHIJKLMNOPQRSTUVWXYZ*-"
+ROWS = 1 << 18
+
+
+def packed_kmers(df: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "seq",
+                 both_strands: bool = False, nucleotide: bool = True) -> DataFrame:
+    """(id, strand, pos, kmer) with each k-mer packed into one long: 3 bits a
+    nucleotide (k to 21), 5 bits a residue (k to 12). A k-mer with a letter
+    outside the alphabet is none. ``pos`` is 0-based on the given strand's
+    sequence (for '-' on the reverse complement). Codes of a whole sequence
+    come from ``k`` shifts of numpy arrays; sequences go out in pieces."""
+    letters, bits = (NUCLEOTIDES, 3) if nucleotide else (RESIDUES, 5)
+    if bits * k > 63:
+        raise ValueError(f"k-mers of {k} letters do not fit in a long")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table = np.zeros(256, np.int64)
+        for n, c in enumerate(letters):
+            table[ord(c)] = table[ord(c.lower())] = n + 1
+        other = np.zeros(256, np.uint8)
+        for a, b in zip("ACGTUNacgtun", "TGCAANtgcaan", strict=True):
+            other[ord(a)] = ord(b)
+
+        def codes(raw):
+            """(positions, codes) of a sequence, in pieces."""
+            for at in range(0, len(raw) - k + 1, ROWS):
+                c = table[raw[at:at + ROWS + k - 1]]
+                n = len(c) - k + 1
+                code, ok = np.zeros(n, np.int64), np.ones(n, bool)
+                for i in range(k):
+                    part = c[i:i + n]
+                    code = code << bits | part
+                    ok &= part > 0
+                where = np.flatnonzero(ok)
+                yield where + at, code[where]
+
+        def flush(parts):
+            ids, strands, places, found = zip(*parts, strict=True)
+            counts = [len(p) for p in places]
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays(ids).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
+                pa.array(np.repeat(np.array(strands) == "-", counts)),
+                pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(found))], names=["id", "minus", "pos", "kmer"])
+
+        for batch in batches:
+            parts, rows = [], 0
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                raw = np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)
+                for strand in ("+", "-") if both_strands else ("+",):
+                    for places, found in codes(raw if strand == "+" else other[raw[::-1]]):
+                        parts.append((batch.column(0).slice(n, 1), strand, places, found))
+                        rows += len(places)
+                        if rows >= ROWS:
+                            yield flush(parts)
+                            parts, rows = [], 0
+            if parts:
+                yield flush(parts)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    found = df.select(F.col(id_col).alias("id"), F.col(seq_col).cast("string").alias("seq")).mapInArrow(
+        run, f"id {kind}, minus boolean, pos int, kmer long")
+    return found.select("id", F.when(F.col("minus"), "-").otherwise("+").alias("strand"), "pos", "kmer")
+
+
 def frequent_kmers(subject_kmers: DataFrame, max_freq: int) -> DataFrame:
     """K-mers seen more than ``max_freq`` times in the subjects (the mask).
     Counted with partial aggregation, so a hot k-mer is one row per task."""
@@ -36,18 +104,22 @@ def frequent_kmers(subject_kmers: DataFrame, max_freq: int) -> DataFrame:
 
 def kmer_join(queries: DataFrame, subjects: DataFrame, k: int, max_freq: int | None = None,
               both_strands: bool = True, q_id: str = "seq_id", s_id: str = "seq_id",
-              q_seq: str = "seq", s_seq: str = "seq") -> DataFrame:
+              q_seq: str = "seq", s_seq: str = "seq", nucleotide: bool = True) -> DataFrame:
     """C4: shared-k-mer seeds (q_id, s_id, strand, q_pos, s_pos).
 
-    All seeds are given: a plain equi-join on the k-mer (AQE splits skewed
-    k-mer partitions); a longer ``k`` is the way to fewer chance seeds. Only
-    on request, ``max_freq`` masks subject k-mers that occur more often. On
-    the '-' strand, ``q_pos`` is on the reverse complement of the query.
+    All seeds are given: an equi-join on the k-mer as one long (AQE splits
+    skewed partitions on both sides); a longer ``k`` is the way to fewer
+    chance seeds. Only on request, ``max_freq`` masks subject k-mers that
+    occur more often. On the '-' strand, ``q_pos`` is on the reverse
+    complement of the query. Longer k-mers than a long holds are strings.
     """
-    sk = explode_kmers(subjects, k, s_id, s_seq).select(F.col("id").alias("s_id"),
-                                                        F.col("pos").alias("s_pos"), "kmer")
-    qk = explode_kmers(queries, k, q_id, q_seq, both_strands).select(
-        F.col("id").alias("q_id"), "strand", F.col("pos").alias("q_pos"), "kmer")
+    if k * (3 if nucleotide else 5) <= 63:
+        sk = packed_kmers(subjects, k, s_id, s_seq, nucleotide=nucleotide)
+        qk = packed_kmers(queries, k, q_id, q_seq, both_strands, nucleotide)
+    else:
+        sk, qk = explode_kmers(subjects, k, s_id, s_seq), explode_kmers(queries, k, q_id, q_seq, both_strands)
+    sk = sk.select(F.col("id").alias("s_id"), F.col("pos").alias("s_pos"), "kmer")
+    qk = qk.select(F.col("id").alias("q_id"), "strand", F.col("pos").alias("q_pos"), "kmer")
     if max_freq is not None:
         mask = frequent_kmers(sk, max_freq)
         sk = sk.join(mask, "kmer", "left_anti")
@@ -66,19 +138,3 @@ def kmer_counts(df: DataFrame, k: int, id_col: str = "seq_id", seq_col: str = "s
     per_seq = x.groupBy("kmer", "id").agg(F.count(F.lit(1)).alias("n"))
     return per_seq.groupBy("kmer").agg(F.sum("n").cast("bigint").alias("occurrences"),
                                        F.count(F.lit(1)).alias("n_sequences"))
-
-
-def inverted_repeats(df: DataFrame, k: int, min_loop: int = 3, id_col: str = "seq_id",
-                     seq_col: str = "seq") -> DataFrame:
-    """K-mer at ``i`` whose reverse complement occurs at ``j`` later in
-    the same sequence with a loop ``j - (i + k) >= min_loop``: an equi
-    self-join on (id, k-mer = revcomp) plus a range predicate.
-    RNA is read with U as T. Output (seq_id, i, j, kmer)."""
-    x = explode_kmers(df.withColumn("_dna", F.translate(F.upper(F.col(seq_col)), "U", "T")),
-                      k, id_col, "_dna")
-    left = x.select(F.col("id").alias("seq_id"), F.col("pos").alias("i"), "kmer",
-                    revcomp(F.col("kmer")).alias("_rc"))
-    right = x.select(F.col("id").alias("_id2"), F.col("pos").alias("j"), F.col("kmer").alias("_k2"))
-    cond = ((left["seq_id"] == right["_id2"]) & (left["_rc"] == right["_k2"])
-            & (right["j"] - (left["i"] + k) >= min_loop))
-    return left.join(right, cond, "inner").select("seq_id", "i", "j", "kmer")

@@ -13,7 +13,6 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,45 @@ from pyspark.sql import functions as F
 DEFAULT_TIMEOUT = 3600
 
 
+def _through(command: list[str], lines: Iterator[str], env: dict, timeout: int) -> Iterator[list[str]]:
+    """``lines`` through a child process, its output lines in lists. Both
+    ways are streamed; a non-zero exit, or running beyond ``timeout``
+    seconds, raises. Lines that the child does not read stay in ``lines``."""
+    import os
+    import threading
+    from itertools import islice
+
+    child = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, env={**os.environ, **env})
+    failed = []
+
+    def feed() -> None:
+        try:
+            with child.stdin as sink:
+                sink.writelines(lines)
+        except BrokenPipeError:
+            pass   # the command may stop reading early, as head does
+        except BaseException as e:
+            failed.append(e)
+            child.kill()
+
+    feeder = threading.Thread(target=feed, daemon=True)
+    late = threading.Timer(timeout, child.kill)
+    feeder.start()
+    late.start()
+    try:
+        while found := list(islice(child.stdout, 10_000)):
+            yield [line.removesuffix("\n") for line in found]
+        code = child.wait()
+        feeder.join()
+        if failed:
+            raise failed[0]
+        if code:
+            raise subprocess.CalledProcessError(code, command)
+    finally:
+        late.cancel()
+        child.kill()
+
+
 def pipe_lines(df: DataFrame, cmd: Sequence[str], col: str = "value",
                header: Sequence[str] | None = None, env: dict | None = None,
                timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
@@ -32,44 +70,13 @@ def pipe_lines(df: DataFrame, cmd: Sequence[str], col: str = "value",
     head, command, extra = list(header or []), list(cmd), dict(env or {})
 
     def run(batches: Iterator) -> Iterator:
-        import os
-        import threading
-        from itertools import islice
+        from itertools import chain
 
         import pyarrow as pa
 
-        child = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True,
-                                 env={**os.environ, **extra})
-        failed = []
-
-        def feed() -> None:
-            try:
-                with child.stdin as sink:
-                    sink.writelines(f"{line}\n" for line in head)
-                    for batch in batches:
-                        sink.writelines("\n" if v is None else f"{v}\n" for v in batch.column(0).to_pylist())
-            except BrokenPipeError:
-                pass   # the command may stop reading early, as head does
-            except BaseException as e:
-                failed.append(e)
-                child.kill()
-
-        feeder = threading.Thread(target=feed, daemon=True)
-        late = threading.Timer(timeout, child.kill)
-        feeder.start()
-        late.start()
-        try:
-            while lines := list(islice(child.stdout, 10_000)):
-                yield pa.RecordBatch.from_pydict({"value": [line.removesuffix("\n") for line in lines]})
-            code = child.wait()
-            feeder.join()
-            if failed:
-                raise failed[0]
-            if code:
-                raise subprocess.CalledProcessError(code, command)
-        finally:
-            late.cancel()
-            child.kill()
+        rows = ("\n" if v is None else f"{v}\n" for b in batches for v in b.column(0).to_pylist())
+        for lines in _through(command, chain((f"{line}\n" for line in head), rows), extra, timeout):
+            yield pa.RecordBatch.from_pydict({"value": lines})
 
     return df.select(F.col(col).cast("string")).mapInArrow(run, "value string")
 
@@ -78,25 +85,35 @@ def pipe_groups(df: DataFrame, keys: list[str], cmd: Sequence[str], col: str = "
                 order: list[str] | None = None, timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """One process per key group; rows sorted by ``order`` inside the
     group are written to stdin, each stdout line becomes a row next to the
-    group keys. Exit status is checked; a timeout fails the task."""
-    command = list(cmd)
-    order = order or []
+    group keys. Exit status is checked; a timeout fails the task.
+
+    Spark deals the groups out and sorts them (on disk if need be); a process
+    is started at each change of key, its input and output are streamed, so a
+    group of any size passes through the memory of a few batches. A null line
+    is an empty line."""
+    command, order = list(cmd), list(order or [])
     schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", value string"
+    picked = df.select(*keys, F.col(col).cast("string").alias("_line"), *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)))
+    ordered = picked.repartition(*keys).sortWithinPartitions(*keys, *(f"_o{i}" for i in range(len(order)))).select(*keys, "_line")
+
+    def run(batches: Iterator) -> Iterator:
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        kinds: list = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                kinds[:] = [f.type for f in b.schema][:-1]
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        for key, group in groupby(rows(), key=lambda r: r[:-1]):
+            for lines in _through(command, ("\n" if r[-1] is None else f"{r[-1]}\n" for r in group), {}, timeout):
+                columns = [pa.array([v] * len(lines), t) for v, t in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.string())], names=[*keys, "value"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if order:
-            pdf = pdf.sort_values(order, kind="stable")
-        text = "".join(f"{v}\n" for v in pdf[col].astype(str))
-        res = subprocess.run(command, input=text, capture_output=True, text=True,
-                             check=True, timeout=timeout)
-        lines = res.stdout.splitlines()
-        out = pd.DataFrame({"value": lines})
-        for k in keys:
-            out.insert(len(out.columns) - 1, k, pdf[k].iloc[0])
-        return out
-
-    cols = list(dict.fromkeys(keys + order + [col]))
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def batch_predict(df: DataFrame, make_predict_fn: Callable, return_type,

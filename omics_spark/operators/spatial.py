@@ -38,7 +38,7 @@ def neighbours_3d(a: DataFrame, b: DataFrame, cutoff: float, keys: list[str] | N
     keys = keys or []
     ax = _cells(a, cutoff)
     ax = ax.select(*[F.col(c).alias(a_prefix + c) for c in a.columns],
-                   *[F.col(k).alias("_k_" + k) for k in keys],
+                   *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                    F.explode(F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k))
                                        for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])).alias("_o"),
                    "_cx", "_cy", "_cz")
@@ -46,16 +46,14 @@ def neighbours_3d(a: DataFrame, b: DataFrame, cutoff: float, keys: list[str] | N
                    (F.col("_cz") + F.col("_o")[2]).alias("_nz")).drop("_o", "_cx", "_cy", "_cz")
     bx = _cells(b, cutoff)
     bx = bx.select(*[F.col(c).alias(b_prefix + c) for c in b.columns],
-                   *[F.col(k).alias("_kb_" + k) for k in keys],
+                   *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                    F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"), F.col("_cz").alias("_nz"))
-    on = ["_nx", "_ny", "_nz"]
+    on = ["_nx", "_ny", "_nz", *(f"_k{i}" for i in range(len(keys)))]
     j = ax.join(bx, on, "inner")
-    for k in keys:
-        j = j.where(F.col("_k_" + k) == F.col("_kb_" + k))
     d2 = ((F.col(a_prefix + "x") - F.col(b_prefix + "x")) ** 2 + (F.col(a_prefix + "y") - F.col(b_prefix + "y")) ** 2
           + (F.col(a_prefix + "z") - F.col(b_prefix + "z")) ** 2)
     j = j.where(d2 <= cutoff * cutoff).withColumn("dist", F.sqrt(d2))
-    return j.drop(*on, *["_k_" + k for k in keys], *["_kb_" + k for k in keys])
+    return j.drop(*on)
 
 
 def label_stats(labelled: DataFrame, image: str = "image_id", label: str = "label") -> DataFrame:

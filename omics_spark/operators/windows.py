@@ -59,8 +59,12 @@ def dense_bins(counts: DataFrame, bin_col: str = "bin", value: str = "count",
                keys: list[str] | None = None) -> DataFrame:
     """Fill a per-contig bin grid 0..max(bin) with zeros where absent."""
     keys = keys or ["contig"]
-    grid = counts.groupBy(*keys).agg(F.max(bin_col).alias("_mx")) \
-        .select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_mx").cast("bigint"))).alias(bin_col))
+    # in two steps, so that no row holds a contig's whole grid
+    size = 1 << 16
+    blocks = counts.groupBy(*keys).agg(F.max(bin_col).cast("bigint").alias("_mx")).withColumn(
+        "_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_mx") / size).cast("bigint"))))
+    last = F.least(F.col("_mx"), (F.col("_g") + 1) * size - 1)
+    grid = blocks.select(*keys, F.explode(F.sequence(F.col("_g") * size, last)).alias(bin_col))
     return grid.join(counts.select(*keys, bin_col, value), keys + [bin_col], "left") \
                .fillna(0, [value])
 
@@ -125,12 +129,51 @@ def cluster_positions(df: DataFrame, pos: str = "pos", max_gap: int = 500,
     return df.join(d.select(*keys, pos, "cluster"), keys + [pos], "inner")
 
 
+#: Equal steps that a range is cut into in one pass of :func:`group_medians`.
+STEPS = 4096
+
+
+def group_medians(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, ``_med``): the exact median of each group, of the two middle
+    values the mean; nulls are left out.
+
+    No group is gathered: values are counted in a histogram (1/64 octaves,
+    then ``STEPS`` equal steps between the smallest and largest value of the
+    step that holds a middle rank), for all groups at once, until every
+    middle rank stands on one value. Rows outside the steps still open drop
+    out, counts are combined before they are shuffled, and what is carried
+    from pass to pass is two rows a group."""
+    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    size = F.floor(F.log2(F.abs("_v")) * 64)
+    octave = F.when(F.col("_v") > 0, size + 100_000).when(F.col("_v") < 0, -size - 100_000).otherwise(0).cast("bigint")
+
+    def pick(steps: DataFrame) -> DataFrame:
+        """The step of each (group, rank) that holds the rank."""
+        w = Window.partitionBy(*by, "_which").orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        held = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        return steps.where(held).select(*by, "_which", (F.col("_rank") - F.col("_before")).alias("_rank"), "_lo", "_hi")
+
+    summary = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    first = cut_lineage(x.groupBy(*by, octave.alias("_step")).agg(*summary))
+    rank = F.explode(F.array(*[F.struct(F.lit(w).alias("_which"), F.floor((F.col("_all_n") - 1 + w) / 2).alias("_rank")) for w in (0, 1)]))
+    ranks = first.groupBy(*by).agg(F.sum("_n").alias("_all_n")).select(*by, rank.alias("_t")).select(*by, "_t.*")
+    state = cut_lineage(pick(first.join(ranks, by)))
+    while not (open_ := state.where("_lo < _hi")).isEmpty():
+        spans = open_.select(*by, "_which", "_rank", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
+        step = F.least(F.floor((F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * STEPS), F.lit(STEPS - 1))
+        near = x.join(spans, by).where(F.col("_v").between(F.col("_a"), F.col("_b")))
+        steps = near.groupBy(*by, "_which", "_rank", step.alias("_step")).agg(*summary)
+        state = cut_lineage(pick(steps).unionByName(state.where("_lo = _hi")))
+    low, high = F.min("_lo"), F.max("_lo")
+    return state.groupBy(*by).agg((low + (high - low) * 0.5).alias("_med"))
+
+
 def median_center(df: DataFrame, value: str, by: list[str], out: str | None = None) -> DataFrame:
-    """Subtract the per-group median (``percentile`` aggregate, exact)
+    """Subtract the per-group median (exact, see :func:`group_medians`)
     and join it back; the median table has one row per group."""
     out = out or value
-    med = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_med"))
-    return df.join(med, by, "inner").withColumn(out, F.col(value) - F.col("_med")).drop("_med")
+    return df.join(group_medians(df, value, by), by, "inner").withColumn(out, F.col(value) - F.col("_med")).drop("_med")
 
 
 def change_points(bins: DataFrame, value: str = "log2", w: int = 5, threshold: float = 0.5,

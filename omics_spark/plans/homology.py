@@ -228,7 +228,7 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
     qseqs = q.select(F.col("qid0").alias("q_id"), F.col("s0").alias("q_plus"),
                      (revcomp(F.col("s0")) if nucleotide else F.lit(None).cast("string")).alias("q_minus"))
     seeds = kmer_join(q, s, k, max_freq, both_strands=nucleotide, q_id="qid0", s_id="sid0",
-                      q_seq="s0", s_seq="s0")
+                      q_seq="s0", s_seq="s0", nucleotide=nucleotide)
     best = pair_segments(seeds, qseqs, s.select(F.col("sid0").alias("s_id"), F.col("s0").alias("s_s")), share=share)
     best = best.where(F.col("raw_score") >= min_raw)
     # a translated sequence is one query or subject: its best frame counts
@@ -257,6 +257,15 @@ def similarity_search(queries: DataFrame, subjects: DataFrame, program: str = "b
                  max_hits, salt_cols=["subject"])
 
 
+def bound_hits(hits: DataFrame, matched: Column, length: Column, lam: float, k: float, title: str = "title",
+               width: int = TITLE_WIDTH) -> DataFrame:
+    """The report columns of hits: ``title`` cut to ``width`` letters,
+    ``pct`` of ``length`` that is ``matched`` and the bit score of ``matched``
+    under the scoring whose lambda and K are given."""
+    return hits.withColumns({title: F.substring(title, 1, width), "pct": F.round(identity_pct(matched, length), 1),
+                             "bits": F.round(bit_score(matched, lam, k), 3)})
+
+
 def genome_tiles(genome: DataFrame, width: int = 1000, overlap: int = 1000,
                  id_col: str = "contig", seq_col: str = "seq") -> DataFrame:
     """Contigs cut into tiles of ``width`` bases plus ``overlap`` bases of
@@ -273,16 +282,20 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int |
     read (MAPQ from best vs second-best seed count) -> mismatches against
     the genome window. Unmapped reads are kept with flag 4.
 
-    Columns: read_id, flag, contig, pos (1-based), mapq, cigar, nm, n_seeds.
+    Reads are told apart by id, ``mate`` (if there is such a column) and
+    letters, so mates and reads that share an id are mapped one by one.
+
+    Columns: read_id, flag, contig, pos (1-based), mapq, cigar, nm, n_seeds
+    (and mate).
     """
-    r = reads.select(F.col(read_id).alias("rid"), F.upper(F.col("seq")).alias("rseq"))
+    mate = [F.col("mate")] if "mate" in reads.columns else []
+    r = reads.select(F.struct(F.col(read_id).alias("id"), *mate, F.xxhash64(F.upper("seq")).alias("letters")).alias("rid"),
+                     F.upper(F.col("seq")).alias("rseq"))
     g = genome.select(F.col(contig).alias("gid"), F.upper(F.col("seq")).alias("gseq"))
-    seeds = kmer_join(r, g, k, max_freq, both_strands=True, q_id="rid", s_id="gid",
+    seeds = kmer_join(r.dropDuplicates(["rid"]), g, k, max_freq, both_strands=True, q_id="rid", s_id="gid",
                       q_seq="rseq", s_seq="gseq")
     diag = (seeds.withColumn("diag", F.col("s_pos") - F.col("q_pos"))
-            # one seed per read position on a diagonal (identical reads sharing an
-            # id are not counted twice)
-            .groupBy("q_id", "s_id", "strand", "diag").agg(F.countDistinct("q_pos").alias("n_seeds")))
+            .groupBy("q_id", "s_id", "strand", "diag").agg(F.count(F.lit(1)).alias("n_seeds")))
     top2 = top_k(diag, ["q_id"], [F.col("n_seeds").desc(), F.col("s_id"), F.col("strand"), F.col("diag")],
                  2, salt_cols=["s_id", "strand", "diag"])
     best = top2.where("rank = 1").drop("rank")
@@ -305,8 +318,9 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int |
     nm = F.aggregate(F.zip_with(chars(rd), chars(ref), lambda a, b: F.when(a != b, 1).otherwise(0)),
                      F.lit(0), lambda acc, x: acc + x)
     aligned_len = F.least(F.length(rd), F.length(ref))
+    name = [F.col("q_id.id").alias("read_id"), *([F.col("q_id.mate").alias("mate")] if mate else [])]
     mapped = best.select(
-        F.col("q_id").alias("read_id"),
+        *name,
         F.when(F.col("strand") == "-", F.lit(16)).otherwise(F.lit(0)).alias("flag"),
         F.col("s_id").cast("string").alias("contig"), (F.col("_start") + 1).alias("pos"),
         mapq.alias("mapq"),
@@ -316,8 +330,8 @@ def map_reads(reads: DataFrame, genome: DataFrame, k: int = 15, max_freq: int |
                         F.concat((F.length("_read") - clip - aligned_len).cast("string"), F.lit("S")))
                  .otherwise(F.lit(""))).alias("cigar"),
         nm.alias("nm"), F.col("n_seeds").cast("bigint").alias("n_seeds"))
-    unmapped = r.join(best.select(F.col("q_id").alias("rid")), "rid", "left_anti").select(
-        F.col("rid").alias("read_id"), F.lit(4).alias("flag"), F.lit(None).cast("string").alias("contig"),
+    unmapped = r.join(best.select(F.col("q_id").alias("rid")), "rid", "left_anti").withColumnRenamed("rid", "q_id").select(
+        *name, F.lit(4).alias("flag"), F.lit(None).cast("string").alias("contig"),
         F.lit(None).cast("bigint").alias("pos"), F.lit(0).alias("mapq"), F.lit("*").alias("cigar"),
         F.lit(None).cast("int").alias("nm"), F.lit(0).cast("bigint").alias("n_seeds"))
     return mapped.unionByName(unmapped)
@@ -330,7 +344,8 @@ def annotate_plasmid(plasmids: DataFrame, features: DataFrame, min_identity: flo
     plasmid is extended by its own head (wrap-around) so features crossing
     the origin are found; coordinates are taken modulo the length. A feature
     is looked for everywhere: besides its best segment those that score 0.8
-    of it; among overlapping hits of one plasmid the best score wins (E9)."""
+    of it; among overlapping hits of one plasmid the best score wins (E9),
+    also where one goes over the origin."""
     from ..operators.intervals import greedy_nonoverlap
 
     if max_feature_len is None:
@@ -346,7 +361,7 @@ def annotate_plasmid(plasmids: DataFrame, features: DataFrame, min_identity: flo
                      (F.col("s_start") % F.col("plen")).alias("start_pos"),
                      ((F.col("s_start") % F.col("plen")) + F.col("align_length")).alias("end_pos"),
                      F.col("query").alias("feature"), "score", "pct", "strand", "plen")
-    best = greedy_nonoverlap(iv, "score", ["feature", "start_pos", "strand"])
+    best = greedy_nonoverlap(iv, "score", ["feature", "start_pos", "strand"], circle="plen")
     return best.select(F.col("contig").alias("plasmid"), "feature", "start_pos",
                        (F.col("end_pos") % F.col("plen")).alias("end_pos"),
                        (F.col("end_pos") > F.col("plen")).alias("wraps"), "strand", "score", "pct")

@@ -10,7 +10,7 @@ columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import gc_fraction
@@ -18,7 +18,7 @@ from ..functions.stats import effective_genome_size, hypergeom_upper, log10_pois
 from ..operators.intervals import merge_intervals, restrict_to_intervals
 from ..operators.kmers import kmer_counts
 from ..operators.windows import bh_qvalues, local_background
-from ..operators.topk import top_k
+from ..operators.topk import quota_sample, top_k
 from ..operators.intervals import intersect_intervals
 from ..session import cut_lineage
 
@@ -89,24 +89,54 @@ def call_peaks(treatment: DataFrame, control: DataFrame, genome_size: str = "hs"
         F.col("b.t_count").alias("summit_count"))
 
 
-def peak_windows(peaks: DataFrame, genome: DataFrame, size: int = 200, shift: int = 0) -> DataFrame:
-    """Genome letters of a ``size`` window centred on each peak (optionally
-    shifted), via genome tiles: (contig, start_pos, end_pos, seq)."""
-    from .somatic import reference_bases
-    centre = F.floor((F.col("start_pos") + F.col("end_pos")) / 2) + shift
-    w = peaks.select("contig", F.greatest(centre - size // 2, F.lit(0)).cast("bigint").alias("start_pos"))
-    w = w.withColumn("end_pos", F.col("start_pos") + size)
-    return reference_bases(w, genome, "start_pos", size, "seq")
+def peak_windows(peaks: DataFrame, genome: DataFrame, size: int = 200) -> DataFrame:
+    """Genome letters of the ``size`` window centred on each peak, moved
+    inside its contig (a shorter contig is its own window), via genome tiles:
+    (contig, start_pos, end_pos, seq), each window once."""
+    centre = F.floor((F.col("start_pos") + F.col("end_pos")) / 2)
+    at = F.greatest(F.least(centre - size // 2, F.col("_len") - size), F.lit(0)).cast("bigint")
+    return _letters(peaks.join(_lengths(genome), "contig").select("contig", at.alias("start_pos")).distinct(), genome, size)
 
 
 def background_windows(peaks: DataFrame, genome: DataFrame, size: int = 200,
                        shifts: tuple[int, ...] = (-3000, -1500, 1500, 3000)) -> DataFrame:
-    """Shifted windows that overlap no peak (C3 anti join)."""
-    parts = [peak_windows(peaks, genome, size, s) for s in shifts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return restrict_to_intervals(out.where(F.length("seq") == size), peaks, "anti")
+    """The same windows moved by each of ``shifts``, those wholly inside
+    their contig that overlap no peak (C3 anti join), each once."""
+    centre = F.floor((F.col("start_pos") + F.col("end_pos")) / 2)
+    moved = (peaks.join(_lengths(genome), "contig")
+             .select("contig", "_len", F.explode(F.array(*[(centre - size // 2 + s).cast("bigint") for s in shifts])).alias("start_pos"))
+             .where((F.col("start_pos") >= 0) & (F.col("start_pos") + size <= F.col("_len")))
+             .select("contig", "start_pos").distinct().withColumn("end_pos", F.col("start_pos") + size))
+    return _letters(restrict_to_intervals(moved, peaks, "anti").drop("end_pos"), genome, size)
+
+
+def _lengths(genome: DataFrame) -> DataFrame:
+    return genome.select("contig", F.length("seq").alias("_len"))
+
+
+def _letters(windows: DataFrame, genome: DataFrame, size: int) -> DataFrame:
+    from .somatic import reference_bases
+    return (reference_bases(windows, genome, "start_pos", size, "seq")
+            .withColumn("end_pos", F.col("start_pos") + F.length("seq")).select("contig", "start_pos", "end_pos", "seq"))
+
+
+def gc_decile(seq: str = "seq") -> Column:
+    return F.least(F.floor(gc_fraction(F.col(seq)) * 10), F.lit(9)).cast("int")
+
+
+def motif_enrichment_in_peaks(peaks: DataFrame, genome: DataFrame, size: int = 200, k: int = 8, ratio: int = 2, top: int = 25,
+                              shifts: tuple[int, ...] = (-3000, -1500, 1500, 3000)) -> DataFrame:
+    """P9 from peaks (contig, start_pos, end_pos) and a genome (contig, seq):
+    windows round the peaks against shifted windows that no peak overlaps,
+    ``ratio`` of these for each target of the same GC decile (all, where there
+    are fewer; taken by a hash, so the choice is repeatable). Columns as
+    :func:`motif_enrichment`."""
+    name = F.concat_ws(":", "contig", F.col("start_pos").cast("string"))
+    targets = cut_lineage(peak_windows(peaks, genome, size).withColumns({"seq_id": name, "dec": gc_decile()}))
+    quotas = targets.groupBy("dec").agg((F.count(F.lit(1)) * ratio).alias("quota"))
+    pool = background_windows(peaks, genome, size, shifts).withColumns({"seq_id": name, "dec": gc_decile()})
+    chosen = cut_lineage(quota_sample(pool, ["dec"], F.col("seq_id"), quotas))
+    return motif_enrichment(targets, chosen, k, top=top, gc_match=False)
 
 
 def motif_enrichment(targets: DataFrame, background: DataFrame, k: int = 8,
@@ -118,9 +148,8 @@ def motif_enrichment(targets: DataFrame, background: DataFrame, k: int = 8,
     t = targets.select(F.col(id_col).alias("sid"), F.upper("seq").alias("seq"))
     b = background.select(F.col(id_col).alias("sid"), F.upper("seq").alias("seq"))
     if gc_match:
-        dec = F.least(F.floor(gc_fraction(F.col("seq")) * 10), F.lit(9)).cast("int")
-        t = t.withColumn("_dec", dec)
-        b = b.withColumn("_dec", dec).join(t.select("_dec").distinct(), "_dec", "left_semi")
+        t = t.withColumn("_dec", gc_decile())
+        b = b.withColumn("_dec", gc_decile()).join(t.select("_dec").distinct(), "_dec", "left_semi")
     n_t = t.count()
     n_b = b.count()
     kt = kmer_counts(t, k, "sid", "seq", canonical=True).select("kmer", F.col("n_sequences").alias("t_hits"))

@@ -71,23 +71,34 @@ def docking_manifest(receptors: DataFrame, ligands: DataFrame, on: str = "recept
     return m
 
 
-def screen_poses(poses: DataFrame, receptor: DataFrame, centre: tuple, size: float = 20.0,
-                 cutoff: float = 8.0, num_poses: int = 10) -> DataFrame:
+def screen_poses(poses: DataFrame, receptor: DataFrame, centre: tuple | DataFrame, size: float = 20.0,
+                 cutoff: float = 8.0, num_poses: int = 10, on: str | None = None) -> DataFrame:
     """Pose atoms inside the box (B9) -> receptor atoms within
     ``cutoff`` (C9) -> pair terms on the surface distance
     d = r - R_i - R_j: W_GAUSS*exp(-(d/0.5)^2) + W_REPULSION*d^2 (d < 0)
     summed per (ligand, pose) -> best ``num_poses`` per ligand (G3).
     Scores given poses; does not search. Poses: ligand, pose_id, atom_id,
-    element, x, y, z; receptor: atom_id, element, x, y, z."""
-    inbox = box_filter(poses, centre, size)
-    rec = box_filter(receptor, centre, size + 2 * cutoff)
-    pairs = neighbours_3d(inbox.select("ligand", "pose_id", "atom_id", "element", "x", "y", "z"),
-                          rec.select("atom_id", "element", "x", "y", "z"), cutoff, a_prefix="l_", b_prefix="r_")
+    element, x, y, z; receptor: atom_id, element, x, y, z.
+
+    ``on`` names a receptor's key in both tables: then each pose meets its
+    own receptor only (an equi-join with the cell), ``centre`` may be a
+    table (``on``, cx, cy, cz) of a box for each, and the best poses are those
+    per (key, ligand)."""
+    key = [on] if on else []
+    if isinstance(centre, DataFrame):
+        box = tuple(F.col(c) for c in ("cx", "cy", "cz"))
+        poses, receptor = poses.join(centre, key), receptor.join(centre, key)
+    else:
+        box = centre
+    inbox = box_filter(poses, box, size)
+    rec = box_filter(receptor, box, size + 2 * cutoff)
+    pairs = neighbours_3d(inbox.select(*key, "ligand", "pose_id", "atom_id", "element", "x", "y", "z"),
+                          rec.select(*key, "atom_id", "element", "x", "y", "z"), cutoff, keys=key, a_prefix="l_", b_prefix="r_")
     d = F.col("dist") - radius(F.col("l_element")) - radius(F.col("r_element"))
     term = F.lit(W_GAUSS) * F.exp(-F.pow(d / GAUSS_WIDTH, 2)) + F.when(d < 0, F.lit(W_REPULSION) * d * d).otherwise(0.0)
-    s = pairs.groupBy(F.col("l_ligand").alias("ligand"), F.col("l_pose_id").alias("pose_id")).agg(
+    s = pairs.groupBy(*[F.col(f"l_{k}").alias(k) for k in key], F.col("l_ligand").alias("ligand"), F.col("l_pose_id").alias("pose_id")).agg(
         F.round(F.sum(term), 3).alias("score"), F.count(F.lit(1)).alias("contacts"))
-    return top_poses(s, ["ligand"], "score", num_poses, ["pose_id"])
+    return top_poses(s, [*key, "ligand"], "score", num_poses, ["pose_id"])
 
 
 def _scatter(atoms: DataFrame, bb: DataFrame, reach: Column, spacing: float, mol: str) -> DataFrame:

@@ -10,8 +10,9 @@ from ..functions import reads as R
 from ..functions.seq import gc_fraction
 from ..functions.stats import copy_number
 from ..operators.alignments import bin_coverage, target_coverage
+from ..operators.spatial import connected_components
 from ..operators.variants import evidence_union
-from ..operators.windows import change_points, cluster_positions, median_center
+from ..operators.windows import change_points, median_center
 from ..session import cut_lineage
 
 # Fixed values (our specification choices): SV evidence defaults.
@@ -75,23 +76,77 @@ def split_evidence(reads: DataFrame, sa_col: str = "sa", cigar_col: str = "cigar
                     F.col("c2").alias("contig2"), F.col("p2").alias("pos2"), F.lit("split").alias("evidence"))
 
 
+def ordered_ends(evidence: DataFrame) -> DataFrame:
+    """Evidence with its smaller end (contig, then position) first, so both
+    views of one breakpoint pair are the same."""
+    swap = (F.col("contig") > F.col("contig2")) | ((F.col("contig") == F.col("contig2")) & (F.col("pos1") > F.col("pos2")))
+    turned = {a: F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in (("contig", "contig2"), ("pos1", "pos2"), ("contig2", "contig"), ("pos2", "pos1"))}
+    return evidence.select(*[turned.get(c, F.col(c)).alias(c) for c in evidence.columns])
+
+
+KIND = ["sv_type", "contig", "contig2"]
+
+
+def cluster_breakpoints(evidence: DataFrame, gap: int = CLUSTER_GAP) -> DataFrame:
+    """``cluster`` of each piece of evidence: pieces of one type and pair of
+    contigs are linked if both their ends are within ``gap``, and a cluster
+    is what links reach.
+
+    Points are counted into square cells of half a gap. All points of a cell
+    and of touching cells are linked; cells one further apart are linked if
+    their extremes are near, or, at a corner, the outermost points of either
+    cell. So links arise between cells, never between all points, and the
+    clusters are the components of the cells."""
+    gap = max(1, gap)
+    size = (gap + 1) // 2
+    points = cut_lineage(evidence.select(*KIND, "pos1", "pos2").distinct()
+                         .withColumns({"x": F.floor(F.col("pos1") / size), "y": F.floor(F.col("pos2") / size)}))
+    # of each column of a cell the outermost points
+    rows = points.groupBy(*KIND, "x", "y", "pos1").agg(F.min("pos2").alias("low"), F.max("pos2").alias("high"))
+    cells = cut_lineage(rows.groupBy(*KIND, "x", "y").agg(
+        F.min("pos1").alias("left"), F.max("pos1").alias("right"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .withColumn("id", F.concat_ws(":", *KIND, F.col("x").cast("string"), F.col("y").cast("string"))))
+    steps = [(dx, dy) for dx in range(3) for dy in range(-2, 3) if dx > 0 or dy > 0]
+    moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
+    a = cells.select(*KIND, F.col("id").alias("src"), F.col("right").alias("a_right"), F.col("low").alias("a_low"),
+                     F.col("high").alias("a_high"), "x", "y", moves.alias("m"))
+    a = a.select(*KIND, "src", "a_right", "a_low", "a_high", F.col("m.dx").alias("dx"), F.col("m.dy").alias("dy"),
+                 (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"))
+    near = a.join(cells.withColumnRenamed("id", "dst"), [*KIND, "x", "y"])
+    across = (F.col("dx") < 2) | (F.col("left") - F.col("a_right") <= gap)
+    along = (F.abs("dy") < 2) | F.when(F.col("dy") > 0, F.col("low") - F.col("a_high") <= gap).otherwise(F.col("a_low") - F.col("high") <= gap)
+    near = near.where(across & along).select(*KIND, "src", "dst", "dx", "dy", "x", "y")
+    corner = (F.col("dx") == 2) & (F.abs("dy") == 2)
+    ours = rows.select(*KIND, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("pos1").alias("a1"), F.col("low").alias("al"), F.col("high").alias("ah"))
+    corners = (near.where(corner).withColumns({"ax": F.col("x") - F.col("dx"), "ay": F.col("y") - F.col("dy")})
+               .join(ours, [*KIND, "ax", "ay"]).join(rows, [*KIND, "x", "y"])
+               .where((F.col("pos1") - F.col("a1") <= gap)
+                      & F.when(F.col("dy") > 0, F.col("low") - F.col("ah") <= gap).otherwise(F.col("al") - F.col("high") <= gap)))
+    edges = near.where(~corner).select("src", "dst").unionByName(corners.select("src", "dst").distinct())
+    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    labels = connected_components(cells.select("id"), edges).withColumnRenamed("label", "cluster")
+    found = cells.select(*KIND, "x", "y", "id").join(labels, "id").select(*KIND, "x", "y", "cluster")
+    tagged = evidence.withColumns({"x": F.floor(F.col("pos1") / size), "y": F.floor(F.col("pos2") / size)})
+    return tagged.join(found, [*KIND, "x", "y"]).drop("x", "y")
+
+
 def structural_variants(pairs: DataFrame | None = None, split: DataFrame | None = None,
                         max_insert: int = MAX_INSERT, min_support: int = MIN_SUPPORT,
                         cluster_gap: int = CLUSTER_GAP) -> DataFrame:
     """Discordant-pair and split-read evidence (either optional, H2),
-    clustered on both breakpoint ends (E5, per type and contig), calls with
-    at least ``min_support`` pieces of evidence. Columns: sv_type, contig,
-    start, end, contig2, support, n_discordant, n_split."""
+    ends put in one order, clustered by both ends together (see
+    :func:`cluster_breakpoints`), calls with at least ``min_support`` pieces
+    of evidence. Columns: sv_type, contig, contig2, start, end, support,
+    n_discordant, n_split."""
     ev = evidence_union(discordant_evidence(pairs, max_insert) if pairs is not None else None,
                         split_evidence(split) if split is not None else None)
-    ev = cluster_positions(ev, "pos1", cluster_gap, ["sv_type", "contig"]).withColumnRenamed("cluster", "cl1")
-    ev = cluster_positions(ev, "pos2", cluster_gap, ["sv_type", "contig2"]).withColumnRenamed("cluster", "cl2")
-    calls = ev.groupBy("sv_type", "contig", "cl1", "contig2", "cl2").agg(
+    ev = cluster_breakpoints(ordered_ends(ev), cluster_gap)
+    calls = ev.groupBy(*KIND, "cluster").agg(
         F.min("pos1").alias("start"), F.max("pos2").alias("end"),
         F.count(F.lit(1)).alias("support"),
         F.sum(F.when(F.col("evidence") == "discordant", 1).otherwise(0)).cast("bigint").alias("n_discordant"),
         F.sum(F.when(F.col("evidence") == "split", 1).otherwise(0)).cast("bigint").alias("n_split"))
-    return calls.where(F.col("support") >= min_support).drop("cl1", "cl2")
+    return calls.where(F.col("support") >= min_support).drop("cluster")
 
 
 def copy_number_profile(tumor: DataFrame, normal: DataFrame, targets: DataFrame | None = None,

@@ -98,6 +98,19 @@ from (select l.*, d.seq_id, d.ws, cast(l.l_quantity as bigint) * 3 as p,
       from (select *, l_partkey % (select max(doc_id) + 1 from {documents}) as sid from {lineitem}) l
       join {windows} d on d.seq_id = l.sid) x""",
                      ("lineitem", "windows", "documents")),
+    # the same reads, some of the tumor over the site with two letters taken
+    # out or three put in, at any of the places that mean the same
+    "indel_reads": ("""
+select sample, contig, pos, flag, mapq, l_orderkey, l_linenumber, l_partkey,
+  case when kind = 1 then concat(substring(seq, 1, cast(cut as int)), substring(seq, cast(cut + 3 as int), 50))
+    when kind = 2 then concat(substring(seq, 1, cast(cut as int)), 'GAT', substring(seq, cast(cut + 1 as int), 50)) else seq end as seq,
+  case when kind = 1 then concat(cast(cut as {S}), 'M2D', cast(length(seq) - cut - 2 as {S}), 'M')
+    when kind = 2 then concat(cast(cut as {S}), 'M3I', cast(length(seq) - cut as {S}), 'M') else cigar end as cigar,
+  repeat('I', cast(length(seq) + case when kind = 1 then -2 when kind = 2 then 3 else 0 end as int)) as qual
+from (select r.*, w.ws + 125 + l_orderkey % 3 - (pos - 1) as cut,
+        case when sample = 'tumor' and pos - 1 < w.ws + 115 and pos - 1 + 50 > w.ws + 140 then l_linenumber % 3 else 0 end as kind
+      from {sample_reads} r join {windows} w on concat('s', cast(w.seq_id as {S})) = r.contig) x""",
+                    ("sample_reads", "windows")),
     "gene_models": ("""
 select concat('s', cast(seq_id as {S})) as contig, seq_id as gene_id, ws + 30 as start_pos, ws + 210 as end_pos,
   case when seq_id % 2 = 0 then '+' else '-' end as strand, 'CDS' as feature from {windows}""",
@@ -115,10 +128,36 @@ union all
 select concat('s', cast(seq_id as {S})) as contig, ws + 100 as pos, substring(seq, cast(ws + 100 as int), 2) as ref,
   substring(seq, cast(ws + 100 as int), 1) as alt from {windows}""",
                         ("windows",)),
+    # genes of three coding parts whose lengths cut codons in two
+    "exon_models": (" union all ".join(f"""
+select concat('s', cast(seq_id as {{S}})) as contig, seq_id as gene_id, ws + {a} as start_pos, ws + {b} as end_pos,
+  case when seq_id % 2 = 0 then '+' else '-' end as strand, '{feature}' as feature from {{windows}}"""
+                                   for a, b, feature in ((20, 230, "gene"), (30, 91, "CDS"), (101, 160, "CDS"), (165, 210, "CDS"))),
+                    ("windows",)),
+    "exon_variants": (" union all ".join(f"""
+select concat('s', cast(seq_id as {{S}})) as contig, ws + {at + 1} as pos, substring(seq, cast(ws + {at + 1} as int), 1) as ref,
+  translate(substring(seq, cast(ws + {at + 1} as int), 1), 'ACGT', '{to}') as alt from {{windows}}"""
+                                     for at, to in ((30, "CGTA"), (89, "TACG"), (90, "CGTA"), (95, "TACG"), (101, "CGTA"), (102, "GTAC"),
+                                                    (131, "CGTA"), (158, "TACG"), (159, "CGTA"), (165, "GTAC"), (209, "CGTA"), (240, "CGTA"))),
+                      ("windows",)),
     "split_pairs": ("""
 select o_orderkey, case when o_orderkey % 101 = 0 then concat('chr', cast((o_custkey + case when o_orderkey % 2 = 0 then 2 else 0 end) % (select count(*) from {supplier}) + 1 as {S}), ',',
   cast((o_orderkey * 61001) % 4500000 + 2001 as {S}), ',+,25S25M,60,0;') else null end as sa from {orders}""",
                     ("orders", "supplier")),
+    # read pairs and split reads round planted events: deletions, inversions,
+    # pairs of contigs seen from either side, and events that share one end
+    "sv_reads": ("""
+select concat('q', cast(l_orderkey as {S}), '_', cast(l_linenumber as {S}), '_', cast(l_partkey as {S})) as qname,
+  concat('chr', cast(case when ev % 5 = 2 and l_linenumber % 2 = 0 then ctg + 1 else ctg end as {S})) as contig,
+  case when ev % 5 = 2 and l_linenumber % 2 = 0 then p + far else p end as pos, cast(case when ev % 5 = 1 then 65 else 97 end as int) as flag,
+  concat('chr', cast(case when ev % 5 = 2 and l_linenumber % 2 = 1 then ctg + 1 else ctg end as {S})) as rnext,
+  case when ev % 5 = 2 and l_linenumber % 2 = 0 then p when l_partkey % 3 = 0 then p + far else p + 300 end as pnext,
+  case when l_partkey % 3 = 1 and l_orderkey % 11 = 0 and ev % 5 != 2 then concat('chr', cast(ctg as {S}), ',', cast(p + far as {S}),
+    case when ev % 5 = 1 then ',-' else ',+' end, ',25S25M,60,0;') end as sa
+from (select *, l_partkey % 13 as ev, l_suppkey % 20 as ctg, 100000 + (l_partkey % 13) * 300000 + cast(l_quantity as bigint) * 7 as p,
+        case when l_partkey % 13 % 5 = 3 and l_orderkey % 2 = 1 then 9000 else 3000 end + (l_orderkey % 40) * 5 as far from {lineitem}) x
+where l_partkey % 13 % 5 != 2 or l_partkey % 3 = 0""",
+                  ("lineitem",)),
     "motif_seqs": ("""
 select seq_id, case when seq_id % 3 = 0 then 'target' else 'background' end as grp,
   case when seq_id % 3 = 0 then concat(substring(seq, 1, 50), 'ACGTTGCA', substring(seq, 59, length(seq))) else seq end as seq
@@ -131,6 +170,15 @@ select case when l_linenumber % 2 = 0 then 'treatment' else 'control' end as sam
     else (l_partkey * 39709 + l_orderkey * 3101 + l_linenumber * 70001) % 4500000 end as start_pos,
   case when l_returnflag = 'R' then '-' else '+' end as strand, l_orderkey, l_linenumber, l_partkey from {lineitem}""",
                   ("lineitem",)),
+    # tags on the contigs of the genome: a planted site a contig, the rest anywhere
+    "site_tags": ("""
+select case when l_linenumber % 2 = 0 then 'treatment' else 'control' end as sample, concat('s', cast(seq_id as {S})) as contig,
+  case when l_linenumber % 2 = 0 and l_orderkey % 3 > 0 then ws + 130 + cast(l_quantity as bigint)
+    else (l_partkey * 39709 + l_orderkey * 3101 + l_linenumber * 70001) % length(seq) end as start_pos,
+  case when l_returnflag = 'R' then '-' else '+' end as strand, l_orderkey, l_linenumber, l_partkey
+from (select *, l_partkey % (select max(doc_id) + 1 from {documents}) as sid from {lineitem}) l
+join {windows} d on d.seq_id = l.sid""",
+                  ("lineitem", "windows", "documents")),
     "smiles_like": ("""
 select p_partkey, case when p_partkey % 3 = 0 then concat(' CC(=O)Oc1ccccc1C(=O)O', substring('NOS', cast(p_partkey % 2 as int) + 1, 1))
   when p_partkey % 3 = 1 then p_name else '' end as smiles from {part}""",
@@ -156,9 +204,16 @@ select seq_id, n, line from (select seq_id, posexplode(regexp_extract_all(seq, '
 _LINES_DUCK = """
 select seq_id, cast(i - 1 as int) as n, substring(seq, cast(60 * (i - 1) + 1 as int), 60) as line
 from (select seq_id, seq, unnest(range(1, (length(seq) + 59) // 60 + 1)) as i from {protein}) x"""
+_RNAS_SPARK = """
+select seq_id * 100000 + n as seq_id, line as seq from (select seq_id, posexplode(regexp_extract_all(seq, '.{{1,400}}', 0)) as (n, line) from {rna})"""
+_RNAS_DUCK = """
+select seq_id * 100000 + i - 1 as seq_id, substring(seq, cast(400 * (i - 1) + 1 as int), 400) as seq
+from (select seq_id, seq, unnest(range(1, (length(seq) + 399) // 400 + 1)) as i from {rna}) x"""
 # name -> (Spark SQL, DuckDB SQL, dependencies) of views that each engine words its own way
 OWN = {"pixels": (_PIXELS_SPARK, _PIXELS_DUCK, ("embeddings",)),
-       "protein_lines": (_LINES_SPARK, _LINES_DUCK, ("protein",))}
+       "protein_lines": (_LINES_SPARK, _LINES_DUCK, ("protein",)),
+       # whole texts as RNAs of 400 letters
+       "short_rna": (_RNAS_SPARK, _RNAS_DUCK, ("rna",))}
 
 
 def _deps(name: str) -> tuple[str, ...]:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from ..operators.blocks import BLK, before, block_carry, in_block
+from ..session import cut_lineage
 
 # ---------------------------------------------------------------- lines
 
@@ -25,27 +27,31 @@ def write_lines(df: DataFrame, path: str, col: str = "value") -> None:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """A2: files under ``path`` (name, size), sorted by name; a missing
-    folder gives an empty table. ``content`` is never read (pruned)."""
-    schema = "name string, path string, size bigint"
-    try:
-        df = spark.read.format("binaryFile").load(path)
-    except AnalysisException:
+    """A2: files and folders in ``path`` (name, path, size, is_dir), sorted
+    by name; folders have no size. A missing folder gives an empty table,
+    other errors are raised. Any file system that Spark reads; nothing is
+    opened."""
+    schema = "name string, path string, size bigint, is_dir boolean"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
         return spark.createDataFrame([], schema)
-    return (df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path",
-                      F.col("length").alias("size"))
-            .orderBy("name"))
+    found = [(f.getPath().getName(), f.getPath().toString(), None if f.isDirectory() else f.getLen(), f.isDirectory()) for f in fs.listStatus(folder)]
+    return spark.createDataFrame(found, schema).orderBy("name")
 
 
 def preview_lines(df: DataFrame, max_lines: int = 50) -> DataFrame:
-    """A3: the first ``max_lines`` lines in file order with ``line_no`` and a
-    ``truncated`` flag (true when more lines exist). Reads at most
-    ``max_lines + 1`` rows; the window runs over that bounded set only."""
-    head = df.limit(max_lines + 1).withColumn("_i", F.monotonically_increasing_id())
-    w = Window.orderBy("_i")
-    head = head.withColumn("line_no", F.row_number().over(w)) \
+    """A3: the first ``max_lines`` lines of :func:`read_lines`, files by
+    path and lines as they stand in them, with ``line_no`` and a
+    ``truncated`` flag (true when more lines exist). Each task keeps its own
+    first ``max_lines + 1`` rows; the window runs over that bounded set only."""
+    place = df.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                      F.monotonically_increasing_id().alias("_i"))
+    head = place.orderBy("_f", "_b", "_i").limit(max_lines + 1)
+    head = head.withColumn("line_no", F.row_number().over(Window.orderBy("_f", "_b", "_i"))) \
                .withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > max_lines)
-    return head.where(F.col("line_no") <= max_lines).drop("_i")
+    return head.where(F.col("line_no") <= max_lines).select("value", "line_no", "truncated")
 
 
 def _ordered_text(header: DataFrame | None, body: DataFrame, order: list[Column], path: str) -> None:
@@ -78,6 +84,55 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
                     body.alias("seq")))
 
 
+#: Lines of a file that one window runs over.
+LINES = 1 << 16
+
+
+def carried(lines: DataFrame, values: dict[str, tuple]) -> DataFrame:
+    """``lines`` (file, i, ...) with running values along each file, up to
+    and including the line: ``values`` maps a name to (F.sum or F.max, column).
+    A window runs over LINES lines and starts with what the blocks of lines
+    before it give, one row each, so a file is never one task's."""
+    x = lines.withColumn(BLK, F.floor(F.col("i") / LINES).cast("bigint"))
+    carry = block_carry(x, ["file"], {f"_s{n}": f(c) for n, (f, c) in values.items()},
+                        {f"_c{n}": f(F.col(f"_s{n}")).over(before(["file"])) for n, (f, _) in values.items()})
+    x = x.join(carry, ["file", BLK], "left")
+    w = in_block(["file"], ["i"]).rowsBetween(Window.unboundedPreceding, 0)
+    for n, (f, c) in values.items():
+        here, earlier = f(c).over(w), F.col(f"_c{n}")
+        x = x.withColumn(n, F.coalesce(here + earlier, here, earlier) if f is F.sum else F.greatest(here, earlier))
+    return x.drop(BLK, *(f"_c{n}" for n in values))
+
+
+def fasta_tiles(spark: SparkSession, path: str, width: int = 1000, overlap: int = 0) -> DataFrame:
+    """A4 for long records: (contig, tile, tile_seq), pieces of ``width``
+    letters and the ``overlap`` letters after them, as ``genome_tiles`` cuts
+    them, straight from the lines of the files.
+
+    A record's start and the letters before each line are carried along the
+    file (:func:`carried`), then every line gives its letters to the tiles
+    they lie in. So a chromosome is read by all tasks that have a part of its
+    file and is never one row; records without letters have no tiles, of
+    records of one name in several files the tiles are kept apart by file."""
+    lines = cut_lineage(line_index(spark.read.text(path)))
+    head = F.col("value").startswith(">")
+    lines = lines.withColumns({"_head": head, "_seq": F.when(head, F.lit("")).otherwise(F.regexp_replace("value", r"\s", ""))})
+    placed = carried(lines, {"_rec": (F.max, F.when(F.col("_head"), F.col("i"))), "_end": (F.sum, F.length("_seq").cast("bigint"))})
+    heads = placed.where("_head").select("file", "_rec", F.col("_end").alias("_from"), F.regexp_extract("value", r"^>(\S*)", 1).alias("contig"))
+    body = placed.where("length(_seq) > 0").join(heads, ["file", "_rec"])
+    at = F.col("_end") - F.length("_seq") - F.col("_from")
+    last = F.col("_end") - F.col("_from") - 1
+    first = F.greatest(F.floor((F.col("_at") - overlap) / width), F.lit(0))
+    pieces = body.withColumns({"_at": at, "_last": last}).withColumn("tile", F.explode(F.sequence(first.cast("bigint"), F.floor(F.col("_last") / width).cast("bigint"))))
+    start = F.greatest(F.col("tile") * width - F.col("_at"), F.lit(0))
+    stop = F.least((F.col("tile") + 1) * width + overlap, F.col("_last") + 1) - F.col("_at")
+    pieces = pieces.select("file", "_rec", "contig", "tile", (F.col("_at") + start).alias("_p"),
+                           F.substring("_seq", (start + 1).cast("int"), (stop - start).cast("int")).alias("_t")).where("length(_t) > 0")
+    return pieces.groupBy("file", "_rec", "contig", "tile").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_t"))), lambda x: x["_t"]), "").alias("tile_seq")) \
+        .select("contig", F.col("tile").cast("int").alias("tile"), "tile_seq")
+
+
 def write_fasta(df: DataFrame, path: str, width: int = 60, id_col: str = "seq_id",
                 seq_col: str = "seq", description: str | None = None) -> None:
     """One record per row, sequence wrapped at ``width``, ordered by id."""
@@ -249,22 +304,45 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 def write_vcf(df: DataFrame, path: str, info_cols: list[str] | None = None,
               contigs: list[tuple[str, int]] | None = None) -> None:
     """VCF 4.2 header then records ordered by (contig, pos). ``info_cols``
-    are written as INFO key=value pairs (null values skipped)."""
+    are written as INFO key=value pairs (null values skipped), else an
+    ``info`` map as it is (null values are flags). ``genotypes`` (see
+    :func:`read_vcf`) become FORMAT and one column a sample: the fields of a
+    record's first sample, null as '.'; a sample that a record does not have
+    is '.'. Sample names are the only thing that reaches the driver."""
     spark = df.sparkSession
     info_cols = info_cols or []
     alt = F.array_join("alts", ",") if "alts" in df.columns else F.col("alt")
-    info = F.concat_ws(";", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(c.upper() + "="),
-                                                                     F.col(c).cast("string")))
-                              for c in info_cols]) if info_cols else F.lit("")
+    if info_cols or "info" not in df.columns:
+        info = F.concat_ws(";", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(c.upper() + "="), F.col(c).cast("string")))
+                                  for c in info_cols]) if info_cols else F.lit("")
+    else:
+        info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.concat(
+            e["key"], F.coalesce(F.concat(F.lit("="), e["value"]), F.lit("")))), ";")
     qual = F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit("."))
-    line = F.concat_ws("\t", "contig", F.col("pos").cast("string"),
-                       F.coalesce(F.col("id"), F.lit(".")) if "id" in df.columns else F.lit("."),
-                       "ref", alt, qual, F.coalesce(F.col("filter"), F.lit(".")),
-                       F.when(info == "", F.lit(".")).otherwise(info))
+    columns = ["contig", F.col("pos").cast("string"),
+               F.coalesce(F.col("id"), F.lit(".")) if "id" in df.columns else F.lit("."),
+               "ref", alt, qual, F.coalesce(F.col("filter"), F.lit(".")),
+               F.when(info == "", F.lit(".")).otherwise(F.coalesce(info, F.lit(".")))]
+    names: list[str] = []
+    if "genotypes" in df.columns:
+        layouts = [r[0] for r in df.select(F.col("genotypes.sample")).where("size(sample) > 0").distinct().limit(2).collect()]
+        names = list(layouts[0]) if len(layouts) == 1 else sorted(
+            r[0] for r in df.select(F.explode("genotypes.sample").alias("s")).distinct().collect())
+    if names:
+        keys = F.map_keys(F.col("genotypes")[0]["fields"])
+        has = F.coalesce(F.size("genotypes") > 0, F.lit(False))
+
+        def of(name: str) -> Column:
+            one = F.filter("genotypes", lambda g: g["sample"] == name)
+            fields = F.get(one, F.lit(0))["fields"]
+            text = F.array_join(F.transform(keys, lambda k: F.coalesce(F.try_element_at(fields, k), F.lit("."))), ":")
+            return F.when(has & (F.size(one) > 0), text).otherwise(F.lit("."))
+
+        columns += [F.when(has, F.array_join(keys, ":")).otherwise(F.lit(".")), *(of(n) for n in names)]
     header = ["##fileformat=VCFv4.2"] + [f"##contig=<ID={n},length={ln}>" for n, ln in (contigs or [])] \
         + [f"##INFO=<ID={c.upper()},Number=1,Type=String,Description=\"{c}\">" for c in info_cols] \
-        + ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-    body = df.select(F.col("contig").alias("_c"), F.col("pos").alias("_p"), line.alias("value"))
+        + ["\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *names] if names else [])])]
+    body = df.select(F.col("contig").alias("_c"), F.col("pos").alias("_p"), F.concat_ws("\t", *columns).alias("value"))
     _ordered_text(_header(spark, header), body, [F.col("_c"), F.col("_p"), F.col("value")], path)
 
 
@@ -328,15 +406,10 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     """A10: fixed-width ATOM/HETATM lines -> mol_id (file name), pose_id
     (MODEL count so far, from 1; 1 when no MODEL lines), atom_id, atom name,
     residue, element, x, y, z, charge (PDBQT partial charge when present).
-
-    Line order within a file comes from ``monotonically_increasing_id``
-    (increases along each file); the running MODEL count is a window per
-    file, and one structure file is one molecule's worth of lines."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    raw = raw.withColumn("_i", F.monotonically_increasing_id())
-    is_model = F.col("value").startswith("MODEL")
-    w = Window.partitionBy("file").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("pose_id", F.greatest(F.sum(F.when(is_model, 1).otherwise(0)).over(w), F.lit(1)))
+    The MODEL count is carried along the lines of a file (:func:`carried`),
+    so a file of very many poses is read by many tasks."""
+    raw = carried(line_index(spark.read.text(path)), {"_m": (F.sum, F.col("value").startswith("MODEL").cast("int"))})
+    raw = raw.withColumn("pose_id", F.greatest("_m", F.lit(1)))
     atoms = raw.where(F.col("value").rlike("^(ATOM  |HETATM)"))
 
     def col(a: int, b: int) -> Column:
