@@ -78,7 +78,7 @@ def test_list_and_preview(spark):
     open(f"{d}/a.txt", "w").write("\n".join(f"line {i}" for i in range(100)) + "\n")
     os.mkdir(f"{d}/subdir")
     files = FM.list_files(spark, d).collect()
-    assert [f.name for f in files] == ["a.txt"] and files[0].size > 0
+    assert [(f.name, f.is_dir) for f in files] == [("a.txt", False), ("subdir", True)] and files[0].size > 0
     assert FM.list_files(spark, d + "/missing").count() == 0
     prev = FM.preview_lines(FM.read_lines(spark, f"{d}/a.txt"), 5).orderBy("line_no").collect()
     assert [p.value for p in prev] == [f"line {i}" for i in range(5)] and prev[0].truncated
