@@ -230,4 +230,4 @@ def test_read_region_finds_reads_from_far_away(spark):
     got = AL.read_region(spark, path, "chr1:3,000,001-3,000,200")
     assert sorted(r["qname"] for r in got.collect()) == ["far", "flat", "near"]
     assert got.columns == ["qname", "pos", "cigar", "contig"]
-    assert "end_bin" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    assert "level" in got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
