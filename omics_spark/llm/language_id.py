@@ -18,6 +18,8 @@ PER_LANGUAGE = 2_000
 #: The matrix of log probabilities holds at most so many values: up to 2,048
 #: languages have 2^BITS buckets each, with twice as many the buckets halve.
 MAX_VALUES = 1 << 26
+#: Tables of languages are broadcast up to so many rows.
+FEW = 1 << 17
 #: n-grams that the score trusts: longer texts are no surer than these.
 TRUST = 200
 UNKNOWN = "und"
@@ -97,7 +99,8 @@ def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE, a
             used = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_pydict({"l": pa.array(np.full(len(used), lang), pa.int32()), "b": pa.array(used, pa.int32()), "n": pa.array(counts[used], pa.int64())})
 
-    drawn = rows.join(share, "lang").where(draw < F.col("share")).select("doc_id", "lang", "text")
+    # One small row a language, sent to all tasks unless there are very many.
+    drawn = rows.join(F.broadcast(share) if len(langs) <= FEW else share, "lang").where(draw < F.col("share")).select("doc_id", "lang", "text")
     counted = drawn.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), 1 << bits))
     counts[counted["l"], counted["b"]] = counted["n"]
