@@ -28,3 +28,21 @@ def test_background_shuffles_counts_not_the_grid(spark):
     x = local_background(df, [10, 100])
     assert x.agg(F.count("*"), F.sum("count")).first()[:] == (400_001, 3)
     assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kmers_are_counted_by_id(spark):
+    from omics_spark.functions.seq import revcomp
+    from omics_spark.operators import kmers as K
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, 3, None]), "".join(rng.choice("ACGTNacgtu") for _ in range(rng.randint(0, 300)))) for _ in range(20)]
+    rows += [(1, "ACGT-ACé TACG"), (2, "ACé TAA"), (4, None), (5, "A"), (6, "XYZXYZ")]
+    df = spark.createDataFrame(rows, "seq_id int, seq string")
+    for k in (1, 3, 8, 12):
+        for canonical in (False, True):
+            x = K.explode_kmers(df, k)
+            x = x.withColumn("kmer", F.least("kmer", revcomp(F.col("kmer")))) if canonical else x
+            want = x.groupBy("kmer", "id").count().groupBy("kmer").agg(F.sum("count").alias("a"), F.count("*").alias("b"))
+            assert sorted(K.kmer_counts(df, k, canonical=canonical).collect()) == sorted(want.collect())
+    plan = K.kmer_counts(df, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan      # no row a k-mer
