@@ -46,3 +46,29 @@ def test_kmers_are_counted_by_id(spark):
             assert sorted(K.kmer_counts(df, k, canonical=canonical).collect()) == sorted(want.collect())
     plan = K.kmer_counts(df, 8)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan      # no row a k-mer
+
+
+def test_motif_tails_are_worked_out_once_a_pair_of_counts(spark):
+    from math import comb
+
+    from omics_spark.functions import stats as ST
+    from omics_spark.plans import peaks as P
+
+    rows = [(k, d, m, t) for t in (1, 7, 60, 900) for d in (0, t // 3, t) for m in (0, t // 2, t) for k in (0, 1, t // 6, t // 3, t)]
+    df = spark.createDataFrame([*rows, (None, 1, 1, 1)], "k long, d long, m long, t long")
+    for r in df.withColumn("p", ST.hypergeom_upper(*map(F.col, "kdmt"))).collect():
+        if r["k"] is None:
+            assert r["p"] is None
+            continue
+        k, d, m, t = r[:4]
+        exact = sum(comb(m, j) * comb(t - m, d - j) for j in range(k, min(d, m) + 1) if d - j <= t - m) / comb(t, d)
+        assert abs(r["p"] - exact) < 1e-9, r
+    seen, whole = [], P.hypergeom_upper
+    P.hypergeom_upper = lambda *a: seen.append(1) or whole(*a)
+    try:
+        seqs = spark.createDataFrame([(i, "ACGTTGCAAC" * 3) for i in range(30)], "seq_id int, seq string")
+        got = P.motif_enrichment(seqs.where("seq_id < 10"), seqs.where("seq_id >= 10"))
+    finally:
+        P.hypergeom_upper = whole
+    assert got.count() and {(r["t_hits"], r["b_hits"], round(r["p"], 9)) for r in got.collect()} == {(10, 20, 1.0)}
+    assert "pandas" not in got._jdf.queryExecution().optimizedPlan().toString().lower() and len(seen) == 1
