@@ -72,3 +72,15 @@ def test_motif_tails_are_worked_out_once_a_pair_of_counts(spark):
         P.hypergeom_upper = whole
     assert got.count() and {(r["t_hits"], r["b_hits"], round(r["p"], 9)) for r in got.collect()} == {(10, 20, 1.0)}
     assert "pandas" not in got._jdf.queryExecution().optimizedPlan().toString().lower() and len(seen) == 1
+
+
+def test_effect_tables_come_from_one_scan(spark):
+    from omics_spark.sources import fixtures as FX
+
+    sf = "/root/testdata/sf0.001"
+    for name in FX.ONE_SCAN:
+        one = FX.view(spark, sf, name)
+        args = {d: FX.view(spark, sf, d) for d in FX._deps(name)}
+        union = spark.sql(FX.VIEWS[name][0].replace("{S}", "string"), **args)
+        assert one.columns == union.columns and sorted(one.collect()) == sorted(union.collect())
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
