@@ -84,3 +84,23 @@ def test_effect_tables_come_from_one_scan(spark):
         union = spark.sql(FX.VIEWS[name][0].replace("{S}", "string"), **args)
         assert one.columns == union.columns and sorted(one.collect()) == sorted(union.collect())
         assert one._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_windows_are_scored_in_portions(monkeypatch):
+    import pandas as pd
+
+    from omics_spark.plans import homology as H
+
+    rng = random.Random(7)
+    seqs = [["".join(rng.choice("ACGT") for _ in range(n)) for _ in range(6)] for n in (60, 60, 400)]
+    diags = [[{"strand": s, "diag": d, "n_seeds": 1} for s in "+-" for d in range(-50, 390, 7)] for _ in range(6)]
+    sizes, whole = [], H.best_segments_batch
+    monkeypatch.setattr(H, "best_segments_batch", lambda q, *a: sizes.append(sum(map(len, q))) or whole(q, *a))
+    for share in (1.0, 0.8):
+        got = []
+        for letters in (1 << 20, 500):
+            monkeypatch.setattr(H, "WINDOW_LETTERS", letters)
+            sizes.clear()
+            got.append(list(H.pair_udf(1, -1, share).func(pd.Series(diags), *map(pd.Series, seqs))))
+            assert max(sizes) <= letters + 60
+        assert got[0] == got[1] and all(got[0])
