@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +196,10 @@ def mate_join(reads: DataFrame, name: str = "qname") -> DataFrame:
 #: A level's bins are this many times as wide as those of the level below.
 FAN = 8
 LEVELS = 12
+#: Reads that a folder holds on average at least, if its contig has as many.
+FOLDER_READS = 10_000
+#: Contigs whose folder is named as they are, and read as text.
+_PLAIN = re.compile(r"(?!(NaN|Infinity)$)[A-Za-z_][A-Za-z_0-9.]*")
 
 
 def write_indexed(reads: DataFrame, path: str, bin_size: int = 1_000_000) -> str:
@@ -202,13 +207,19 @@ def write_indexed(reads: DataFrame, path: str, bin_size: int = 1_000_000) -> str
     prune folders (the role of a BAM index). Bins come in levels, each FAN
     times as wide as the one below; a read goes into the narrowest bin that
     holds all of its span. So however far reads span, there are no more
-    folders than bins of the genome and an eighth on top."""
+    folders than bins of the genome and an eighth on top. A contig with few
+    reads for its bins begins at a higher level, so many small contigs give
+    about a folder each, not one for each of their bins."""
     s, e = ref_span()
+    sizes = reads.groupBy("contig").agg(F.count(F.lit(1)).alias("_n"), F.max(e).alias("_end"))
+    wide = [F.when(F.col("_n") * float(bin_size * FAN ** v) >= F.col("_end") * float(FOLDER_READS), F.lit(v)) for v in range(LEVELS)]
+    sizes = sizes.select("contig", F.coalesce(*wide, F.lit(0)).alias("_base"))
     fits = [F.floor(s / (bin_size * FAN ** v)) == F.floor((e - 1) / (bin_size * FAN ** v)) for v in range(LEVELS)]
-    level = F.coalesce(*[F.when(f, F.lit(v)) for v, f in enumerate(fits)], F.lit(LEVELS))
+    level = F.greatest(F.coalesce(*[F.when(f, F.lit(v)) for v, f in enumerate(fits)], F.lit(LEVELS)), F.col("_base"))
     width = F.pow(F.lit(float(FAN)), F.col("level")) * bin_size
     at = F.when(F.col("level") == LEVELS, F.lit(0)).otherwise(F.floor(s / width)).cast("bigint")
-    (reads.withColumn("level", level).withColumn("bin", at)
+    placed = reads.join(sizes, "contig", "left").withColumn("level", level).drop("_base")
+    (placed.select(*[c for c in reads.columns if c != "level"], "level").withColumn("bin", at)
           .repartition("contig", "level", "bin")
           .write.mode("overwrite").partitionBy("contig", "level", "bin").parquet(path))
     return path
@@ -217,9 +228,15 @@ def write_indexed(reads: DataFrame, path: str, bin_size: int = 1_000_000) -> str
 def read_region(spark: SparkSession, path: str, region: str, bin_size: int = 1_000_000) -> DataFrame:
     """Reads overlapping ``region`` from a :func:`write_indexed` layout
     of the same ``bin_size``: on each level only the bins that the region
-    touches are scanned."""
+    touches are scanned. Only the contig's own folders are listed."""
     contig, start, end = parse_region(region)
-    df = spark.read.parquet(path)
+    own = f"{path.rstrip('/')}/contig={contig}"
+    try:
+        df = spark.read.option("basePath", path).parquet(own if _PLAIN.fullmatch(contig) else path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.read.parquet(path)    # a contig without reads
     asked = F.col("level") == LEVELS
     for v in range(LEVELS):
         width = bin_size * FAN ** v
