@@ -259,34 +259,41 @@ def depth_segments(df: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
 ISLAND = 100_000
 
 
-def _choose(batches):
-    """The greedy choice over rows (contig, island, spans, row) in order of
-    contig, island and rank: the rows taken. A row has a span and, over the
-    origin of a circle, a second one."""
+def _choose(groups: int, given: int):
+    """The greedy choice over rows in order of their group (the first
+    ``groups`` columns) and rank: of each the ``given`` columns that follow, if
+    it is taken. The last ones are a hash of what ranks a row, of equal ones
+    the first is left, and its spans: one, and a second over the origin of a
+    circle. A span without an end takes no room."""
     from bisect import bisect_left, insort
 
     import pyarrow as pa
 
-    taken: list[tuple] = []
-    now = None
-
-    def free(s, e):
-        at = bisect_left(taken, (s, e))
-        return not any(s < b and a < e for a, b in taken[max(0, at - 1):at + 1])
-
-    for batch in batches:
-        keep = []
-        for contig, island, spans in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            if (contig, island) != now:
-                now = contig, island
-                taken.clear()
-            spans = [(x["s"], x["e"]) for x in spans]
-            ok = all(free(s, e) for s, e in spans)
-            if ok:
-                for span in spans:
-                    insort(taken, span)
-            keep.append(ok)
-        yield batch.select([3]).filter(pa.array(keep, pa.bool_()))
+    def chosen(batches):
+        taken: list[tuple] = []
+        now = last = None
+
+        def free(s, e):
+            at = bisect_left(taken, (s, e))
+            return not any(s < b and a < e for a, b in taken[max(0, at - 1):at + 1])
+
+        for batch in batches:
+            keep = []
+            columns = [c.to_pylist() for c in batch.columns[groups + given:]]
+            for group, rank, s1, e1, s2, e2 in zip(zip(*(c.to_pylist() for c in batch.columns[:groups])), *columns, strict=True):
+                if group != now:
+                    now, last = group, None
+                    taken.clear()
+                ok = (rank, s1, e1) != last
+                last = rank, s1, e1
+                if ok and e1 is not None:
+                    if ok := free(s1, e1) and (s2 is None or free(s2, e2)):
+                        insort(taken, (s1, e1))
+                        if s2 is not None:
+                            insort(taken, (s2, e2))
+                keep.append(ok)
+            yield batch.select(list(range(groups, groups + given))).filter(pa.array(keep, pa.bool_()))
+    return chosen
 
 
 def greedy_nonoverlap(hits: DataFrame, score: str = "score", tie: list[str] | None = None,
@@ -298,9 +305,11 @@ def greedy_nonoverlap(hits: DataFrame, score: str = "score", tie: list[str] | No
     of these one is kept. ``circle`` names the length of a hit's circular
     contig: it starts inside it and, if it ends beyond, goes on from 0.
 
-    Hits are first ranked and cut into islands that no overlap links. An
-    island of up to ``island`` hits is chosen from in one task, so a chain of
-    hits with falling scores takes no rounds. Of larger islands, rounds take
+    Hits are written once; those of a contig of up to ``island`` hits are
+    shuffled and sorted once and chosen from in one task, so a chain of hits
+    with falling scores takes no rounds. Those of larger contigs are cut into
+    islands that no overlap links, and up to ``island`` hits of one are chosen
+    from in the same way. Of larger islands, rounds take
     hits that are the best of every bin they touch (no better hit overlaps
     them; the best hit left is always among them), drop what overlaps them
     and cut what is left into islands again. The best of a bin is an
@@ -317,12 +326,24 @@ def greedy_nonoverlap(hits: DataFrame, score: str = "score", tie: list[str] | No
         length = F.col(circle).cast("bigint")
         spans = F.when(end <= length, one).otherwise(F.array(
             F.struct(start.alias("s"), length.alias("e")), F.struct(F.lit(0).cast("bigint").alias("s"), F.least(end - length, length).alias("e"))))
+    hits = cut_lineage(hits)
+    crowded = cut_lineage(hits.groupBy("contig").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > island).select("contig"))
+    none = crowded.isEmpty()
+    few = hits if none else hits.join(crowded, "contig", "left_anti")
+    few = few.where("contig is not null and start_pos is not null").withColumns({"_s": spans, "_group": F.col("contig")})
+    flat = [F.get("_s", i)[x].alias(f"_{x}{i}") for i in (0, 1) for x in "se"]
+    rank = [-F.col(score), *[F.col(c) for c in dict.fromkeys([*tie, "start_pos", "end_pos", *names])]]
+    small = (few.repartition("contig").sortWithinPartitions("contig", *rank)
+             .select("_group", *names, F.xxhash64(*rank[:1], *tie, "start_pos", "end_pos"), *flat)
+             .mapInArrow(_choose(1, len(names)), hits.schema))
+    if none:
+        return small
+    kept = [small]
     # of hits equal in all of the order one is left
-    left = cut_lineage(hits.withColumns({"_k": order, "_spans": spans}).groupBy("contig", "_k")
+    left = cut_lineage(hits.join(crowded, "contig", "left_semi").withColumns({"_k": order, "_spans": spans}).groupBy("contig", "_k")
                        .agg(F.min(F.struct(*names, "_spans")).alias("_h")).select("_k", "_h.*"))
     size = _bin_size(bin_size, left)
     by = ["s", *[f"t{i}" for i in range(len(tie))], "a", "b"]
-    kept = []
     for _ in range(max_rounds):
         pieces = left.select("contig", "_k", F.explode("_spans").alias("_p")).select(
             "contig", "_k", F.col("_p.s").alias("start_pos"), F.col("_p.e").alias("end_pos"))
@@ -338,7 +359,8 @@ def greedy_nonoverlap(hits: DataFrame, score: str = "score", tie: list[str] | No
         some = tagged.where((F.col("_n") > 1) & (F.col("_n") <= island)).select("contig", "_island", "_spans", F.struct("contig", "_k").alias("_row"), "_k.*")
         kind = some.schema["_row"].dataType.simpleString()
         taken = (some.repartition("contig", "_island").sortWithinPartitions("contig", "_island", *by)
-                 .select("contig", "_island", "_spans", "_row").mapInArrow(_choose, f"_row {kind}").select("_row.*"))
+                 .select("contig", "_island", "_row", F.xxhash64(*by), *[F.get("_spans", i)[x].alias(f"_{x}{i}") for i in (0, 1) for x in "se"])
+                 .mapInArrow(_choose(2, 1), f"_row {kind}").select("_row.*"))
         chosen = tagged.join(taken, ["contig", "_k"], "left_semi").unionByName(alone)
         kept.append(cut_lineage(chosen.select(*names)))
         left = tagged.where(F.col("_n") > island).drop("_n", "_island")
